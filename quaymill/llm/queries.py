@@ -10,10 +10,10 @@ from quaymill.llm.canonical import map_to_canonical
 from quaymill.llm.clusters import cluster, describe
 from quaymill.llm.mixing import mix
 from quaymill.llm.packing import pack, packing_report
-from quaymill.llm.spans import repeated_units, shared_pairs, shared_runs, shared_share
+from quaymill.llm.spans import anchors, repeated_units, shared_pairs, shared_runs, shared_share
 from quaymill.llm.tokens import with_tokens
 from quaymill.llm.topn import top_n_per_group
-from quaymill.session import cut, table
+from quaymill.session import attach, cut, table
 
 TOP = 5
 ALIKE = {"density_pop_per_km2": 1900.0, "poi_total_count": 14.0, "intersection_density": 9.0, "pnr_walkability_ratio": 0.033}
@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     feeds = seen.select(F.col("station_cmrl").alias("entry")).where("entry is not null").distinct()
     rows = rows.unionByName(feeds.select(*(F.lit(x).alias(a) for x, a in zip(ENTRIES[2], ("tab", "fld"))), F.col("entry").alias("row_key"), "entry"))
     listed = names.select(F.col("station").alias("entry")).where("entry is not null").distinct()
-    cases = cut(rows.where(F.col("entry").rlike(r"(?U)\S")).join(F.broadcast(listed), "entry", "left_anti"), "cases")  # the list is fixed
+    cases = cut(rows.where(F.col("entry").rlike(r"(?U)\S")).join(attach(listed), "entry", "left_anti"), "cases")
     meant = map_to_canonical(cases, "entry", names, "ref_id", ["station", "alias"])
     return cases.join(meant, "entry").select("tab", "fld", "row_key", F.col("ref_id").cast("int").alias("ref_id"))
 
@@ -91,13 +91,14 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = shared_pairs(*shared_runs(table(spark, d, "documents"), "doc_id", "text"))
+    around, copies = anchors(table(spark, d, "documents"), "doc_id", "text")
+    pairs = shared_pairs(shared_runs(around), copies)
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return shared_share(docs, "doc_id", "text", *shared_runs(docs, "doc_id", "text")).withColumnRenamed("doc", "doc_id")
+    return shared_share(docs, "doc_id", "text", *anchors(docs, "doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
 def p10_units(spark: SparkSession, d: str) -> DataFrame:

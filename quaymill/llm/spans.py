@@ -102,19 +102,18 @@ def _extent(left_a: pd.Series, left_b: pd.Series, right_a: pd.Series, right_b: p
     return pd.DataFrame(out, columns=["back", "ahead"], dtype="int32")
 
 
-def shared_runs(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Runs shared letter for letter, and exact copies.
+def anchors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Units found in two different texts, and exact copies.
 
-    runs ``(a, b, a_from, a_to, b_from, b_to)``: a < b are the smallest keys of two different texts
-    that share a run of at least ``MIN_RUN`` code points; each row is a part of such a run, offsets from 0,
-    and the parts of a pair cover its shared runs. copies ``(doc, rep)``: the texts of at least
-    ``MIN_RUN`` characters that occur more than once, all their keys and the smallest one.
+    anchors ``(doc, digest, pos, left, right)``: offset of the unit, up to ``WINDOW - 1`` characters before
+    it, up to ``MIN_RUN`` from its start on. Any run of ``MIN_RUN`` characters that two texts share holds a
+    unit that is an anchor of both. copies ``(doc, rep)``: the texts of at least ``MIN_RUN`` characters that
+    occur more than once, all their keys and the smallest one; only that one has anchors.
 
     A run may begin anywhere in a line, so units are cut by content, not at line ends: of all units of
     ``UNIT`` characters those with the least digest in a sliding window are kept, the same ones wherever
-    the text stands. Digests are grouped globally, copies of a text once; only units found in two texts
-    go on, with the characters around them, which decide. Null, empty and shorter texts share nothing.
-    Keys must be unique and integer; whole texts of any length are used.
+    the text stands. Digests are grouped globally. Null, empty and shorter texts have none. Keys must be
+    unique and integer; whole texts of any length are used.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= MIN_RUN))
     marked = rows.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
@@ -124,8 +123,8 @@ def shared_runs(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     own = rows.join(attach(extra), "doc", "left_anti")
     kept = cut(own.mapInPandas(_unit_batches, "doc bigint, digest bigint, pos int"), "units")
     shared = kept.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("digest")
-    anchors = cut(kept.join(shared, "digest").select("doc", "digest", "pos"), "anchors")
-    spots = anchors.groupBy("doc").agg(F.collect_list(F.struct("digest", "pos")).alias("spots"))
+    found = cut(kept.join(shared, "digest").select("doc", "digest", "pos"), "anchors")
+    spots = found.groupBy("doc").agg(F.collect_list(F.struct("digest", "pos")).alias("spots"))  # at most a text's units
     around = (
         own.join(spots, "doc")
         .select("doc", "text", F.explode("spots").alias("s"))
@@ -137,34 +136,48 @@ def shared_runs(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
             F.substring("text", F.col("s.pos") + 1, F.lit(MIN_RUN)).alias("right"),
         )
     )
-    around = cut(around, "around")
+    return cut(around, "around"), copies
+
+
+def shared_runs(around: DataFrame) -> DataFrame:
+    """``(a, b, a_from, a_to, b_from, b_to)``, a < b: for two texts with a common anchor, the stretch around it, of at
+    least ``MIN_RUN`` code points, that both have letter for letter; offsets from 0. Longer runs come in overlapping parts."""
     a, b = (around.select("digest", *(F.col(c).alias(f"{c}_{p}") for c in ("doc", "pos", "left", "right"))) for p in "ab")
     extent = F.pandas_udf(_extent, "struct<back:int,ahead:int>")
     pairs = a.join(b, "digest").where("doc_a < doc_b").withColumn("e", extent("left_a", "left_b", "right_a", "right_b"))
     pairs = pairs.where(f"e.ahead >= {UNIT} and e.back + e.ahead >= {MIN_RUN}")
-    runs = pairs.select(
+    return pairs.select(
         F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), (F.col("pos_a") - F.col("e.back")).alias("a_from"), (F.col("pos_a") + F.col("e.ahead")).alias("a_to"),
         (F.col("pos_b") - F.col("e.back")).alias("b_from"), (F.col("pos_b") + F.col("e.ahead")).alias("b_to"),
     )
-    return cut(runs.distinct(), "runs"), copies
 
 
 def shared_pairs(runs: DataFrame, copies: DataFrame) -> DataFrame:
     """``(a, b)``, a < b: all pairs of keys whose texts share a run, copies with each other and with their text's partners."""
-    pairs = runs.select("a", "b").distinct()
+    pairs = cut(runs.select("a", "b").distinct(), "pairs")
     x, y = (copies.select(F.col("rep").alias(c), F.col("doc").alias(f"{c}_doc")) for c in "ab")
     wide = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("a_doc", "a").alias("a"), F.coalesce("b_doc", "b").alias("b"))
     same = copies.select("rep", F.col("doc").alias("a")).join(copies.select("rep", F.col("doc").alias("b")), "rep").where("a < b").select("a", "b")
     return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same)
 
 
-def shared_share(docs: DataFrame, key: str, text: str, runs: DataFrame, copies: DataFrame) -> DataFrame:
-    """``(doc, chars, shared_chars, share)`` for each key: characters inside runs that occur in another record too. A null text has 0."""
-    parts = runs.select(F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).union(runs.select("b", "b_from", "b_to")).distinct()
-    # parts overlap: count of each what lies beyond the furthest end before it
-    before = W.partitionBy("doc").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(before), F.lit(0))))
-    covered = parts.withColumn("new", fresh).groupBy("doc").agg(F.sum("new").alias("covered"))
+def shared_share(docs: DataFrame, key: str, text: str, around: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(doc, chars, shared_chars, share)`` for each key: characters inside runs of at least ``MIN_RUN`` that occur in another record too.
+
+    No pair is formed: every stretch of ``MIN_RUN`` characters that holds an anchor is hashed, and those
+    that occur in two texts count; their union is the union of all shared runs. A passage in a third of
+    all records costs one row per record and place. Copies are shared as a whole. A null text has 0.
+    """
+    start = F.col("j")
+    stretch = F.concat(F.substring("left", F.length("left") - start + 1, start), F.substring("right", F.lit(1), MIN_RUN - start))
+    tried = around.select("doc", "pos", "left", "right", F.explode(F.sequence(F.lit(0), F.least(F.length("left"), F.lit(MIN_RUN - UNIT)))).alias("j"))
+    tried = tried.select("doc", (F.col("pos") - start).alias("lo"), stretch.alias("s")).where(F.length("s") == MIN_RUN)
+    tried = tried.select("doc", "lo", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit("second"), "s").alias("k2")).distinct()
+    several = tried.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("k1", "k2")
+    parts = tried.join(several, ["k1", "k2"]).select("doc", "lo").distinct()
+    # stretches overlap: of each only what lies beyond the one before it is counted
+    before = F.lag("lo").over(W.partitionBy("doc").orderBy("lo"))
+    covered = parts.withColumn("new", F.least(F.lit(MIN_RUN), F.coalesce(F.col("lo") - before, F.lit(MIN_RUN)))).groupBy("doc").agg(F.sum("new").alias("covered"))
     sizes = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.length(text), F.lit(0)).alias("chars")).where("doc is not null")
     whole = copies.select("doc", F.lit(True).alias("copy"))
     found = sizes.join(whole, "doc", "left").join(covered, "doc", "left")
