@@ -5,11 +5,11 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymill.session import attach, cut
@@ -58,19 +58,22 @@ def readings(text: str | None, sure: bool = False) -> list[tuple[str, str, str]]
     return list(dict.fromkeys(x for x in found if x[0]))
 
 
-def _tokens(name: Column) -> Column:
-    """The letter pairs of ``^name$``, each with its number among its equals: a set that counts repeats. Names of up to three letters also give what is left of them after two deletions."""
-    padded = F.concat(F.lit("^"), name, F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: F.substring(padded, i, F.lit(GRAM)))
-    numbered = F.transform(grams, lambda x, i: F.concat(x, F.size(F.filter(F.slice(grams, 1, i), lambda y: y == x)).cast("string")))
-    return numbered
+def tokens(name: str) -> list[str]:
+    """The letter pairs of ``^name$``, each with its number among its equals: a set that counts repeats."""
+    padded, seen = f"^{name}$", Counter()
+    out = []
+    for i in range(len(padded) - GRAM + 1):
+        g = padded[i : i + GRAM]
+        seen[g] += 1
+        out.append(f"{g}{seen[g]}")
+    return out
 
 
-def _short_keys(name: Column) -> Column:
-    """Names so short that two changes may leave no pair of letters in common: all results of up to two deletions."""
-    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substring(name, i, F.lit(1)))
-    without = F.flatten(F.transform(letters, lambda _, i: F.transform(letters, lambda _, j: F.array_join(F.filter(letters, lambda x, k: (k != i) & (k != j)), ""))))
-    return F.when(F.length(name) <= 3, F.array_distinct(F.concat(F.array(name), without))).otherwise(F.array().cast("array<string>"))
+def short_keys(name: str) -> list[str]:
+    """Names of up to three letters may have no pair of letters in common after two changes: all results of up to two deletions."""
+    if len(name) > CHANGES * GRAM - 1:
+        return []
+    return sorted({"~" + "".join(x) for k in range(max(0, len(name) - CHANGES), len(name) + 1) for x in itertools.combinations(name, k)})
 
 
 def _prefixes(names: DataFrame, rarity: DataFrame, rare_rows: int) -> DataFrame:
@@ -94,24 +97,24 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
     repeated or null names of the list are allowed; an empty list maps all to -1. Texts of any length
     are taken whole.
     """
-    schema = "value string, name string, marks string, bare string"
+    schema = "value string, name string, marks string, bare string, tokens array<string>, short array<string>"
 
     def read(batches: Iterator[pd.DataFrame], sure: bool) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(v, *r) for v in b.iloc[:, 0] for r in readings(v, sure)], columns=["value", "name", "marks", "bare"])
+            yield pd.DataFrame([(v, *r, tokens(r[0]), short_keys(r[0])) for v in b.iloc[:, 0] for r in readings(v, sure)], columns=["value", "name", "marks", "bare", "tokens", "short"])
 
     values = cut(entries.select(F.col(entry).cast("string").alias("value")).where("value is not null").distinct(), "values")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = cut(
-        values.mapInPandas(lambda x: read(x, False), schema)
+        values.repartition(parts, "value").mapInPandas(lambda x: read(x, False), schema)
         .select(F.xxhash64("value", "name", "marks").alias("id"), "*")
-        .withColumn("tokens", _tokens(F.col("name")))
         .withColumn("n", F.size("tokens")),
         "read",
     )
     listed = canon.select(F.col(ref).cast("int").alias("ref"), F.explode(F.array(*names)).alias("value")).where("ref is not null and value is not null")
     said = listed.select("value").distinct().mapInPandas(lambda x: read(x, True), schema)
     right = cut(
-        listed.join(said, "value").select("ref", "name", "marks").distinct().select(F.xxhash64("ref", "name", "marks").alias("id"), "*").withColumn("tokens", _tokens(F.col("name"))).withColumn("n", F.size("tokens")),
+        listed.join(said, "value").select("ref", "name", "marks", "tokens", "short").distinct().select(F.xxhash64("ref", "name", "marks").alias("id"), "*").withColumn("n", F.size("tokens")),
         "canon",
     )
     rarity = cut(left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens"))).groupBy("token").agg(F.count("*").alias("freq")), "rarity")
@@ -119,7 +122,7 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
     rights = right.count()
 
     def keys(side: DataFrame) -> DataFrame:
-        short = side.select("id", F.lit(0).alias("place"), F.explode(_short_keys(F.col("name"))).alias("token")).withColumn("token", F.concat(F.lit("~"), "token"))
+        short = side.select("id", F.lit(0).alias("place"), F.explode("short").alias("token"))
         return _prefixes(side, rarity, rare_rows).unionByName(short).join(attach(side.select("id", "n", "marks"), rights if side is right else None), "id")
 
     a = keys(left).select(F.col("id").alias("a"), F.col("place").alias("pa"), "token", F.col("n").alias("na"), "marks")
