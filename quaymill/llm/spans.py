@@ -16,6 +16,8 @@ from quaymill.session import attach, cut
 #: Characters of a unit, and unit starts of which at least one is kept: a run of UNIT + WINDOW - 1 characters holds a kept unit.
 UNIT, WINDOW = 75, 76
 MIN_RUN = UNIT + WINDOW - 1
+#: Places of an anchor up to which its texts are compared in pairs for the shares.
+CROWD = 32
 #: Characters of a text that are hashed at a time.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -66,11 +68,13 @@ def units(text: str, unit: int = UNIT, window: int = WINDOW) -> tuple[np.ndarray
     h, p = np.concatenate(digests), np.concatenate(offsets)
     order = np.lexsort((p, h))
     h, p = h[order], p[order]
-    # in a passage that repeats itself only the first and the last of overlapping equal units are kept
-    follows = np.r_[False, (h[1:] == h[:-1]) & (p[1:] - p[:-1] <= window)]
-    goes_on = np.r_[follows[1:], False]
-    first = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])] if len(h) else follows
-    keep = ~(follows & goes_on) & first
+    # in a passage that repeats itself equal units overlap: of such a chain the first, the last and one in each half window are kept
+    first = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])] if len(h) else np.empty(0, bool)
+    h, p = h[first], p[first]
+    follows = np.r_[False, (h[1:] == h[:-1]) & (p[1:] - p[:-1] <= window)] if len(h) else first[:0]
+    begins = np.flatnonzero(~follows)
+    step = (p - p[begins][np.cumsum(~follows) - 1]) // (window // 2)
+    keep = ~(follows & np.r_[follows[1:], False] & np.r_[False, step[1:] == step[:-1]])
     return h[keep].view(np.int64), p[keep].astype(np.int32)
 
 
@@ -164,20 +168,27 @@ def shared_pairs(runs: DataFrame, copies: DataFrame) -> DataFrame:
 def shared_share(docs: DataFrame, key: str, text: str, around: DataFrame, copies: DataFrame) -> DataFrame:
     """``(doc, chars, shared_chars, share)`` for each key: characters inside runs of at least ``MIN_RUN`` that occur in another record too.
 
-    No pair is formed: every stretch of ``MIN_RUN`` characters that holds an anchor is hashed, and those
-    that occur in two texts count; their union is the union of all shared runs. A passage in a third of
-    all records costs one row per record and place. Copies are shared as a whole. A null text has 0.
+    Texts with a common anchor are compared in pairs as long as at most ``CROWD`` places have it. Of an
+    anchor found more often no pair is formed: every stretch of ``MIN_RUN`` characters that holds it is
+    hashed, and those that occur in two texts count; their union is the union of all shared runs. So a
+    passage in a third of all records costs some rows per record and place, not pairs of records. Copies
+    are shared as a whole. A null text has 0.
     """
+    crowds = cut(around.groupBy("digest").count().where(F.col("count") > CROWD).select("digest"), "crowds")
+    n = crowds.count()
+    runs = cut(shared_runs(around.join(attach(crowds, n), "digest", "left_anti")), "runs")
+    parts = runs.select(F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).union(runs.select("b", "b_from", "b_to"))
     start = F.col("j")
     stretch = F.concat(F.substring("left", F.length("left") - start + 1, start), F.substring("right", F.lit(1), MIN_RUN - start))
-    tried = around.select("doc", "pos", "left", "right", F.explode(F.sequence(F.lit(0), F.least(F.length("left"), F.lit(MIN_RUN - UNIT)))).alias("j"))
+    tried = around.join(attach(crowds, n), "digest", "left_semi").select("doc", "pos", "left", "right", F.explode(F.sequence(F.lit(0), F.least(F.length("left"), F.lit(MIN_RUN - UNIT)))).alias("j"))
     tried = tried.select("doc", (F.col("pos") - start).alias("lo"), stretch.alias("s")).where(F.length("s") == MIN_RUN)
-    tried = tried.select("doc", "lo", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit("second"), "s").alias("k2")).distinct()
+    tried = cut(tried.select("doc", "lo", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit("second"), "s").alias("k2")), "stretches")
     several = tried.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("k1", "k2")
-    parts = tried.join(several, ["k1", "k2"]).select("doc", "lo").distinct()
-    # stretches overlap: of each only what lies beyond the one before it is counted
-    before = F.lag("lo").over(W.partitionBy("doc").orderBy("lo"))
-    covered = parts.withColumn("new", F.least(F.lit(MIN_RUN), F.coalesce(F.col("lo") - before, F.lit(MIN_RUN)))).groupBy("doc").agg(F.sum("new").alias("covered"))
+    parts = parts.union(tried.join(several, ["k1", "k2"]).select("doc", "lo", F.col("lo") + MIN_RUN)).distinct()
+    # parts overlap: of each only what lies beyond the furthest end before it is counted
+    before = W.partitionBy("doc").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(before), F.lit(0))))
+    covered = parts.withColumn("new", fresh).groupBy("doc").agg(F.sum("new").alias("covered"))
     sizes = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.length(text), F.lit(0)).alias("chars")).where("doc is not null")
     whole = copies.select("doc", F.lit(True).alias("copy"))
     found = sizes.join(whole, "doc", "left").join(covered, "doc", "left")
