@@ -32,4 +32,4 @@ def no_number(c: Column, most: float, least: float = 0.0) -> Column:
 def no_value(c: Column) -> Column:
     """True for null and NaN; never null."""
     d = c.cast("double")
-    return F.coalesce(F.isnan(d), F.lit(True))
+    return d.isNull() | F.isnan(d)  # isnan of null is False
