@@ -257,7 +257,7 @@ def concave_hull(points: np.ndarray, ratio: float = 0.3) -> np.ndarray:
             f = np.array(sorted(free))
             u = (b[0] - a[0]) / ab, (b[1] - a[1]) / ab
             along, away = (f - a) @ u, (f[:, 1] - a[1]) * u[0] - (f[:, 0] - a[0]) * u[1]
-            can = (along > 0) & (along < ab) & (away > 0)
+            can = (along > 1e-9) & (along < ab - 1e-9) & (away > -1e-9)  # points on the edge come first
             steep = np.maximum(np.arctan2(away, along), np.arctan2(away, ab - along))
             h = np.array(hull)
             for k in np.argsort(np.where(can, steep, np.inf))[:8]:

@@ -56,6 +56,13 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that ``cut`` has written. Call it when no result of a query is still to be read; the end of the session does it for local and mounted folders."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quaymill")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``limit`` rows; beyond that the join
     shuffles, and adaptive execution splits its skewed partitions."""

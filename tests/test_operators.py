@@ -308,3 +308,31 @@ def test_readiness(spark):
 
     days = spark.createDataFrame([(dt.date(2025, 9, 1), False), (dt.date(2025, 9, 1), False), (dt.date(2025, 9, 3), False), (dt.date(2025, 9, 6), False), (dt.date(2025, 9, 5), True), (None, False)], "d date, p boolean")
     assert tuple(X.readiness(days, "d", "p", 2).first()) == (2, True, dt.date(2025, 9, 6), 3)
+
+
+def test_station_features(spark):
+    from quaymill.operators import features as S
+
+    nodes = spark.createDataFrame([(r * 10 + c, c * 100.0, r * 100.0) for r in range(9) for c in range(9)], "id int, x double, y double")
+    pairs = [(r * 10 + c, r * 10 + c + 1) for r in range(9) for c in range(8)] + [(r * 10 + c, r * 10 + c + 10) for r in range(8) for c in range(9)]
+    edges = spark.createDataFrame([(a, b, 110.0) for a, b in pairs] + [(b, a, 110.0) for a, b in pairs], "src int, dst int, length double")
+    st = spark.createDataFrame([(1, 400.0, 400.0), (2, 9000.0, 9000.0)], "id int, x double, y double")
+    got = {r["id"]: r for r in S.design_features(st, nodes, edges, 150.0).collect()}
+    assert got[1]["intersections"] == 9 and got[1]["circuity"] == pytest.approx(1.1) and got[2]["intersections"] == 0 and got[2]["street_density"] == 0
+    km2 = 32 * math.sin(2 * math.pi / 64) * 150**2 / 1e6
+    assert got[1]["intersection_density"] == pytest.approx(9 / km2) and got[1]["street_density"] == pytest.approx(24 * 2 * 0.11 / km2)
+    c = S.network_catchments(st, nodes, edges, 350.0, 200.0).collect()
+    assert len(c) == 1 and c[0]["nodes"] == 25 and 0.4 < c[0]["pnr"] <= 0.47 and c[0]["snap_m"] == 0
+    pois = spark.createDataFrame([(1, 410.0, 400.0, "shop"), (2, 400.0, 420.0, "bank"), (3, 400.0, 900.0, "shop")], "id int, x double, y double, kind string")
+    p = {r["id"]: r for r in S.poi_features(st, pois, 150.0, {"retail": ["shop"], "office": ["bank", "desk"]}).collect()}
+    assert (p[1]["poi_retail"], p[1]["poi_office"], p[1]["poi_total"], p[2]["poi_total"]) == (1, 1, 2, 0)
+    park = pois.select("id", "x", "y", F.lit(50.0).alias("area_m2"))
+    f = {r["id"]: r for r in S.feeder_features(st, pois, park, pois, 150.0, 600.0, 50.0).collect()}
+    assert (f[1]["bus_stops"], f[1]["parking_area_m2"], f[1]["is_intermodal_hub"], f[2]["parking_area_m2"]) == (2, 150.0, 1, 0.0)
+    cells = spark.createDataFrame([(0, 0, 400.0, 400.0, 500.0), (0, 1, 450.0, 400.0, 300.0)], "row int, col int, x double, y double, value double")
+    d = {r["id"]: r for r in S.density_features(st, cells, 150.0).collect()}
+    assert d[1]["population"] == 800 and d[1]["density_km2"] == pytest.approx(800 / km2) and d[2]["population"] is None
+    e = {r["id"]: r["landuse_entropy"] for r in S.landuse_features(st, cells, 150.0).collect()}
+    assert e == {1: pytest.approx(1.0)}
+    a = S.assembled(st, S.design_features(st, nodes, edges, 150.0), ranked=("intersections",))
+    assert {r["id"]: r["intersections_pctl"] for r in a.collect()} == {1: 1.0, 2: 0.5}
