@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,12 +22,16 @@ CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
-@cache
+_made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     n = CHUNK + MIN_RUN
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    if n not in _made:
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _made[n] = np.cumprod(up), np.cumprod(down)
+    return _made[n]
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:

@@ -14,18 +14,18 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits a text before the merges of the vocabulary. A fixed value of these rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_loaded: dict[str, object] = {}
-
 
 def encoding(path: str):
-    """The tokenizer of ``path``, loaded once in a Python worker."""
-    if path not in _loaded:
-        import tiktoken
+    """The tokenizer of ``path``, kept in the library's registry: loaded once in a Python worker, which outlives its tasks."""
+    import tiktoken
+    from tiktoken.registry import ENCODINGS
 
+    name = f"ranks:{path}"
+    if name not in ENCODINGS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        ENCODINGS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return ENCODINGS[name]
 
 
 def with_tokens(df: DataFrame, text: str, keep: list, vocabulary: str = VOCABULARY) -> DataFrame:
