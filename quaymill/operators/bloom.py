@@ -54,3 +54,9 @@ def probe(rows: DataFrame, key: str, bloom: DataFrame, words: int, out: str) ->
         .withColumn(out, k.isNotNull() & hit)
         .drop("__word", "__bits")
     )
+
+
+def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``key`` is surely in no row of ``keys (key)``: what is left before a join shuffles it. ``keys`` should be a written table."""
+    words = words_for(keys.count())
+    return probe(rows, key, build(keys, key, words), words, "__may").where("__may").drop("__may")
