@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymill.operators.bloom import may_hold
 from quaymill.session import attach, cut
 
 #: Characters of a unit, and unit starts of which at least one is kept: a run of UNIT + WINDOW - 1 characters holds a kept unit.
@@ -129,11 +130,11 @@ def anchors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     extra = copies.where("doc <> rep").select("doc")
     own = rows.join(attach(extra), "doc", "left_anti")
     kept = cut(own.mapInPandas(_unit_batches, "doc bigint, digest bigint, pos int"), "units")
-    shared = kept.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("digest")
-    found = cut(kept.join(shared, "digest").select("doc", "digest", "pos"), "anchors")
+    shared = cut(kept.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("digest"), "shared")
+    found = cut(may_hold(kept, "digest", shared).join(shared, "digest").select("doc", "digest", "pos"), "anchors")
     spots = found.groupBy("doc").agg(F.collect_list(F.struct("digest", "pos")).alias("spots"))  # at most a text's units
     around = (
-        own.join(spots, "doc")
+        may_hold(own, "doc", cut(found.select("doc").distinct(), "with-anchors")).join(spots, "doc")
         .select("doc", "text", F.explode("spots").alias("s"))
         .select(
             "doc",
