@@ -283,3 +283,32 @@ def candidate_features(df: DataFrame, deny: set[str], prefixes: tuple[str, ...]
     """Numeric columns that aren't denied by name or prefix."""
     numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
     return [c for c, t in df.dtypes if (t in numeric or t.startswith("decimal")) and c not in deny and not c.startswith(prefixes or ("\0",))]
+
+
+def run(train: DataFrame, rows: DataFrame, key: str, features: list[str], target: str, core: list[str] = (), kinds: tuple[str, ...] = ("linear", "elastic_net", "random_forest"), folds: int = 5, replicates: int = 200, **how) -> tuple[DataFrame, DataFrame]:
+    """From raw tables to predictions: gaps filled with the training medians, skewed features logged, features screened,
+    models compared on held-out rows, the best one applied.
+
+    Returns the metrics ``(model, n, r2, mae, rmse, mape, spearman, chosen)`` and ``(key, predicted, lower, upper)`` of
+    ``rows``, whose features get the medians and logarithms of the training table. The bounds are those of least squares.
+    """
+    home, medians = clean(train.where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))), features)
+    home, logged = log_skewed(cut(home, "train"), features)
+    home = cut(home, "logged")
+    kept = screen(home, features, target, list(core))
+    metrics = cut(model_table(home, key, kept, target, list(kinds), folds, **how), "metrics")
+    best = best_model(metrics).first()["model"]
+    away = cut(log_skewed(clean(rows, features, medians)[0], features, columns=logged)[0], "rows")
+    model = fitted(home, kept, target, best, **({} if best in ("linear", "elastic_net") else how))
+    bounds = bootstrap_intervals(home, target, kept, away, key, replicates)
+    out = predicted(model, away).select(key, "predicted").join(bounds, key)
+    return metrics.withColumn("chosen", F.col("model") == best), out
+
+
+def transfer_check(predictions: DataFrame, observed: DataFrame, key: str, predicted_col: str, observed_col: str, least: int = 5) -> DataFrame:
+    """How predictions meet what was observed of the same keys: the fit metrics, the ratio of the totals and whether it lies
+    within 15 percent; nulls in all of them below ``least`` pairs."""
+    j = cut(predictions.select(key, F.col(predicted_col).alias("p")).join(observed.select(key, F.col(observed_col).alias("o")), key).where("p is not null and o is not null"), "pairs")
+    m = fit_metrics(j, "o", "p").withColumn("ratio", j.agg(F.try_divide(F.sum("p"), F.sum("o"))).scalar())
+    m = m.withColumn("in_band", F.col("ratio").between(0.85, 1.15))
+    return m.select("n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in m.columns if c != "n"))

@@ -336,3 +336,15 @@ def test_station_features(spark):
     assert e == {1: pytest.approx(1.0)}
     a = S.assembled(st, S.design_features(st, nodes, edges, 150.0), ranked=("intersections",))
     assert {r["id"]: r["intersections_pctl"] for r in a.collect()} == {1: 1.0, 2: 0.5}
+
+
+def test_a_whole_model_run(spark):
+    t = _train(spark)
+    t.loc[3, "a"] = np.nan
+    df = spark.createDataFrame(t)
+    metrics, out = L.run(df.where("id < 150"), df.where("id >= 150"), "id", ["a", "b", "flat"], "y", kinds=("linear", "random_forest"), folds=2, replicates=40, trees=10)
+    assert metrics.where("chosen").count() == 1 and metrics.where("model = 'linear'").first()["r2"] > 0.8
+    assert out.count() == 50 and out.where("lower > upper or predicted is null").count() == 0
+    check = L.transfer_check(out, df, "id", "predicted", "y").first()
+    assert check["n"] == 50 and check["r2"] > 0.7 and check["in_band"]
+    assert L.transfer_check(out.limit(2), df, "id", "predicted", "y").first()["r2"] is None
