@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymill.operators.graph import components
+from quaymill.operators.tables import row_numbers
 from quaymill.session import cut
 
 _A, _F = 6_378_137.0, 1 / 298.257223563
@@ -197,11 +198,11 @@ def line_mapping(points: DataFrame, segs: DataFrame, radius: float, own: str) ->
     """How near the points of each ``own`` value lie to each line: ``(own, line, median_m, points, best)``; distances beyond ``radius`` count as it."""
     d = near_segments(points, segs, radius).groupBy("id", "line").agg(F.min("distance").alias("d"))
     p = points.select("id", F.col(own).alias("own")).where("own is not null")
-    size = p.groupBy("own").agg(F.count("*").alias("all"))
-    lists = d.join(p, "id").groupBy("own", "line").agg(F.collect_list("d").alias("ds"), F.count("*").alias("points")).join(size, "own")
-    padded = F.array_sort(F.concat("ds", F.array_repeat(F.lit(float(radius)), (F.col("all") - F.col("points")).cast("int"))))
-    mid = (F.get(padded, F.floor((F.col("all") - 1) / 2).cast("int")) + F.get(padded, F.floor(F.col("all") / 2).cast("int"))) / 2
-    out = lists.select("own", "line", mid.alias("median_m"), "points")
+    near_ = d.join(p, "id").groupBy("own", "line", "d").agg(F.count("*").alias("k"))
+    seen = near_.groupBy("own", "line").agg(F.sum("k").alias("points")).join(p.groupBy("own").agg(F.count("*").alias("all")), "own")
+    far = seen.where("all > points").select("own", "line", F.lit(float(radius)).alias("d"), (F.col("all") - F.col("points")).alias("k"))
+    mid = near_.union(far).groupBy("own", "line").agg(F.percentile("d", 0.5, F.col("k")).alias("median_m"))
+    out = mid.join(seen.select("own", "line", "points"), ["own", "line"]).select("own", "line", "median_m", "points")
     best = F.row_number().over(W.partitionBy("own").orderBy("median_m", "line")) == 1
     return out.withColumn("best", best)
 
@@ -382,9 +383,8 @@ def morans_i(points: DataFrame, value: str, radius: float, k: int = 6, permutati
     if not permutations:
         return i.select("i", F.lit(None).cast("double").alias("p"))
     many = z.select("id", "z", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
-    ranked = many.withColumn("slot", F.row_number().over(W.partitionBy("rep").orderBy(F.xxhash64("id", "rep", F.lit(seed)), "id")))
-    home = many.withColumn("slot", F.row_number().over(W.partitionBy("rep").orderBy("id"))).select("rep", "slot", "id")
+    ranked = row_numbers(many.withColumn("h", F.xxhash64("id", "rep", F.lit(seed))), ["rep"], ["h", "id"], "slot")
+    home = row_numbers(many, ["rep"], ["id"], "slot").select("rep", "slot", "id")
     drawn = cut(ranked.select("rep", "slot", "z").join(home, ["rep", "slot"]).select("rep", "id", "z"), "drawn")
     tops = index(drawn, "rep").withColumn("perm", F.col("top") / n.scalar())
-    seen = i.select("i").withColumn("one", F.lit(1)).join(tops.withColumn("one", F.lit(1)), "one")
-    return seen.groupBy("i").agg(((F.count_if(F.abs("perm") >= F.abs("i")) + 1) / (F.count("*") + 1)).alias("p"))
+    return tops.withColumn("i", i.select("i").scalar()).groupBy("i").agg(((F.count_if(F.abs("perm") >= F.abs("i")) + 1) / (F.count("*") + 1)).alias("p"))
