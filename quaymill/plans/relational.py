@@ -42,15 +42,15 @@ def q_full_outer_hourly(spark: S, d: str) -> DataFrame:
 _DAILY = "WITH day AS (SELECT event_type AS station, ts::DATE AS day, sum(value) AS b FROM events GROUP BY 1, 2)"
 
 
-@R.query(_DAILY + """ SELECT station, round(avg(b), 4) AS all_mean, count(DISTINCT day) AS all_days, round(avg(b) FILTER (isodow(day) < 6), 4) AS weekday_mean,
-count(*) FILTER (isodow(day) < 6) AS weekday_days, round(avg(b) FILTER (isodow(day) >= 6), 4) AS weekend_mean,
+@R.query(_DAILY + """ SELECT station, round(avg(b), 6) AS all_mean, count(DISTINCT day) AS all_days, round(avg(b) FILTER (isodow(day) < 6), 6) AS weekday_mean,
+count(*) FILTER (isodow(day) < 6) AS weekday_days, round(avg(b) FILTER (isodow(day) >= 6), 6) AS weekend_mean,
 round(avg(b) FILTER (isodow(day) >= 6) / avg(b) FILTER (isodow(day) < 6), 4) AS weekend_ratio, round(stddev_samp(b), 4) AS sd FROM day GROUP BY 1""")
 def q_station_target(spark: S, d: str) -> DataFrame:
     day = _hourly(spark, d).groupBy("station", "day").agg(F.sum("value").alias("b")).withColumn("w", F.weekday("day") < 5)
     week, end = F.when(F.col("w"), F.col("b")), F.when(~F.col("w"), F.col("b"))
     return day.groupBy("station").agg(
-        _r(F.avg("b")).alias("all_mean"), F.count_distinct("day").alias("all_days"), _r(F.avg(week)).alias("weekday_mean"), F.count(week).alias("weekday_days"),
-        _r(F.avg(end)).alias("weekend_mean"), _r(F.try_divide(F.avg(end), F.avg(week))).alias("weekend_ratio"), _r(F.stddev_samp("b")).alias("sd"),
+        _r(F.avg("b"), 6).alias("all_mean"), F.count_distinct("day").alias("all_days"), _r(F.avg(week), 6).alias("weekday_mean"), F.count(week).alias("weekday_days"),
+        _r(F.avg(end), 6).alias("weekend_mean"), _r(F.try_divide(F.avg(end), F.avg(week))).alias("weekend_ratio"), _r(F.stddev_samp("b")).alias("sd"),
     )
 
 
@@ -319,12 +319,12 @@ def q_zscore(spark: S, d: str) -> DataFrame:
 _MONTHS = "WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS t FROM orders GROUP BY 1)"
 
 
-@R.query(_MONTHS + """, r AS (SELECT t, row_number() OVER (ORDER BY month DESC) AS k FROM m) SELECT n, round(avg(t), 2) AS trailing FROM r, (VALUES (3), (6), (12), (24)) v(n) WHERE k <= n GROUP BY 1""")
+@R.query(_MONTHS + """, r AS (SELECT t, row_number() OVER (ORDER BY month DESC) AS k FROM m) SELECT n, round(avg(t), 5) AS trailing FROM r, (VALUES (3), (6), (12), (24)) v(n) WHERE k <= n GROUP BY 1""")
 def q_trailing_mean(spark: S, d: str) -> DataFrame:
     """Means of the last 3, 6, 12 and 24 months."""
     m = table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("t"))
     last = m.orderBy(F.desc("month")).limit(24).withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("month"))))
-    return last.withColumn("n", F.explode(F.array(*map(F.lit, (3, 6, 12, 24))))).where("k <= n").groupBy("n").agg(F.round(F.avg("t"), 2).alias("trailing"))
+    return last.withColumn("n", F.explode(F.array(*map(F.lit, (3, 6, 12, 24))))).where("k <= n").groupBy("n").agg(F.round(F.avg("t"), 5).alias("trailing"))
 
 
 @R.query(_MONTHS + " SELECT month, round(t / lag(t, 12) OVER (ORDER BY month) - 1, 6) AS yoy FROM m")
