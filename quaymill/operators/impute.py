@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from quaymill.session import attach, cut
 
-#: Steps in which a cell's distribution of classes is kept.
-SLOTS = 64
+#: A draw is one of 2^DRAW whole numbers; the first SLOT bits of it make the join an equi-join.
+DRAW, SLOT = 31, 6
 #: Observed rows a cell needs to be asked for a class.
 CELL_ROWS = 5
 #: Rows at the overall mean that each group's mean is mixed with.
@@ -60,7 +60,10 @@ def _fit(rows: DataFrame, y: Column, xs: list[Column]) -> tuple[np.ndarray, floa
 
 
 def _class_tables(rows: DataFrame, label: Column, levels: list[list[Column]]) -> list[DataFrame]:
-    """For each level of cells a table (cell, slot, class) with SLOTS equal steps of the cell's distribution of classes."""
+    """For each level of cells a table (cell, slot, from, to, class): the draws that give each class, as many as its share of the cell's rows.
+
+    Every class of a cell has its draws, however rare it is; a class stands in each slot that its draws touch.
+    """
     out = []
     for cell in levels:
         counts = rows.groupBy(F.to_json(F.array(*(c.cast("string") for c in cell))).alias("__cell") if cell else F.lit("all").alias("__cell"), label.alias("__class")).count()
@@ -70,11 +73,10 @@ def _class_tables(rows: DataFrame, label: Column, levels: list[list[Column]]) ->
             .where(F.col("__n") >= (CELL_ROWS if cell else 1))
             .withColumn("__hi", F.sum("count").over(w.orderBy("__class").rowsBetween(W.unboundedPreceding, 0)))
             .withColumn("__lo", F.col("__hi") - F.col("count"))
-            # slot j holds the class whose share covers (j + 0.5) / SLOTS
-            .withColumn("__a", F.ceil(F.col("__lo") * SLOTS / F.col("__n") - 0.5))
-            .withColumn("__b", F.ceil(F.col("__hi") * SLOTS / F.col("__n") - 0.5) - 1)
-            .where("__a <= __b")
-            .select("__cell", F.explode(F.sequence(F.col("__a").cast("int"), F.col("__b").cast("int"))).alias("__slot"), "__class")
+            # a draw m is row m * n / 2^DRAW of the cell's rows in order of class; all in whole numbers
+            .withColumn("__from", F.expr(f"(shiftleft(__lo, {DRAW}) + __n - 1) div __n"))
+            .withColumn("__to", F.expr(f"(shiftleft(__hi, {DRAW}) + __n - 1) div __n - 1"))
+            .select("__cell", F.explode(F.sequence(F.shiftright("__from", DRAW - SLOT), F.shiftright("__to", DRAW - SLOT))).alias("__slot"), "__from", "__to", "__class")
         )
         out.append(slots)
     return out
@@ -125,11 +127,12 @@ def impute(df: DataFrame, key: str, fields: list[Field], helpers: list[str], blo
     def fill_class(now: DataFrame, f: Field, turn: int, levels: list[list[Column]]) -> DataFrame:
         m, o, v = f"__m_{f.name}", f"__o_{f.name}", f"__v_{f.name}"
         tables = _class_tables(now.where(~F.col(m)), F.col(o), levels)
-        gaps = now.where(m).withColumn("__slot", F.floor(_uniform(F.col("__key"), f.name, seed, turn) * SLOTS).cast("int"))
+        gaps = now.where(m).withColumn("__draw", F.floor(_uniform(F.col("__key"), f.name, seed, turn) * (1 << DRAW)))
         for i, (cell, t) in enumerate(zip(levels, tables)):
             t = cut(t, "classes")
-            gaps = gaps.withColumn("__cell", F.to_json(F.array(*(c.cast("string") for c in cell))) if cell else F.lit("all"))
-            gaps = gaps.join(attach(t.withColumnRenamed("__class", f"__c{i}")), ["__cell", "__slot"], "left").drop("__cell")
+            gaps = gaps.withColumn("__in", F.to_json(F.array(*(c.cast("string") for c in cell))) if cell else F.lit("all"))
+            drawn = (F.col("__in") == F.col("__cell")) & (F.shiftright("__draw", DRAW - SLOT) == F.col("__slot")) & F.col("__draw").between(F.col("__from"), F.col("__to"))
+            gaps = gaps.join(attach(t.withColumnRenamed("__class", f"__c{i}")), drawn, "left").drop("__in", "__cell", "__slot", "__from", "__to")
         gaps = gaps.withColumn(v, F.coalesce(*(f"__c{i}" for i in range(len(levels)))))
         base = [c for c in now.columns if c != v]
         return now.where(~F.col(m)).select(*base, F.col(o).alias(v)).unionByName(gaps.select(*base, v))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quaymill.functions.missing import no_number, no_text
 from quaymill.operators import bloom
-from quaymill.operators.impute import Field, impute, missing_cases
+from quaymill.operators.impute import DRAW, Field, _class_tables, impute, missing_cases
 from quaymill.operators.orphans import orphan_references
 from quaymill.operators.proximity import EARTH_M, inside, located, near_pairs
 from quaymill.operators.regrid import daily_grid, regular_grid, smooth
@@ -140,6 +140,24 @@ def test_imputation(spark):
     assert cases.where("field = 'a'").count() == len(gaps)
 
 
+def test_imputation_keeps_rare_classes(spark):
+    sizes = {f"L{i:03}": 1 + i % 7 for i in range(300)} | {"L999": 3000}
+    rows = [(line, "p1") for line, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "line string, phase string")
+    draws = {}
+    for r in _class_tables(df, F.col("line"), [[F.col("phase")]])[0].select("__class", "__from", "__to").distinct().collect():
+        draws[r["__class"]] = (r["__from"], r["__to"])
+    assert set(draws) == set(sizes)
+    at = 0
+    for line in sorted(sizes):  # no gap, no overlap, the exact share
+        assert draws[line][0] == at and abs(draws[line][1] + 1 - at - sizes[line] * 2**DRAW / len(rows)) < 1
+        at = draws[line][1] + 1
+    assert at == 2**DRAW
+    even = [(f"k{i}", 1.0, f"L{i % 300:03}" if i < 3000 else None, "p1") for i in range(12000)]
+    got = impute(spark.createDataFrame(even, "id string, a double, line string, phase string"), "id", [FIELDS[0], FIELDS[2]], [], ["phase"])
+    assert got.where("line is null").count() == 0 and got.where("line_filled").select("line").distinct().count() == 300
+
+
 def test_imputation_of_nothing_and_of_all(spark):
     df = _stations(spark, 30)
     assert impute(df.limit(0), "id", FIELDS, ["h"], ["phase"]).count() == 0
