@@ -72,13 +72,17 @@ def units(text: str, unit: int = UNIT, window: int = WINDOW) -> tuple[np.ndarray
     h, p = np.concatenate(digests), np.concatenate(offsets)
     order = np.lexsort((p, h))
     h, p = h[order], p[order]
-    # in a passage that repeats itself equal units overlap: of such a chain the first, the last and one in each half window are kept
+    # in a passage that repeats itself equal units overlap, in chains of one period. All within ``deep`` of a chain's ends are kept, farther in
+    # one in each half window: there a whole run around a unit repeats itself, so that a kept unit a window from the ends finds it as well
     first = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])] if len(h) else np.empty(0, bool)
     h, p = h[first], p[first]
-    follows = np.r_[False, (h[1:] == h[:-1]) & (p[1:] - p[:-1] <= window)] if len(h) else first[:0]
+    follows = np.r_[False, (h[1:] == h[:-1]) & (p[1:] - p[:-1] <= unit // 2)] if len(h) else first[:0]
     begins = np.flatnonzero(~follows)
-    step = (p - p[begins][np.cumsum(~follows) - 1]) // (window // 2)
-    keep = ~(follows & np.r_[follows[1:], False] & np.r_[False, step[1:] == step[:-1]])
+    chain, deep = np.cumsum(~follows) - 1, window - 1 + unit // 2
+    since = p - p[begins][chain]
+    until = p[np.r_[begins[1:] - 1, len(p) - 1]][chain] - p if len(p) else since
+    step = since // (window // 2)
+    keep = ~((np.minimum(since, until) > deep) & np.r_[False, step[1:] == step[:-1]]) if len(p) else first
     return h[keep].view(np.int64), p[keep].astype(np.int32)
 
 

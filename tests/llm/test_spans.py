@@ -94,3 +94,24 @@ def test_repeated_lines_keep_the_earliest(spark):
     got = sorted((r["doc"], r["offset"], r["kept"], r["first_doc"]) for r in repeated_units(df, "doc_id", "text", ["at"]).collect())
     n = len(line)
     assert got == [(1, 6, False, 2), (2, 0, True, 2), (3, 0, False, 2), (3, n + 3, False, 2)]
+
+
+def _periodic(seed, cases=150):
+    """Pairs of texts that share a passage of a short period, which goes on for up to a period, or for long, in the second."""
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    docs = []
+    for i in range(cases):
+        unit = word(rnd.randint(1, 37))
+        n, at = len(unit), rnd.randrange(len(unit))
+        run = (unit * 200)[at : at + rnd.randint(150, 154)]
+        far = 400 if i % 5 == 0 else n - 1
+        left, right = rnd.randint(0, far), rnd.randint(0, far)
+        more = (unit * 600)[at + n * 400 - n * (left // n + 1) + (n - left % n) :][: left] + run + (unit * 600)[(at + len(run)) % n :][:right]
+        docs += [(2 * i, word(90) + run + word(90)), (2 * i + 1, word(90) + more + word(90))]
+    return docs
+
+
+def test_runs_of_short_period(spark):
+    _check(spark, _periodic(3))
+    _check(spark, [(1, "x" * 900), (2, "y" + "x" * 150 + "z"), (3, "ab" * 500), (4, "c" + "ab" * 76 + "d"), (5, "-" * 149), (6, "+" + "ab" * 300)])
