@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ def _points(spark: S, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") * 1000).alias("x"), (F.col("embedding")[1].cast("double") * 1000).alias("y"), "label")
 
 
-def _two(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
+def _two(spark: S, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stations and things: each tenth point and the others; if ``whole``, of every row the next two components and the first two."""
     p = _points(spark, d)
+    if whole:
+        e = table(spark, d, "embeddings")
+        return e.select(F.col("vec_id").alias("id"), (F.col("embedding")[2].cast("double") * 1000).alias("x"), (F.col("embedding")[3].cast("double") * 1000).alias("y"), "label"), p
     return p.where("id % 10 = 0"), p.where("id % 10 <> 0")
 
 
@@ -38,26 +44,26 @@ def _stations(spark: S, d: str) -> DataFrame:
 
 
 @R.query(_P + f" SELECT s.id, count(t.id) AS stops FROM s LEFT JOIN t ON {_D} <= 50 GROUP BY 1")
-def q_distance_count(spark: S, d: str) -> DataFrame:
-    a, b = _two(spark, d)
+def q_distance_count(spark: S, d: str, whole: bool = False) -> DataFrame:
+    a, b = _two(spark, d, whole)
     return G.count_near(a, b, 50.0).select("id", F.col("n").alias("stops"))
 
 
 @R.query(_P + f" SELECT s.id, coalesce(sum(t.label), 0) AS area FROM s LEFT JOIN t ON {_D} <= 50 GROUP BY 1")
-def q_distance_sum(spark: S, d: str) -> DataFrame:
-    a, b = _two(spark, d)
+def q_distance_sum(spark: S, d: str, whole: bool = False) -> DataFrame:
+    a, b = _two(spark, d, whole)
     return G.count_near(a, b, 50.0, "label").select("id", F.col("label").alias("area"))
 
 
 @R.query(_P + f" SELECT s.id AS a_id, arg_min(t.id, ({_D}, t.id)) AS b_id, round(min({_D}), 6) AS distance FROM s JOIN t ON {_D} <= 120 GROUP BY 1")
-def q_nearest(spark: S, d: str) -> DataFrame:
-    a, b = _two(spark, d)
+def q_nearest(spark: S, d: str, whole: bool = False) -> DataFrame:
+    a, b = _two(spark, d, whole)
     return G.nearest(a, b, 120.0).select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
 @R.query(_P + f" SELECT s.id AS a_id, t.id AS b_id, row_number() OVER (PARTITION BY s.id ORDER BY {_D}, t.id)::INT AS rk FROM s JOIN t ON {_D} <= 120 QUALIFY rk <= 6")
-def q_knn(spark: S, d: str) -> DataFrame:
-    a, b = _two(spark, d)
+def q_knn(spark: S, d: str, whole: bool = False) -> DataFrame:
+    a, b = _two(spark, d, whole)
     return G.nearest(a, b, 120.0, 6).select("a_id", "b_id", F.col("rk").cast("int").alias("rk"))
 
 
@@ -80,16 +86,16 @@ def q_closest_pair(spark: S, d: str) -> DataFrame:
 _SEG = "seg AS (SELECT label AS line, id AS part, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM (SELECT * FROM p WHERE id % 5 = 0) WINDOW w AS (PARTITION BY label ORDER BY id)), g AS (SELECT * FROM seg WHERE x2 IS NOT NULL)"
 
 
-def _segs(spark: S, d: str) -> DataFrame:
-    """The fifth points of each label, in id order, as a line."""
-    p = _points(spark, d).where("id % 5 = 0")
+def _segs(spark: S, d: str, whole: bool = False) -> DataFrame:
+    """The fifth points of each label, or all of them, in id order, as a line."""
+    p = _points(spark, d) if whole else _points(spark, d).where("id % 5 = 0")
     lines = p.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("pts"))
     return G.segments(lines, "label", "pts")
 
 
 @R.query(_P + ", " + _SEG + " SELECT line, round(sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)), 4) AS length, count(*) AS parts FROM g GROUP BY 1")
-def q_line_length(spark: S, d: str) -> DataFrame:
-    return G.line_lengths(_segs(spark, d)).select("line", F.round("length", 4).alias("length"), "parts")
+def q_line_length(spark: S, d: str, whole: bool = False) -> DataFrame:
+    return G.line_lengths(_segs(spark, d, whole)).select("line", F.round("length", 4).alias("length"), "parts")
 
 
 _FOOT = "least(1, greatest(0, ((s.x - x1) * (x2 - x1) + (s.y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))"
@@ -97,32 +103,32 @@ _FOOT = "least(1, greatest(0, ((s.x - x1) * (x2 - x1) + (s.y - y1) * (y2 - y1))
 
 @R.query(_P + ", " + _SEG + f""", f AS (SELECT s.id, line, sqrt((x1 + {_FOOT} * (x2 - x1) - s.x) ** 2 + (y1 + {_FOOT} * (y2 - y1) - s.y) ** 2) AS d FROM s, g)
 SELECT id, line, round(min(d), 5) AS distance FROM f WHERE d <= 40 GROUP BY 1, 2""")
-def q_project_to_line(spark: S, d: str) -> DataFrame:
-    j = G.near_segments(_two(spark, d)[0], _segs(spark, d), 40.0)
+def q_project_to_line(spark: S, d: str, whole: bool = False) -> DataFrame:
+    j = G.near_segments(_two(spark, d, whole)[0], _segs(spark, d, whole), 40.0)
     return j.groupBy("id", "line").agg(F.round(F.min("distance"), 5).alias("distance"))
 
 
 @R.query(_P + ", " + _SEG + f""", f AS (SELECT s.id, line, sqrt((x1 + {_FOOT} * (x2 - x1) - s.x) ** 2 + (y1 + {_FOOT} * (y2 - y1) - s.y) ** 2) AS d FROM s, g)
 SELECT s.id, n.line FROM s LEFT JOIN (SELECT id, arg_min(line, (d, line)) AS line FROM f WHERE d <= 15 GROUP BY 1) n USING (id)""")
-def q_nearest_line(spark: S, d: str) -> DataFrame:
-    return G.nearest_line(_two(spark, d)[0], _segs(spark, d), 15.0).select("id", "line")
+def q_nearest_line(spark: S, d: str, whole: bool = False) -> DataFrame:
+    return G.nearest_line(_two(spark, d, whole)[0], _segs(spark, d, whole), 15.0).select("id", "line")
 
 
 @R.query(_P + ", " + _SEG + f""", f AS (SELECT s.id, s.label, line, sqrt((x1 + {_FOOT} * (x2 - x1) - s.x) ** 2 + (y1 + {_FOOT} * (y2 - y1) - s.y) ** 2) AS d FROM s, g)
 SELECT s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = s.id AND f.line = s.label AND d <= 40)""")
-def q_off_line(spark: S, d: str) -> DataFrame:
-    return G.off_line(_two(spark, d)[0], _segs(spark, d), 40.0, "label").select("id")
+def q_off_line(spark: S, d: str, whole: bool = False) -> DataFrame:
+    return G.off_line(_two(spark, d, whole)[0], _segs(spark, d, whole), 40.0, "label").select("id")
 
 
 @R.query(_P + ", " + _SEG + f""", f AS (SELECT s.id, s.label AS own, line, least(40, min(sqrt((x1 + {_FOOT} * (x2 - x1) - s.x) ** 2 + (y1 + {_FOOT} * (y2 - y1) - s.y) ** 2))) AS d FROM s, g GROUP BY 1, 2, 3)
 SELECT own, line, round(median(d), 5) AS median_m FROM f GROUP BY 1, 2 HAVING min(d) < 40""")
-def q_line_mapping(spark: S, d: str) -> DataFrame:
-    return G.line_mapping(_two(spark, d)[0], _segs(spark, d), 40.0, "label").select("own", "line", F.round("median_m", 5).alias("median_m"))
+def q_line_mapping(spark: S, d: str, whole: bool = False) -> DataFrame:
+    return G.line_mapping(_two(spark, d, whole)[0], _segs(spark, d, whole), 40.0, "label").select("own", "line", F.round("median_m", 5).alias("median_m"))
 
 
 def q_snapped(spark: S, d: str) -> DataFrame:
-    p = _two(spark, d)[0].withColumn("movable", F.col("id") % 20 == 0)
-    return G.snapped(p, _segs(spark, d), 40.0, "label", "movable")
+    p = _two(spark, d, True)[0].withColumn("movable", F.col("id") % 2 == 0)
+    return G.snapped(p, _segs(spark, d, True), 40.0, "label", "movable")
 
 
 R.query()(q_snapped)
@@ -139,29 +145,29 @@ _CELLS = "c AS (SELECT floor(y / 20)::BIGINT AS row, floor(x / 20)::BIGINT AS co
 
 
 @R.query(_P + ", " + _CELLS + " SELECT s.id, sum(t.value) AS total FROM s LEFT JOIN t2 t ON " + _D + " <= 60 GROUP BY 1")
-def q_zonal_sum(spark: S, d: str) -> DataFrame:
-    return G.zonal_sum(_two(spark, d)[0], _cells(spark, d), 60.0)
+def q_zonal_sum(spark: S, d: str, whole: bool = False) -> DataFrame:
+    return G.zonal_sum(_two(spark, d, whole)[0], _cells(spark, d), 60.0)
 
 
 @R.query(_P + ", " + _CELLS + f""", h AS (SELECT s.id, t.value, count(*) AS n FROM s JOIN t2 t ON {_D} <= 60 GROUP BY 1, 2), q AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS share, count(*) OVER (PARTITION BY id) AS k FROM h)
 SELECT id, round(CASE WHEN k <= 1 THEN 0 ELSE -sum(share * ln(share)) / ln(k) END, 6) AS entropy FROM q GROUP BY id, k""")
-def q_zonal_classes(spark: S, d: str) -> DataFrame:
+def q_zonal_classes(spark: S, d: str, whole: bool = False) -> DataFrame:
     """Classes of the cells around each station and how mixed they are."""
-    h = G.zonal_shares(_two(spark, d)[0], _cells(spark, d), 60.0)
+    h = G.zonal_shares(_two(spark, d, whole)[0], _cells(spark, d), 60.0)
     k = F.count("*")
     return h.groupBy("id").agg(F.round(F.when(k <= 1, 0.0).otherwise(-F.sum(F.col("share") * F.log("share")) / F.log(k.cast("double"))), 6).alias("entropy"))
 
 
 @R.query(_P + ", " + _CELLS + f""", u AS (SELECT row, col, value FROM t2 s WHERE value >= 2 AND NOT EXISTS (SELECT 1 FROM s t WHERE {_D} <= 30))
 SELECT count(*) AS cells, sum(value) AS people FROM u""")
-def q_unserved_cells(spark: S, d: str) -> DataFrame:
+def q_unserved_cells(spark: S, d: str, whole: bool = False) -> DataFrame:
     """Dense cells outside every catchment, summed over the gaps they form."""
-    gaps = G.coverage_gaps(_two(spark, d)[0], _cells(spark, d), 30.0, 20.0, 2.0, 0.0)
+    gaps = G.coverage_gaps(_two(spark, d, whole)[0], _cells(spark, d), 30.0, 20.0, 2.0, 0.0)
     return gaps.agg(F.sum("cells").alias("cells"), F.sum("total").alias("people"))
 
 
 def q_coverage_gaps(spark: S, d: str) -> DataFrame:
-    return G.coverage_gaps(_two(spark, d)[0], _cells(spark, d), 30.0, 20.0, 2.0, 500.0)
+    return G.coverage_gaps(_two(spark, d, True)[0], _cells(spark, d), 30.0, 20.0, 2.0, 500.0)
 
 
 R.query()(q_coverage_gaps)
@@ -253,8 +259,8 @@ def q_components(spark: S, d: str) -> DataFrame:
 
 @R.query(_G + """ SELECT * FROM (WITH RECURSIVE r(source, id, distance) AS (SELECT p_partkey, p_partkey, 0.0::DOUBLE FROM part WHERE p_partkey % 40 = 0 UNION SELECT r.source, e.dst, r.distance + e.weight FROM r JOIN e ON r.id = e.src WHERE r.distance + e.weight <= 60)
 SELECT source, id, min(distance) AS distance FROM r GROUP BY 1, 2)""")
-def q_bounded_reach(spark: S, d: str) -> DataFrame:
-    sources = table(spark, d, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("id"))
+def q_bounded_reach(spark: S, d: str, whole: bool = False) -> DataFrame:
+    sources = table(spark, d, "part").where("true" if whole else "p_partkey % 40 = 0").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("id"))
     return N.bounded_distances(sources, _graph(spark, d), 60.0)
 
 
@@ -272,11 +278,10 @@ def q_centrality(spark: S, d: str) -> DataFrame:
 
 
 def q_catchments(spark: S, d: str) -> DataFrame:
-    """Walk catchments: the points of a neighbourhood graph each station reaches, their hull and the pedestrian ratio."""
-    a, b = _two(spark, d)
+    """Walk catchments: the points of a neighbourhood graph each point reaches, their hull and the pedestrian ratio."""
     p = cut(_points(spark, d), "points")
     edges = G.near(p, p, 40.0).where("a_id <> b_id").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.col("distance").alias("weight"))
-    reach = N.bounded_distances(a.select(F.col("id").alias("source"), "id"), edges, 100.0)
+    reach = N.bounded_distances(p.select(F.col("id").alias("source"), "id"), edges, 100.0)
     return G.catchments(reach.join(p.select("id", "x", "y"), "id").select(F.col("source").alias("id"), "x", "y"), 100.0)
 
 
@@ -312,20 +317,27 @@ def q_morans_index(spark: S, d: str) -> DataFrame:
 
 
 @R.query(_P + f""", c AS (SELECT s.id, t.label FROM s JOIN t ON {_D} <= 50) SELECT s.id, count(c.id) FILTER (c.label = 0) AS retail, count(c.id) FILTER (c.label = 1) AS office, count(c.id) AS total FROM s LEFT JOIN c USING (id) GROUP BY 1""")
-def q_feature_assembly(spark: S, d: str) -> DataFrame:
+def q_feature_assembly(spark: S, d: str, whole: bool = False) -> DataFrame:
     """Counts by kind around each station, in one join, 0 where there is none."""
-    a, b = _two(spark, d)
+    a, b = _two(spark, d, whole)
     near = G.near(a, b, 50.0).join(b.select(F.col("id").alias("b_id"), "label"), "b_id").withColumnRenamed("a_id", "id")
     return zero_filled(a, "id", near, F.count_if(F.col("label") == 0).alias("retail"), F.count_if(F.col("label") == 1).alias("office"), F.count("*").alias("total"))
 
 
 def q_mix_around(spark: S, d: str) -> DataFrame:
     """Entropy of the kinds of places around each station."""
-    a, b = _two(spark, d)
+    a, b = _two(spark, d, True)
     near = G.near(a, b, 60.0).join(b.select(F.col("id").alias("b_id"), "label"), "b_id")
     return mix_entropy(near, "a_id", "label")
 
 
 R.query()(q_mix_around)
 
+#: The same over every row, where the SQL of a query takes a part of them: all points as vertices, things and stations, all nodes as sources.
+_WHOLE = _P.replace(" WHERE id % 10 <> 0", "").replace("s AS (SELECT * FROM p WHERE id % 10 = 0)", "s AS (SELECT vec_id AS id, embedding[3]::DOUBLE * 1000 AS x, embedding[4]::DOUBLE * 1000 AS y, label FROM embeddings)")
+for _q in (q_distance_count, q_distance_sum, q_nearest, q_knn, q_line_length, q_project_to_line, q_nearest_line, q_off_line, q_line_mapping, q_zonal_sum, q_zonal_classes, q_unserved_cells, q_bounded_reach, q_feature_assembly):
+    _name = f"{_q.__name__}_whole"
+    R.queries[_name] = partial(_q, whole=True)
+    R.sql[_name] = R.sql[_q.__name__].replace(_P, _WHOLE).replace(" WHERE id % 5 = 0", "").replace(" WHERE p_partkey % 40 = 0", "")
+
 QUERIES, SQL = R.queries, R.sql
