@@ -17,6 +17,8 @@ R = Registry()
 S = SparkSession
 FEATURES = ["intersection_density", "pnr_walkability_ratio", "poi_total_count", "distance_cbd_km", "street_density_km_per_km2", "access_index"]
 
+KINDS = ["linear", "elastic_net", "random_forest", "boosting"]
+
 
 def _train(spark: S, d: str) -> DataFrame:
     """One gap-free row per station with a score."""
@@ -51,16 +53,16 @@ def q_negative_binomial(spark: S, d: str) -> DataFrame:
 
 
 def q_model_performance(spark: S, d: str) -> DataFrame:
-    return L.model_table(_train(spark, d), "station_id", FEATURES, "predicted_boardings", ["linear", "elastic_net", "random_forest", "boosting"], folds=3, trees=20)
+    return L.model_table(_train(spark, d), "station_id", FEATURES, "predicted_boardings", KINDS)
 
 
 def q_best_model(spark: S, d: str) -> DataFrame:
-    return L.best_model(cut(L.model_table(_train(spark, d), "station_id", FEATURES, "predicted_boardings", ["linear", "random_forest"], folds=3, trees=20), "metrics"))
+    return L.best_model(cut(L.model_table(_train(spark, d), "station_id", FEATURES, "predicted_boardings", KINDS), "metrics"))
 
 
 def q_bootstrap_intervals(spark: S, d: str) -> DataFrame:
     t = _train(spark, d)
-    return L.bootstrap_intervals(t, "predicted_boardings", FEATURES, t, "station_id", replicates=100)
+    return L.bootstrap_intervals(t, "predicted_boardings", FEATURES, t, "station_id")
 
 
 def q_typology(spark: S, d: str) -> DataFrame:

@@ -302,7 +302,7 @@ def q_network_position(spark: S, d: str) -> DataFrame:
 
 
 def q_morans_i(spark: S, d: str) -> DataFrame:
-    return G.morans_i(_points(spark, d), "label", 150.0, 6, 19)
+    return G.morans_i(_points(spark, d), "label", 150.0, 6, 999)
 
 
 for _q in (q_spanning_forest, q_centrality, q_catchments, q_network_position, q_morans_i):

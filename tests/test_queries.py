@@ -41,3 +41,35 @@ def test_whole_spatial_queries_leave_no_row_out(spark, con):
     assert spatial.QUERIES["q_line_length_whole"](spark, FOLDER).agg({"parts": "sum"}).first()[0] == n - labels
     assert all(spatial.QUERIES[q](spark, FOLDER).select("id").distinct().count() == n for q in ("q_nearest_line_whole", "q_distance_count_whole", "q_snapped", "q_catchments"))
     assert spatial.QUERIES["q_bounded_reach_whole"](spark, FOLDER).select("source").distinct().count() == parts
+
+
+def test_model_queries_do_the_surveyed_job(monkeypatch):
+    from inspect import signature
+
+    from quaymill.plans import modelling, spatial
+
+    seen = {}
+
+    def spy(name):
+        real = signature(getattr(spatial.G if name == "morans_i" else modelling.L, name))
+
+        def f(*args, **how):
+            b = real.bind(*args, **how)
+            b.apply_defaults()
+            seen.setdefault(name, []).append(b.arguments)
+
+        return f
+
+    for name in ("model_table", "bootstrap_intervals", "best_model"):
+        monkeypatch.setattr(modelling.L, name, spy(name))
+    monkeypatch.setattr(spatial.G, "morans_i", spy("morans_i"))
+    monkeypatch.setattr(modelling, "_train", lambda s, d: None)
+    monkeypatch.setattr(modelling, "cut", lambda x, name: x)
+    monkeypatch.setattr(spatial, "_points", lambda s, d: None)
+    for q in (modelling.q_model_performance, modelling.q_best_model, modelling.q_bootstrap_intervals, spatial.q_morans_i):
+        q(None, "")
+    assert len(seen["model_table"]) == 2
+    for c in seen["model_table"]:
+        assert sorted(c["kinds"]) == ["boosting", "elastic_net", "linear", "random_forest"] and c["folds"] >= 5 and not c["how"]
+    assert signature(modelling.L.regressor).parameters["trees"].default == 500
+    assert seen["bootstrap_intervals"][0]["replicates"] == 1000 and seen["morans_i"][0]["permutations"] >= 300
