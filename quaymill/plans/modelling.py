@@ -108,7 +108,7 @@ def q_fuzzy_match(spark: S, d: str) -> DataFrame:
 
 def q_fuzzy_failures(spark: S, d: str) -> DataFrame:
     left, right, aliases = _names(spark, d)
-    return M.nearest_failures(left, right, cut(M.match_names(left, right, 0.95, aliases), "matched"), 0.7)
+    return M.nearest_failures(left, right, cut(M.match_names(left, right, 0.82, aliases), "matched"))
 
 
 def q_plain_names(spark: S, d: str) -> DataFrame:

@@ -348,3 +348,19 @@ def test_a_whole_model_run(spark):
     check = L.transfer_check(out, df, "id", "predicted", "y").first()
     assert check["n"] == 50 and check["r2"] > 0.7 and check["in_band"]
     assert L.transfer_check(out.limit(2), df, "id", "predicted", "y").first()["r2"] is None
+
+
+def test_every_unmatched_name_is_diagnosed(spark):
+    left = spark.createDataFrame([("Alandur", 1), ("Guindy", 2), ("Qqqq", 3), ("", 4)], "name string, pos bigint")
+    right = spark.createDataFrame([("Alandur", 1), ("Gunddi", 2)], "name string, pos bigint")
+    got = {r["l"]: (r["r"], r["score"]) for r in M.nearest_failures(left, right, M.match_names(left, right, 0.95)).collect()}
+    assert set(got) == {"Guindy", "Qqqq", ""} and got["Guindy"][0] == "Gunddi" and got["Qqqq"] == got[""] == (None, None)
+
+
+def test_fuzzy_failures_are_those_of_the_match(spark):
+    from quaymill.plans import modelling
+
+    d = "/root/testdata/sf0.001"
+    match = {r["l"] for r in modelling.q_fuzzy_match(spark, d).where("r is null").collect()}
+    got = [r["l"] for r in modelling.q_fuzzy_failures(spark, d).collect()]
+    assert match and sorted(got) == sorted(match)
