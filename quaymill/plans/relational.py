@@ -499,6 +499,14 @@ def q_pivot_hour_date(spark: S, d: str) -> DataFrame:
     return e.groupBy("hour").pivot("day", ["2024-01-01 Mon", "2024-01-02 Tue", "2024-01-03 Wed"]).agg(_r(F.sum("value")))
 
 
+@R.query("""PIVOT (SELECT hour(ts) AS hour, strftime(ts, '%Y-%m-%d %a') AS day, value FROM events WHERE ts IS NOT NULL) ON day USING round(sum(value), 4) GROUP BY hour""")
+def q_pivot_hour_date_whole(spark: S, d: str) -> DataFrame:
+    """Every date of the table; one column a day."""
+    e = table(spark, d, "events").where("ts is not null").select(F.hour("ts").alias("hour"), F.date_format("ts", "yyyy-MM-dd EEE").alias("day"), "value")
+    days = [r["day"] for r in e.select("day").distinct().orderBy("day").collect()]
+    return e.groupBy("hour").pivot("day", days).agg(_r(F.sum("value")))
+
+
 @R.query("""SELECT d::DATE AS date, year(d) AS year, monthname(d) AS month, dayname(d) AS day_name, CASE WHEN isodow(d) < 6 THEN 'Weekday' ELSE 'Weekend' END AS day_type, weekofyear(d) AS iso_week
 FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE::TIMESTAMP, max(o_orderdate)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders)""")
 def q_dim_date(spark: S, d: str) -> DataFrame:

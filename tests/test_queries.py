@@ -73,3 +73,10 @@ def test_model_queries_do_the_surveyed_job(monkeypatch):
         assert sorted(c["kinds"]) == ["boosting", "elastic_net", "linear", "random_forest"] and c["folds"] >= 5 and not c["how"]
     assert signature(modelling.L.regressor).parameters["trees"].default == 500
     assert seen["bootstrap_intervals"][0]["replicates"] == 1000 and seen["morans_i"][0]["permutations"] >= 300
+
+
+def test_pivot_has_every_date(spark, con):
+    from quaymill.plans import relational
+
+    dates = [r[0] for r in con.sql("select distinct strftime(ts, '%Y-%m-%d %a') from events where ts is not null order by 1").fetchall()]
+    assert relational.QUERIES["q_pivot_hour_date_whole"](spark, FOLDER).columns == ["hour", *dates] and len(dates) > 3
