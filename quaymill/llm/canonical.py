@@ -35,20 +35,24 @@ MARKS = re.compile(r"[†‡*¹²³⁰-⁹₀-₉®™]")
 WORDS = re.compile(r"[^\W_]+(?:[^\W_]|[஀-௿ऀ-෿])*|[ऀ-෿]+")
 
 
-def readings(text: str | None, sure: bool = False) -> list[tuple[str, str, str]]:
+def readings(text: str | None, sure: bool = False, most: int = 2, longest: int = 60) -> list[tuple[str, str, str]]:
     """What an entry may say: ``(name, qualifiers, name without doubtful letters)``, letters only, lower case.
 
     A single letter may be a direction or ordinal, or a part of the name behind a stray blank: both
-    are readings unless ``sure``. A qualifier may also stick to the name's end.
+    are readings unless ``sure``. A qualifier may also stick to the name's end. A list whose names have at
+    most ``most`` qualifiers and ``longest`` letters can't match readings with more, which are left out.
     """
     if text is None:
         return []
     plain = unicodedata.normalize("NFKD", MARKS.sub(" ", text))
     plain = "".join(c for c in plain if not "̀" <= c <= "ͯ").lower()
     words = [w for w in WORDS.findall(NOTES.sub(" ", plain)) if w not in HONORIFICS and w not in GENERIC]
-    doubt = [i for i, w in enumerate(words) if w in DOUBTFUL and not sure][:3]
+    doubt = [i for i, w in enumerate(words) if w in DOUBTFUL and not sure]
+    if len(doubt) - most > longest + CHANGES + max(map(len, QUALIFIERS)):
+        return []
     found = []
-    for joined in itertools.chain.from_iterable(itertools.combinations(doubt, k) for k in range(len(doubt) + 1)):
+    for apart in itertools.chain.from_iterable(itertools.combinations(doubt, k) for k in range(min(len(doubt), most) + 1)):
+        joined = {*doubt} - {*apart}
         name = "".join(w for i, w in enumerate(words) if w not in QUALIFIERS or i in joined)
         bare = "".join(w for w in words if w not in QUALIFIERS)
         marks = [QUALIFIERS[w] for i, w in enumerate(words) if w in QUALIFIERS and i not in joined]
@@ -99,24 +103,26 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
     """
     schema = "value string, name string, marks string, bare string, tokens array<string>, short array<string>"
 
-    def read(batches: Iterator[pd.DataFrame], sure: bool) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame], sure: bool, *limits: int) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(v, *r, tokens(r[0]), short_keys(r[0])) for v in b.iloc[:, 0] for r in readings(v, sure)], columns=["value", "name", "marks", "bare", "tokens", "short"])
+            yield pd.DataFrame([(v, *r, tokens(r[0]), short_keys(r[0])) for v in b.iloc[:, 0] for r in readings(v, sure, *limits)], columns=["value", "name", "marks", "bare", "tokens", "short"])
 
     values = cut(entries.select(F.col(entry).cast("string").alias("value")).where("value is not null").distinct(), "values")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = cut(
-        values.repartition(parts, "value").mapInPandas(lambda x: read(x, False), schema)
-        .select(F.xxhash64("value", "name", "marks").alias("id"), "*")
-        .withColumn("n", F.size("tokens")),
-        "read",
-    )
     listed = canon.select(F.col(ref).cast("int").alias("ref"), F.explode(F.array(*names)).alias("value")).where("ref is not null and value is not null")
     said = listed.select("value").distinct().mapInPandas(lambda x: read(x, True), schema)
     right = cut(
         listed.join(said, "value").select("ref", "name", "marks", "tokens", "short").distinct().select(F.xxhash64("ref", "name", "marks").alias("id"), "*").withColumn("n", F.size("tokens")),
         "canon",
     )
+    limits = right.agg(F.max(F.when(F.col("marks") == "", 0).otherwise(F.size(F.split("marks", " ")))).alias("most"), F.max(F.length("name")).alias("longest")).first()
+    most, longest = limits["most"] or 0, limits["longest"] or 0
+    left = cut(
+        values.repartition(parts, "value").mapInPandas(lambda x: read(x, False, most, longest), schema)
+        .select(F.xxhash64("value", "name", "marks").alias("id"), "*")
+        .withColumn("n", F.size("tokens")),
+        "read",
+    )
     rarity = cut(left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens"))).groupBy("token").agg(F.count("*").alias("freq")), "rarity")
     rare_rows = rarity.count()
     rights = right.count()
@@ -138,8 +144,7 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
     sides = pairs.join(left.select(F.col("id").alias("a"), "value", F.col("name").alias("x"), "bare", F.col("tokens").alias("tx")), "a")
     sides = sides.join(attach(right.select(F.col("id").alias("b"), "ref", F.col("name").alias("y"), F.col("tokens").alias("ty")), rights), "b")
     both = F.size(F.array_intersect("tx", "ty"))
-    most = F.greatest(F.size("tx"), F.size("ty"))
-    least = F.greatest(F.lit(0), most - CHANGES * GRAM)
+    least = F.greatest(F.lit(0), F.greatest(F.size("tx"), F.size("ty")) - CHANGES * GRAM)
     union = F.size("tx") + F.size("ty") - both
     verified = (
         sides.withColumn("jaccard", both / union)

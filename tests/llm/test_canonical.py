@@ -69,3 +69,11 @@ def test_nothing(spark):
 @pytest.mark.parametrize("text", [None, "", string.punctuation, "S", "N E W S", "a" * 5000 + " n", "​", "I I I I I I"])
 def test_readings_never_fail(text):
     assert isinstance(readings(text), list)
+
+
+def test_blanks_after_most_letters(spark):
+    cases = [("Kezve n g am s ala i", 1), ("U n drah i n oor W e s t", 3), ("U n drah i n oor w", 3), ("U n drah i n oor w est", 3), ("S i v i n w e s e n", 12), ("S i v i n w e s e n II", 13), ("n s e w " * 5000, -1)]
+    entries = spark.createDataFrame([(e,) for e, _ in cases], "entry string")
+    names = spark.createDataFrame([*NAMES, (12, "Sivinwesen", None), (13, "Sivinwesen 2", None)], "ref_id int, station string, alias string")
+    got = {r["entry"]: r["ref_id"] for r in map_to_canonical(entries, "entry", names, "ref_id", ["station", "alias"]).collect()}
+    assert got == dict(cases)
