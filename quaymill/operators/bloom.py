@@ -1,8 +1,10 @@
 """A Bloom filter that is an ordinary table, built and probed with built-in expressions.
 
-The filter has ``words`` rows of 64 bits. A key picks one word and sets ``PROBES`` of its bits, so
-that one equi-join on the word tests a key. Its size depends on ``words`` alone, at most
-``MAX_WORDS``: it may be broadcast whatever the number of keys.
+The filter has ``words`` words of 64 bits, ``BLOCK`` of them in a row. A key picks one word and sets ``PROBES`` of its
+bits, so that one equi-join on the row tests a key. Its size depends on ``words`` alone, at most ``MAX_WORDS``: it may be
+broadcast whatever the number of keys. With ``BITS_PER_KEY`` bits a key at most 0.5 % of other keys pass; that holds up to 33
+million keys. Beyond them the share grows, to 1 % at 42 million, 3 % at 67 million and 9 % at 100 million. Past ``MOST_KEYS``
+no filter is built: every key may be there, and the exact join decides alone.
 """
 
 from __future__ import annotations
@@ -12,12 +14,15 @@ from pyspark.sql import functions as F
 
 PROBES = 4
 BITS_PER_KEY = 16
-#: 2**20 rows of two longs: 16 MB before the hash table's overhead.
-MAX_WORDS = 1 << 20
+BLOCK = 64
+#: 64 MB, in 2**17 rows.
+MAX_WORDS = 1 << 23
+MOST_KEYS = 100_000_000
 
 
 def words_for(keys: int) -> int:
-    return min(MAX_WORDS, max(64, 1 << max(0, keys * BITS_PER_KEY // 64 - 1).bit_length()))
+    """Words of a filter of ``keys``; 0 if none is worth building."""
+    return 0 if keys > MOST_KEYS else min(MAX_WORDS, max(BLOCK, 1 << max(0, keys * BITS_PER_KEY // 64 - 1).bit_length()))
 
 
 def _word(key: Column, words: int) -> Column:
@@ -34,29 +39,26 @@ def _mask(key: Column) -> Column:
 
 
 def build(keys: DataFrame, key: str, words: int) -> DataFrame:
-    """Filter table ``(__word, __bits)`` of the non-null values of ``key``."""
+    """Filter table ``(__block, __words array<bigint>)`` of the non-null values of ``key``."""
     k = F.col(key)
-    return (
-        keys.where(k.isNotNull())
-        .select(_word(k, words).alias("__word"), _mask(k).alias("__mask"))
-        .groupBy("__word")
-        .agg(F.bit_or("__mask").alias("__bits"))
-    )
+    bits = keys.where(k.isNotNull()).select(_word(k, words).alias("w"), _mask(k).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    at = F.col("w") % BLOCK
+    rows = bits.groupBy(F.floor(F.col("w") / BLOCK).cast("int").alias("__block")).agg(F.map_from_entries(F.collect_list(F.struct(at, "m"))).alias("found"))  # at most BLOCK a row
+    return rows.select("__block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.coalesce(F.col("found")[i], F.lit(0).cast("long"))).alias("__words"))
 
 
-def probe(rows: DataFrame, key: str, bloom: DataFrame, words: int, out: str) -> DataFrame:
-    """``rows`` with the boolean ``out``: False proves that the key is in no row; null keys give False."""
+def probe(rows: DataFrame, key: str, keys: DataFrame, own: str, words: int, out: str) -> DataFrame:
+    """``rows`` with the boolean ``out``: False proves that ``key`` is in no row of ``keys (own)``; null keys give False."""
     k = F.col(key)
-    hit = F.coalesce(F.col("__bits").bitwiseAND(_mask(k)) == _mask(k), F.lit(False))
-    return (
-        rows.withColumn("__word", _word(k, words))
-        .join(F.broadcast(bloom), "__word", "left")
-        .withColumn(out, k.isNotNull() & hit)
-        .drop("__word", "__bits")
-    )
+    if not words:
+        return rows.withColumn(out, k.isNotNull())
+    w = _word(k, words)
+    bits = F.get(F.col("__words"), w % BLOCK)
+    hit = F.coalesce(bits.bitwiseAND(_mask(k)) == _mask(k), F.lit(False))
+    near = rows.withColumn("__block", F.floor(w / BLOCK).cast("int"))
+    return near.join(F.broadcast(build(keys, own, words)), "__block", "left").withColumn(out, k.isNotNull() & hit).drop("__block", "__words")
 
 
 def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """``rows`` without those whose ``key`` is surely in no row of ``keys (key)``: what is left before a join shuffles it. ``keys`` should be a written table."""
-    words = words_for(keys.count())
-    return probe(rows, key, build(keys, key, words), words, "__may").where("__may").drop("__may")
+    return probe(rows, key, keys, key, words_for(keys.count()), "__may").where("__may").drop("__may")

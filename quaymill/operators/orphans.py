@@ -38,20 +38,13 @@ def orphan_references(
         "parents",
     )
     n = parents.count()
-    words = bloom.words_for(n)
     refs = child.select(F.col(key).alias("__key"), F.col(row_id).alias("row_id"), F.col(when).cast("date").alias("__when")).where(F.col("__key").isNotNull())
-    tested = bloom.probe(refs, "__key", bloom.build(parents, "__key", words), words, "__maybe")
-    verified = (
-        tested.where("__maybe")
-        .join(attach(parents.withColumn("__found", F.lit(True)), n), "__key", "left")
-        .withColumn(
-            "kind",
-            F.when(F.col("__found").isNull(), "missing").when(F.col("__when") < F.col("__from"), "later").when(F.col("__when") >= F.col("__to"), "deleted"),
-        )
-        .where("kind is not null")
-        .select("__when", "row_id", "kind")
-    )
-    orphans = tested.where("not __maybe").select("__when", "row_id", F.lit("missing").alias("kind")).unionByName(verified)
+    tested = bloom.probe(refs, "__key", parents, "__key", bloom.words_for(n), "__maybe")
+    # what the filter rules out asks for nothing, so that one pass over the references serves both
+    asked = tested.withColumn("__asked", F.when(F.col("__maybe"), F.col("__key"))).drop("__key", "__maybe")
+    known = attach(parents.select(F.col("__key").alias("__asked"), "__from", "__to", F.lit(True).alias("__found")), n)
+    kind = F.when(F.col("__found").isNull(), "missing").when(F.col("__when") < F.col("__from"), "later").when(F.col("__when") >= F.col("__to"), "deleted")
+    orphans = asked.join(known, "__asked", "left").withColumn("kind", kind).where("kind is not null")
     return orphans.select(F.date_format("__when", "yyyy-MM").alias("period"), "row_id", "kind")
 
 

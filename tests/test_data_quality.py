@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quaymill.functions.missing import no_number, no_text
 from quaymill.operators import bloom
-from quaymill.operators.impute import DRAW, Field, _class_tables, impute, missing_cases
+from quaymill.operators.impute import Field, filled_cases, impute
 from quaymill.operators.orphans import orphan_references
 from quaymill.operators.proximity import EARTH_M, inside, located, near_pairs
 from quaymill.operators.regrid import daily_grid, regular_grid, smooth
@@ -33,11 +33,21 @@ def test_no_number(spark):
 def test_bloom_never_misses_and_stays_small(spark):
     keys = spark.range(5000).select((F.col("id") * 7).alias("k"))
     words = bloom.words_for(5000)
-    table = bloom.build(keys, "k", words)
-    assert table.count() <= words and bloom.words_for(10**12) == bloom.MAX_WORDS
-    tried = bloom.probe(spark.range(70000).select(F.col("id").alias("k")), "k", table, words, "hit")
+    assert bloom.build(keys, "k", words).count() <= words / bloom.BLOCK
+    tried = bloom.probe(spark.range(70000).select(F.col("id").alias("k")), "k", keys, "k", words, "hit")
     assert tried.where("k % 7 = 0 and k < 35000 and not hit").count() == 0
-    assert tried.where("hit").count() < 5000 + 0.05 * 65000
+    assert tried.where("hit").count() < 5000 + 0.01 * 65000
+
+
+def test_bloom_at_many_keys(spark):
+    """The words a key has at 33 and at 42 million keys, and no filter where none would help."""
+    assert bloom.words_for(33_000_000) == bloom.words_for(bloom.MOST_KEYS) == bloom.MAX_WORDS and bloom.words_for(bloom.MOST_KEYS + 1) == 0
+    for millions, passed in ((33, 0.006), (42, 0.012)):
+        words = 1 << 10
+        keys = spark.range(millions * 1_000_000 * words // bloom.MAX_WORDS).select(F.col("id").alias("own"))
+        tried = bloom.probe(spark.range(1_000_000, 1_200_000).select(F.col("id").alias("k")), "k", keys, "own", words, "hit")
+        assert tried.where("hit").count() < passed * 200_000
+    assert bloom.probe(spark.range(9), "id", spark.range(0).select(F.col("id").alias("own")), "own", 0, "hit").where("hit").count() == 9
 
 
 def test_orphans(spark, rows):
@@ -136,26 +146,63 @@ def test_imputation(spark):
     assert sum(a == b for a, b in lines) > 0.6 * len(lines)
     again = {r["id"]: tuple(r) for r in impute(df, "id", FIELDS, ["h"], ["phase"]).collect()}
     assert again == {k: tuple(v) for k, v in got.items()}
-    cases = missing_cases(impute(df, "id", FIELDS, ["h"], ["phase"]), "id", ["a", "n", "line"])
+    cases = filled_cases(impute(df, "id", FIELDS, ["h"], ["phase"]), "id", ["a", "n", "line"])
     assert cases.where("field = 'a'").count() == len(gaps)
 
 
-def test_imputation_keeps_rare_classes(spark):
+def test_imputation_draws_every_class_by_its_share(spark):
+    """1,500 equal classes, and classes of one row beside one of thousands."""
+    even = [(f"k{i}", 1.0, f"L{i % 1500:04}" if i < 6000 else None, "p1") for i in range(36000)]
+    schema = "id string, a double, line string, phase string"
+    got = impute(spark.createDataFrame(even, schema), "id", [FIELDS[0], FIELDS[2]], [], ["phase"], rounds=1)
+    drawn = [r["count"] for r in got.where("line_filled").groupBy("line").count().collect()]
+    assert got.where("line is null").count() == 0 and len(drawn) == 1500 and max(drawn) < 50
     sizes = {f"L{i:03}": 1 + i % 7 for i in range(300)} | {"L999": 3000}
-    rows = [(line, "p1") for line, n in sizes.items() for _ in range(n)]
-    df = spark.createDataFrame(rows, "line string, phase string")
-    draws = {}
-    for r in _class_tables(df, F.col("line"), [[F.col("phase")]])[0].select("__class", "__from", "__to").distinct().collect():
-        draws[r["__class"]] = (r["__from"], r["__to"])
-    assert set(draws) == set(sizes)
-    at = 0
-    for line in sorted(sizes):  # no gap, no overlap, the exact share
-        assert draws[line][0] == at and abs(draws[line][1] + 1 - at - sizes[line] * 2**DRAW / len(rows)) < 1
-        at = draws[line][1] + 1
-    assert at == 2**DRAW
-    even = [(f"k{i}", 1.0, f"L{i % 300:03}" if i < 3000 else None, "p1") for i in range(12000)]
-    got = impute(spark.createDataFrame(even, "id string, a double, line string, phase string"), "id", [FIELDS[0], FIELDS[2]], [], ["phase"])
-    assert got.where("line is null").count() == 0 and got.where("line_filled").select("line").distinct().count() == 300
+    rows = [(f"d{line}{k}", 1.0, line, "p1") for line, n in sizes.items() for k in range(n)] + [(f"g{i}", 1.0, None, "p1") for i in range(20000)]
+    got = impute(spark.createDataFrame(rows, schema), "id", [FIELDS[0], FIELDS[2]], [], ["phase"], rounds=1)
+    drawn = {r["line"]: r["count"] for r in got.where("line_filled").groupBy("line").count().collect()}
+    share = 20000 / sum(sizes.values())
+    assert set(drawn) == set(sizes) and abs(drawn["L999"] - 3000 * share) < 300
+    assert all(abs(drawn[x] - n * share) < 6 * (n * share) ** 0.5 for x, n in sizes.items() if x != "L999")
+
+
+def test_imputation_takes_classes_of_the_same_block(spark):
+    rows = [(f"k{i}", 1.0, f"{'AB'[i % 2]}{i % 10}", f"p{i % 2}") for i in range(400)] + [(f"g{i}", 1.0, None, f"p{i % 3}" if i % 4 else None) for i in range(300)]
+    got = impute(spark.createDataFrame(rows, "id string, a double, line string, phase string"), "id", [FIELDS[0], FIELDS[2]], [], ["phase"])
+    found = {(r["id"], r["line"][0]) for r in got.where("line_filled").collect()}
+    of = {i: p for i, _, _, p in rows}
+    assert len(found) == 300 and all(c == {"p0": "A", "p1": "B"}[of[i]] for i, c in found if of[i] in ("p0", "p1"))
+    assert {c for i, c in found if of[i] not in ("p0", "p1")} == {"A", "B"}
+
+
+def test_classes_in_several_passes(spark, monkeypatch):
+    """More classes than a task holds at once: the best of the passes is that of one."""
+    from quaymill.operators import impute as module
+
+    df = _stations(spark)
+    whole = {tuple(r) for r in impute(df, "id", FIELDS, ["h"], ["phase"]).collect()}
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 1)
+    assert {tuple(r) for r in impute(df, "id", FIELDS, ["h"], ["phase"]).collect()} == whole
+
+
+def test_imputation_beats_mean_and_mode(spark):
+    """Values hidden from the operator: nearer than the mean, classes oftener right than the commonest, and draws as spread as the truth."""
+    rnd = np.random.default_rng(5)
+    n = 3000
+    line = rnd.choice(8, n, p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05])
+    h = rnd.normal(line * 0.8, 1.0)
+    a = 1000 + 200 * h + 100 * (line % 3) + rnd.normal(0, 150, n)
+    k = np.round(np.maximum(0, 10 + 2 * h - 0.002 * a + rnd.normal(0, 1.5, n)))
+    hide = rnd.random((3, n)) < 0.1
+    rows = [(f"k{i}", None if hide[0, i] else float(a[i]), None if hide[1, i] else int(k[i]), None if hide[2, i] else f"L{line[i]}", float(h[i]), "p1") for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, a double, n int, line string, h double, phase string")
+    best, drawn = ({r["id"]: r for r in impute(df, "id", FIELDS, ["h"], ["phase"], draw=d).collect()} for d in (False, True))
+    for c, truth, m in (("a", a, hide[0]), ("n", k, hide[1])):
+        guess, loose = (np.array([x[f"k{i}"][c] for i in np.flatnonzero(m)]) for x in (best, drawn))
+        error, plain = np.sqrt(np.mean((guess - truth[m]) ** 2)), np.sqrt(np.mean((truth[~m].mean() - truth[m]) ** 2))
+        assert error < 0.75 * plain and 0.85 < loose.std() / truth[m].std() < 1.15
+    right = np.mean([best[f"k{i}"]["line"] == f"L{line[i]}" for i in np.flatnonzero(hide[2])])
+    assert right > np.mean(line[hide[2]] == 0) + 0.08
 
 
 def test_imputation_of_nothing_and_of_all(spark):
