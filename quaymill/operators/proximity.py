@@ -75,6 +75,8 @@ def located(df: DataFrame, key: str, lat: str, lon: str, bounds: tuple[float, fl
     return (
         df.select(F.col(key).alias("id"), repaired(F.col(lat), F.col(lon), *bounds).alias("p"))
         .where("id is not null and p is not null")
+        # as many tasks as the session has partitions: what follows makes several rows of each
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
         .groupBy("id")
         .agg(F.min("p").alias("p"))
         .select("id", "p.lat", "p.lon")
@@ -84,20 +86,22 @@ def located(df: DataFrame, key: str, lat: str, lon: str, bounds: tuple[float, fl
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     """``(id_a, id_b, metres)``, id_a < id_b, of ``points (id, lat, lon)`` at most ``radius_m`` apart.
 
-    Each point goes to its own cell once and asks at most nine cells, so the join's input grows with
-    the points; the great-circle distance decides. Ids must be unique; points with a null or NaN
-    coordinate take no part, equal places are 0 m apart, an empty table gives no pair.
+    Each point goes to its own cell once and asks that and those of its at most eight neighbours that come after it, so that each
+    two cells meet once and the join's input grows with the points; the great-circle distance decides. Ids must be
+    unique; points with a null or NaN coordinate take no part, equal places are 0 m apart, an empty table gives no pair.
     """
     grid = Grid(radius_m)
     ok = points.where(F.col("id").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
-    a = ok.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(grid.around(F.col("lat"), F.col("lon"))).alias("cell"))
-    b = ok.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), grid.cell(F.col("lat"), F.col("lon")).alias("cell"))
+    here = ok.select("id", "lat", "lon", grid.cell(F.col("lat"), F.col("lon")).alias("own"))
+    ahead = F.filter(grid.around(F.col("lat"), F.col("lon")), lambda c: c >= F.col("own"))
+    a = here.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "own", F.explode(ahead).alias("cell"))
+    b = here.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("own").alias("cell"))
     return (
         a.join(b, "cell")
-        .where("id_a < id_b")
+        .where("own < cell or id_a < id_b")
         .withColumn("metres", great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
         .where(F.col("metres") <= radius_m)
-        .select("id_a", "id_b", "metres")
+        .select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "metres")
     )
 
 
