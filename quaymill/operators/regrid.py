@@ -144,6 +144,11 @@ def regular_grid(readings: DataFrame) -> DataFrame:
         .groupBy("source", F.floor("t").cast("bigint").alias("slot"))
         .agg(F.avg(F.col("t") - F.floor("t")).alias("off"), F.avg("y").alias("y"), F.count("*").cast("double").alias("n"))
     )
+    return _smoothed(slots)
+
+
+def _smoothed(slots: DataFrame) -> DataFrame:
+    """``regular_grid`` of ``slots (source, slot, off, y, n)``, one row per source and slot."""
     series = slots.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("slot", "off", "y", "n"))).alias("s"))
     flat = series.select("source", *(F.col(f"s.{c}").alias(c) for c in ("slot", "off", "y", "n")))
     out = flat.mapInPandas(_smooth_batches, "source string, slot bigint, reading double, smoothed double, sd double, is_missing boolean")
@@ -160,9 +165,10 @@ def daily_grid(df: DataFrame, source: str, day: str, value: str, usable, latest:
         df.where(usable & F.col(source).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull())
         .groupBy(F.col(source).cast("string").alias("source"), F.col(day).cast("date").alias("day"))
         .agg(F.max_by(F.col(value).cast("double"), F.struct(*latest)).alias("y"))
-        .select("source", F.unix_date("day").cast("double").alias("t"), "y")
+        .where("y is not null and not isnan(y)")
+        .select("source", F.unix_date("day").cast("bigint").alias("slot"), F.lit(0.0).alias("off"), "y", F.lit(1.0).alias("n"))
     )
-    return regular_grid(one).select(
+    return _smoothed(one).select(
         "source",
         F.date_from_unix_date(F.col("slot").cast("int")).alias("day"),
         F.coalesce("reading", F.greatest(F.lit(0.0), F.col("smoothed"))).alias("value"),
