@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymill.functions.missing import MOST_COUNT, MOST_PER_KM2, no_number, no_text
-from quaymill.operators.impute import Field, impute, missing_cases
+from quaymill.operators.impute import Field, impute, filled_cases
 from quaymill.operators.orphans import orphan_references, orphan_report
 from quaymill.operators.proximity import located, near_pairs
 from quaymill.operators.regrid import daily_grid
@@ -59,7 +59,7 @@ def _imputed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return missing_cases(_imputed(spark, d), "station_id", [f.name for f in FIELDS])
+    return filled_cases(_imputed(spark, d), "station_id", [f.name for f in FIELDS])
 
 
 def p6_imputed(spark: SparkSession, d: str) -> DataFrame:
