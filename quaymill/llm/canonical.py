@@ -153,5 +153,5 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
         # a letter read as a part of the name must belong there: without it the name is further away
         .where((F.col("d") >= 0) & ((F.col("bare") == F.col("x")) | (F.col("d") < F.levenshtein("bare", "y"))))
     )
-    best = verified.groupBy("value").agg(F.min(F.struct("d", -F.col("jaccard"), "ref")).alias("m")).select("value", F.col("m.ref").alias("ref"))
+    best = cut(verified.groupBy("value").agg(F.min(F.struct("d", -F.col("jaccard"), "ref")).alias("m")).select("value", F.col("m.ref").alias("ref")), "best")
     return values.join(attach(best), "value", "left").select(F.col("value").alias(entry), F.coalesce("ref", F.lit(-1)).alias(ref))
