@@ -205,19 +205,26 @@ def shared_share(docs: DataFrame, key: str, text: str, around: DataFrame, copies
     )
 
 
+def _line_starts(texts: pd.Series) -> pd.Series:
+    """Offset of each line, in one walk through the text."""
+
+    def one(text: str) -> np.ndarray:
+        sizes = np.array([len(x) + 1 for x in text.split("\n")], np.int64)
+        return (np.cumsum(sizes) - sizes).astype(np.int32)
+
+    return texts.map(one)
+
+
 def repeated_units(docs: DataFrame, key: str, text: str, order: list[str], least: int = 40) -> DataFrame:
     """``(doc, unit, offset, chars, first_doc, kept)``: the lines of at least ``least`` characters that occur more than once.
 
     Lines are compared after lower-casing and reducing blanks. The earliest by (``order``, key, offset)
     is kept, the rest are marked for removal, with their offsets in the text as delivered.
     """
-    lines = F.split("text", "\n", -1)
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.struct(*(F.col(c).isNull().alias(f"n{i}") for i, c in enumerate(order)), *order).alias("rank"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    flat = rows.select("doc", "rank", F.explode(F.aggregate(
-        F.transform(lines, lambda x, i: F.struct(i.alias("unit"), x.alias("line"), F.lit(0).alias("at"))),
-        F.array().cast("array<struct<unit:int,line:string,at:int>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(x["unit"].alias("unit"), x["line"].alias("line"), F.when(F.size(acc) > 0, F.element_at(acc, -1)["at"] + F.length(F.element_at(acc, -1)["line"]) + 1).otherwise(F.lit(0)).alias("at")))),
-    )).alias("u")).select("doc", "rank", "u.*")
+    rank = F.struct(*(F.col(c).isNull().alias(f"n{i}") for i, c in enumerate(order)), *order)
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), rank.alias("rank"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    lines = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.pandas_udf(_line_starts, "array<int>")("text").alias("at"))
+    flat = rows.select("doc", "rank", F.posexplode(lines).alias("unit", "u")).select("doc", "rank", "unit", "u.line", "u.at")
     plain = F.trim(F.regexp_replace(F.lower("line"), r"(?U)\s+", " "))
     hashed = flat.where(F.length(plain) >= least).select("doc", "rank", "unit", "at", F.length("line").alias("chars"), F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit("second"), plain).alias("k2"))
     groups = hashed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("rank", "doc", "at")).alias("first")).where("n > 1").select("k1", "k2", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
