@@ -132,21 +132,20 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return out
 
 
-#: Land-use groups in the order in which they are looked for. Fixed values.
-LAND_USE = (
-    ("Water", ("water", "river", "lake", "tank", "canal")),
-    ("Vegetation", ("forest", "plantation", "tree", "scrub", "vegetation")),
-    ("Agriculture", ("agri", "crop", "fallow")),
-    ("Built-up", ("built", "urban", "rural", "residential", "industrial", "commercial")),
-    ("Wetland", ("wetland", "marsh", "mangrove", "swamp")),
-    ("Barren/Open", ("barren", "waste", "sandy", "open")),
-)
-
-
-def land_use(c: Column, other: str = "Other") -> Column:
-    """The group of a land-use description; ``other`` for the rest and null."""
-    out = F.lit(other)
-    for group, words in reversed(LAND_USE):
+#: Land-use groups in the order in which their words are looked for. Fixed values.
+LAND_USE = {
+    "Built-up": ["built"],
+    "Agriculture": ["agriculture", "crop", "fallow"],
+    "Forest/Scrub": ["forest", "scrub"],
+    "Water/Wetland": ["wetland", "water", "river", "lake"],
+    "Barren/Open": ["barren", "waste", "sandy"],
+}
+
+
+def land_use(c: Column, open_by_default: bool = False) -> Column:
+    """The group of a land-use description. What fits none, and null, is 'Other', or if ``open_by_default`` 'Barren/Open'."""
+    out = F.lit("Barren/Open" if open_by_default else "Other")
+    for group, words in reversed(LAND_USE.items()):
         out = F.when(contains_any(c, words), group).otherwise(out)
     return out
 

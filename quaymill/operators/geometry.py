@@ -54,6 +54,27 @@ def from_utm(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
     return F.degrees(lat), F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183)
 
 
+#: UTM zones of the cities known. Fixed values.
+CITY_ZONES = {"bengaluru": 43, "chennai": 44}
+
+
+def city_zone(city: str) -> int:
+    """The UTM zone of a city; an unknown city is an error, as a wrong zone would go unnoticed."""
+    if city.lower() not in CITY_ZONES:
+        raise ValueError(f"no projection is known for {city!r}: one of {', '.join(sorted(CITY_ZONES))}")
+    return CITY_ZONES[city.lower()]
+
+
+def catchment_circles(stations: DataFrame, radii: list[float]) -> DataFrame:
+    """``stations (id, x, y, ...)`` with each of ``radii`` in metres and the area of its buffer. Places in degrees are refused: all
+    of the table lies within 180 by 90, which no projected table of a city does. An empty table gives an empty one."""
+    most = stations.agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y")).first()
+    if most["x"] is not None and most["x"] <= 180 and most["y"] <= 90:
+        raise ValueError("the places are in degrees: project them before they are buffered")
+    wide = stations.withColumn("radius_m", F.explode(F.array(*(F.lit(float(r)) for r in radii))))
+    return wide.withColumn("buffer_area_m2", buffer_area(F.col("radius_m")))
+
+
 def buffer_area(radius: Column) -> Column:
     """Area of the 64-gon that stands for a circle."""
     return 32 * F.sin(F.lit(2 * math.pi / 64)) * radius * radius
@@ -134,6 +155,49 @@ def line_lengths(segs: DataFrame) -> DataFrame:
     return segs.groupBy("line").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"), F.count("*").alias("parts"))
 
 
+def merged_lines(segs: DataFrame, grain: float = 1e-6) -> DataFrame:
+    """``(line, path, part, x1, y1, x2, y2)``: the segments of each label joined to paths, each in order along its path.
+
+    Equal segments count once, in whichever direction. Paths run through places where exactly two segments of the label
+    meet and end elsewhere; a ring starts at its least place. Places nearer than ``grain`` are one. Paths are found by
+    their components, so that only one path's segments meet in a task. ``path`` numbers the paths of a label from 0 by their first place.
+    """
+    near_ = lambda c: F.round(F.col(c) / grain).cast("long")
+    ends = segs.select("line", "x1", "y1", "x2", "y2", F.struct(near_("x1").alias("x"), near_("y1").alias("y")).alias("a"), F.struct(near_("x2").alias("x"), near_("y2").alias("y")).alias("b")).where("a <> b")
+    turned = ends.select("line", *(F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"), ("a", "b"), ("b", "a"))))
+    one = cut(turned.groupBy("line", "a", "b").agg(*(F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2"))).withColumn("id", F.xxhash64("line", "a", "b")), "segments")
+    places = one.select("line", F.col("a").alias("p"), "id").union(one.select("line", "b", "id"))
+    through = places.groupBy("line", "p").agg(F.collect_list("id").alias("ids"), F.count("*").alias("n")).where("n = 2")  # two ids
+    joined = components(through.select(F.col("ids")[0].alias("src"), F.col("ids")[1].alias("dst")), one)
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        at: dict = {}
+        rows = list(g.itertuples(index=False))
+        for i, r in enumerate(rows):
+            for e in ((r.ax, r.ay), (r.bx, r.by)):
+                at.setdefault(e, []).append(i)
+        loose = [e for e, ids in at.items() if len(ids) == 1]
+        here = min(loose or at)
+        used, out = set(), []
+        while True:
+            i = min((i for i in at[here] if i not in used), default=None)
+            if i is None:
+                break
+            used.add(i)
+            r = rows[i]
+            forward = (r.ax, r.ay) == here
+            out.append((r.line, r.path, len(out), *((r.x1, r.y1, r.x2, r.y2) if forward else (r.x2, r.y2, r.x1, r.y1))))
+            here = (r.bx, r.by) if forward else (r.ax, r.ay)
+        return pd.DataFrame(out, columns=["line", "path", "part", "x1", "y1", "x2", "y2"])
+
+    kind = dict(segs.dtypes)["line"]
+    flat = one.join(joined, "id").select("line", F.col("component").alias("path"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "x1", "y1", "x2", "y2")
+    walked = cut(flat.groupBy("line", "path").applyInPandas(walk, f"line {kind}, path bigint, part int, x1 double, y1 double, x2 double, y2 double"), "paths")
+    first = walked.where("part = 0").select("line", "path", F.struct("x1", "y1", "path").alias("o"))
+    number = first.select("line", "path", (F.row_number().over(W.partitionBy("line").orderBy("o")) - 1).alias("n"))  # a label's paths
+    return walked.join(number, ["line", "path"]).select("line", F.col("n").alias("path"), "part", "x1", "y1", "x2", "y2")
+
+
 def ring_area(points: Column) -> Column:
     """Area of a ring of structs ``(x, y)``, closed or not."""
     n = F.size(points)
@@ -162,9 +226,17 @@ def _foot(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def near_segments(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
-    """``(id, line, part, distance, px, py)``: the segments at most ``radius`` from each point, with the nearest place on them."""
-    span = lambda a, b: F.explode(F.sequence(_cell(F.least(a, b), radius) - 1, _cell(F.greatest(a, b), radius) + 1))
-    wide = segs.withColumn("cx", span(F.col("x1"), F.col("x2"))).withColumn("cy", span(F.col("y1"), F.col("y2")))
+    """``(id, line, part, distance, px, py)``: the segments at most ``radius`` from each point, with the nearest place on them.
+
+    A segment asks the cells around pieces of it that are no longer than a cell, so that a slanting one doesn't fill its box.
+    """
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    pieces = F.greatest(F.lit(1), F.ceil(length / radius)).cast("int")
+    lo, hi = ((F.col("piece") + e) / F.col("pieces") for e in (0, 1))
+    at = lambda c, t: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * t
+    span = lambda c: F.sequence(_cell(F.least(at(c, lo), at(c, hi)), radius) - 1, _cell(F.greatest(at(c, lo), at(c, hi)), radius) + 1)
+    cells = segs.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    wide = cells.select("line", "part", "x1", "y1", "x2", "y2", "cx", "cy").distinct()
     p = points.where("id is not null and x is not null and y is not null").select("id", "x", "y", _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
     px, py = _foot(F.col("x"), F.col("y"))
     j = p.join(wide, ["cx", "cy"]).withColumn("px", px).withColumn("py", py).withColumn("distance", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")))
@@ -177,9 +249,10 @@ def nearest_line(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame
     return points.select("id").distinct().join(best, "id", "left").select("id", "m.line", "m.distance", "m.px", "m.py")
 
 
-def snapped(points: DataFrame, segs: DataFrame, radius: float, own: str, movable: str) -> DataFrame:
-    """Points where ``movable`` moved onto the nearest place of their ``own`` line, or else of any line, within ``radius``: ``(id, x, y, moved, moved_m)``."""
+def snapped(points: DataFrame, segs: DataFrame, radius: float, own: str, movable: str, own_only: bool = False) -> DataFrame:
+    """Points where ``movable`` moved onto the nearest place of their ``own`` line, or else (unless ``own_only``) of any line, within ``radius``: ``(id, x, y, moved, moved_m)``."""
     j = near_segments(points, segs, radius).join(points.select("id", F.col(own).alias("own")), "id")
+    j = j.where("line = own") if own_only else j
     best = j.groupBy("id").agg(F.min(F.struct((~F.coalesce(F.col("line") == F.col("own"), F.lit(False))).alias("other"), F.col("distance"), F.col("px"), F.col("py"))).alias("m"))
     go = F.col(movable) & F.col("m").isNotNull()
     return points.join(best, "id", "left").select(

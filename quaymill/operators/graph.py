@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymill.session import attach, cut
@@ -157,6 +158,7 @@ def centrality(edges: DataFrame) -> DataFrame:
 
 
 def same_name_links(stations: DataFrame) -> DataFrame:
-    """Edges of weight 1 from the least to each other ``(id, name)`` of one name: a transfer without a walk."""
-    first = stations.where("name is not null").groupBy("name").agg(F.min("id").alias("src"), F.count("*").alias("n")).where("n > 1")
-    return stations.join(attach(first), "name").where("id <> src").select("src", F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    """Edges of weight 1 between each two consecutive ``(id, name)`` of one name, by id: a transfer without a walk. Of one id and name one counts."""
+    w = W.partitionBy("name").orderBy("id")
+    chain = stations.where("name is not null and id is not null").select("id", "name").distinct().withColumn("dst", F.lead("id").over(w))
+    return chain.where("dst is not null").select(F.col("id").alias("src"), "dst", F.lit(1.0).alias("weight"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymill.operators.tables import adjusted_skewness, fit_metrics
+from quaymill.operators.tables import adjusted_skewness, fit_metrics, row_numbers
 from quaymill.session import cut
 
 
@@ -165,12 +166,13 @@ def negative_binomial(df: DataFrame, features: list[str], target: str) -> tuple[
     return dict(zip(["const", *features], map(float, beta))), float(alpha)
 
 
-def regressor(kind: str, seed: int = 42, trees: int = 500):
-    """'linear', 'elastic_net', 'random_forest' or 'boosting' on a vector column ``features`` and ``label``."""
+def regressor(kind: str, seed: int = 42, trees: int = 500, weight: str | None = None):
+    """'linear', 'elastic_net', 'random_forest' or 'boosting' on a vector column ``features`` and ``label``; the trees take weighted rows."""
+    weighed = {"weightCol": weight} if weight else {}
     if kind == "random_forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed)
+        return RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, **weighed)
     if kind == "boosting":
-        return GBTRegressor(maxIter=max(1, trees * 3 // 5), stepSize=0.05, maxDepth=2, subsamplingRate=0.8, seed=seed)
+        return GBTRegressor(maxIter=max(1, trees * 3 // 5), stepSize=0.05, maxDepth=2, subsamplingRate=0.8, seed=seed, **weighed)
     if kind == "linear":
         return LinearRegression(solver="normal")
     lr = LinearRegression(maxIter=200)
@@ -190,18 +192,22 @@ def predicted(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("predicted", F.greatest(F.lit(0.0), F.expm1("prediction"))).drop("raw", "features", "prediction")
 
 
-def cross_validated(df: DataFrame, key: str, features: list[str], target: str, kind: str, folds: int = 5, **how) -> DataFrame:
-    """``df`` with ``predicted`` from the fold fits that didn't see the row; as many folds as rows leave one out."""
-    rows = cut(df.withColumn("fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds))), "folds")
-    parts = [predicted(fitted(rows.where(F.col("fold") != k), features, target, kind, **how), rows.where(F.col("fold") == k)) for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("fold")
+def cross_validated(df: DataFrame, key: str, features: list[str], target: str, kind: str, folds: int | None = 5, **how) -> DataFrame:
+    """``df`` with ``predicted`` from the fold fits that didn't see the row. ``folds`` None leaves each row out once: as many fits
+    as rows, for tables of training size. ``key`` must tell the rows apart."""
+    if folds is None:
+        rows = cut(row_numbers(df, [], [key], "fold"), "folds")
+        turns = range(1, rows.count() + 1)
+    else:
+        rows = cut(df.withColumn("fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds))), "folds")
+        turns = range(folds)
+    parts = [predicted(fitted(rows.where(F.col("fold") != k), features, target, kind, **how), rows.where(F.col("fold") == k)) for k in turns]
+    return reduce(DataFrame.unionByName, parts).drop("fold")
 
 
-def model_table(df: DataFrame, key: str, features: list[str], target: str, kinds: list[str], folds: int = 5, **how) -> DataFrame:
-    """Held-out metrics of each kind of model: ``model, n, r2, mae, rmse, mape, spearman``."""
+def model_table(df: DataFrame, key: str, features: list[str], target: str, kinds: list[str], folds: int | None = 5, **how) -> DataFrame:
+    """Held-out metrics of each kind of model: ``model, n, r2, mae, rmse, mape, spearman``. ``folds`` None leaves each row out once
+    for all kinds; the linear kind always does, by its leverages."""
     out: DataFrame | None = None
     for kind in kinds:
         p = leave_one_out(df, features, target) if kind == "linear" else cross_validated(df, key, features, target, kind, folds, **({} if kind == "elastic_net" else how))
@@ -216,56 +222,123 @@ def best_model(metrics: DataFrame, within: float = 0.05) -> DataFrame:
     return metrics.where(F.col("spearman") >= top - within).orderBy(F.desc("r2"), "model").limit(1)
 
 
-def bootstrap_intervals(train: DataFrame, target: str, features: list[str], rows: DataFrame, key: str, replicates: int = 1000, interval: float = 0.9, seed: int = 5) -> DataFrame:
-    """``(key, lower, upper)`` of least-squares predictions over ``replicates`` resamples.
+_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+#: A Poisson draw of mean 1 is the number of these below a uniform one.
+_STEPS = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
 
-    Each replicate counts a row as often as a Poisson draw of mean 1 says, so that one aggregation by
-    replicate gathers all fits' sums; each is solved where its sums are, and every row gets the quantiles.
-    """
-    k = len(features) + 1
-    y = F.log1p(F.col(target))
-    cols = [F.lit(1.0), *(F.col(c).cast("double") for c in features), y]
-    many = train.select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64("rep", F.lit(seed), *(f"c{i}" for i in range(1, k + 1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
-    many = many.withColumn("w", sum(((u > float(s)).cast("double") for s in steps), F.lit(0.0))).where("w > 0")
-    sums = many.groupBy("rep").agg(*(F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)))
+
+def poisson_draws(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """How often each row (64-bit key) counts in each replicate: a fixed Poisson draw of mean 1."""
+    z = keys.astype(np.int64).view(np.uint64)[:, None] + (replicates.astype(np.uint64) + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in _MIX:
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_STEPS, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53))
+
+
+def _shrunk(g: np.ndarray, alpha: float, l1: float, rounds: int = 500) -> np.ndarray:
+    """Elastic net by coordinate descent on sums of products (a constant first, the target last); penalties on standardised features."""
+    n, k = g[0, 0], len(g) - 2
+    mean = g[0] / n
+    c = g / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(c), 0))
+    on = np.flatnonzero(sd[1 : k + 1] > 1e-12) + 1
+    r, q, b = c[np.ix_(on, on)] / np.outer(sd[on], sd[on]), c[on, -1] / sd[on], np.zeros(len(on))
+    for _ in range(rounds):
+        last = b.copy()
+        for j in range(len(on)):
+            rho = q[j] - r[j] @ b + b[j]
+            b[j] = np.sign(rho) * max(abs(rho) - alpha * l1, 0) / (1 + alpha * (1 - l1))
+        if np.abs(b - last).max(initial=0) < 1e-9:
+            break
+    beta = np.zeros(k + 1)
+    beta[on] = b / sd[on]
+    beta[0] = mean[-1] - beta[1:] @ mean[1:-1]
+    return beta
+
+
+def _least(g: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.maximum(np.diag(g)[:-1], 1e-300))
+    return _solve(g[:-1, :-1] / np.outer(d, d), g[:-1, -1] / d) / d
+
+
+def replicate_fits(train: DataFrame, target: str, features: list[str], key: str, replicates: int, penalty: tuple[float, float] | None = None, seed: int = 5) -> np.ndarray:
+    """Coefficients (replicates x intercept and features) of least squares, or of an elastic net with ``penalty (strength, share of
+    absolute values)``, on log1p of the target: one pass over the rows. Each task multiplies its rows' products with their draws in
+    all replicates, so that rows are never repeated."""
+    k = len(features) + 2
+    upper = np.triu_indices(k)
+    numbers = np.arange(replicates)
+
+    def partial(batches):
+        total = np.zeros((replicates, len(upper[0])))
+        for b in batches:
+            a = np.column_stack([np.ones(len(b)), b.drop(columns="key").to_numpy(float)])
+            total += poisson_draws(b["key"].to_numpy(), numbers).T @ (a[:, upper[0]] * a[:, upper[1]])
+        yield pd.DataFrame({"rep": numbers, "sums": total.tolist()})
+
+    rows = train.select(F.xxhash64(F.col(key), F.lit(seed)).alias("key"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)), F.log1p(F.col(target).cast("double")).alias("y"))
+    sums = rows.mapInPandas(partial, "rep int, sums array<double>").select("rep", F.posexplode("sums").alias("pos", "s")).groupBy("rep", "pos").agg(F.sum("s").alias("s"))
+    sums = sums.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("sums"))
 
     def solve(batches):
         for b in batches:
             out = []
-            for r in b.to_dict("records"):
-                g = np.zeros((k + 1, k + 1))
-                for i in range(k + 1):
-                    for j in range(i, k + 1):
-                        g[i, j] = g[j, i] = r[f"s{i}_{j}"]
-                d = np.sqrt(np.maximum(np.diag(g)[:-1], 1e-300))
-                out.append((_solve(g[:-1, :-1] / np.outer(d, d), g[:-1, -1] / d) / d).tolist())
-            yield pd.DataFrame({"beta": out})
-
-    betas = np.array([r[0] for r in sums.mapInPandas(solve, "beta array<double>").collect()])  # replicates x features
-    low, high = (1 - interval) / 2, (1 + interval) / 2
+            for flat in b["sums"]:
+                g = np.zeros((k, k))
+                g[upper] = flat
+                g = g + g.T - np.diag(np.diag(g))
+                out.append((_least(g) if penalty is None else _shrunk(g, *penalty)).tolist())
+            yield pd.DataFrame({"rep": b["rep"], "beta": out})
 
-    def spread(batches):
-        for b in batches:
-            x = np.column_stack([np.ones(len(b)), b[[f"f{i}" for i in range(k - 1)]].to_numpy(float)])
-            p = np.maximum(np.expm1(x @ betas.T), 0)
-            q = np.quantile(p, [low, high], axis=1)
-            yield pd.DataFrame({"key": b["key"], "lower": q[0], "upper": q[1]})
+    return np.array([r["beta"] for r in sums.mapInPandas(solve, "rep int, beta array<double>").orderBy("rep").collect()])  # replicates x features
 
-    kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features))).mapInPandas(spread, f"key {kind}, lower double, upper double").withColumnRenamed("key", key)
 
+def bootstrap_intervals(
+    train: DataFrame, target: str, features: list[str], rows: DataFrame, key: str, replicates: int = 1000, interval: float = 0.9, seed: int = 5, kind: str = "linear", penalty: tuple[float, float] = (0.1, 0.5), **how
+) -> DataFrame:
+    """``(key, prediction, lower, upper)``: mean and quantiles of the predictions of ``replicates`` fits on resampled ``train`` rows.
 
-def typology(df: DataFrame, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``typology``, the k-means cluster of its median-filled z-scores."""
+    In each replicate a row counts as often as a Poisson draw of mean 1 by its key says, so that equal rows draw apart and
+    the draws don't depend on how rows are spread over tasks. ``key`` must tell the rows of both tables apart. The linear
+    kinds gather all fits in one pass; ``penalty`` is that of the elastic net chosen before. Forests and boosting are
+    fitted once per replicate with the draws as weights: as many jobs as replicates, for tables of training size.
+    """
+    low, high = (1 - interval) / 2, (1 + interval) / 2
+    width = len(features)
+    if kind in ("linear", "elastic_net"):
+        betas = replicate_fits(train, target, features, key, replicates, penalty if kind == "elastic_net" else None, seed)
+
+        def spread(batches):
+            for b in batches:
+                x = np.column_stack([np.ones(len(b)), b[[f"f{i}" for i in range(width)]].to_numpy(float)])
+                p = np.maximum(np.expm1(x @ betas.T), 0)
+                q = np.quantile(p, [low, high], axis=1)
+                yield pd.DataFrame({"key": b["key"], "prediction": p.mean(1), "lower": q[0], "upper": q[1]})
+
+        of = rows.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)))
+        return of.mapInPandas(spread, f"key {dict(rows.dtypes)[key]}, prediction double, lower double, upper double").withColumnRenamed("key", key)
+    drawn = []
+    for rep in range(replicates):
+        u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(rep)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        weighed = train.withColumn("__w", sum(((u > float(s)).cast("double") for s in _STEPS), F.lit(0.0))).where("__w > 0")
+        drawn.append(predicted(fitted(weighed, features, target, kind, weight="__w", **how), rows.select(key, *features)).select(key, "predicted"))
+        if len(drawn) == 20:  # plans stay short
+            drawn = [cut(reduce(DataFrame.unionByName, drawn), "drawn")]
+    return reduce(DataFrame.unionByName, drawn).groupBy(key).agg(F.avg("predicted").alias("prediction"), F.percentile("predicted", low).alias("lower"), F.percentile("predicted", high).alias("upper"))
+
+
+def typology(df: DataFrame, features: list[str], k: int = 5, seed: int = 42, starts: int = 10) -> DataFrame:
+    """``df`` with ``typology``, the k-means cluster of its median-filled z-scores; of ``starts`` runs the one with the least cost."""
     names = [f"__{c}" for c in features]
     num = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, features)})
-    pipe = Pipeline(stages=[
-        Imputer(inputCols=names, outputCols=[f"{n}_f" for n in names], strategy="median"), VectorAssembler(inputCols=[f"{n}_f" for n in names], outputCol="__v"),
-        StandardScaler(inputCol="__v", outputCol="__z", withMean=True), KMeans(featuresCol="__z", predictionCol="typology", k=k, seed=seed, initSteps=4),
+    prepare = Pipeline(stages=[
+        Imputer(inputCols=names, outputCols=[f"{n}_f" for n in names], strategy="median"), VectorAssembler(inputCols=[f"{n}_f" for n in names], outputCol="__v"), StandardScaler(inputCol="__v", outputCol="__z", withMean=True),
     ])
-    return pipe.fit(num).transform(num).drop("__v", "__z", *names, *(f"{n}_f" for n in names))
+    ready = prepare.fit(num).transform(num)
+    points = cut(ready.select("__z"), "points")
+    tried = [KMeans(featuresCol="__z", predictionCol="typology", k=k, seed=seed + i, initSteps=4).fit(points) for i in range(starts)]
+    best = min(tried, key=lambda m: m.summary.trainingCost)
+    return best.transform(ready).drop("__v", "__z", *names, *(f"{n}_f" for n in names))
 
 
 def simulate(model, df: DataFrame, changes: dict[str, float | tuple[str, float]]) -> DataFrame:
@@ -285,12 +358,13 @@ def candidate_features(df: DataFrame, deny: set[str], prefixes: tuple[str, ...]
     return [c for c, t in df.dtypes if (t in numeric or t.startswith("decimal")) and c not in deny and not c.startswith(prefixes or ("\0",))]
 
 
-def run(train: DataFrame, rows: DataFrame, key: str, features: list[str], target: str, core: list[str] = (), kinds: tuple[str, ...] = ("linear", "elastic_net", "random_forest"), folds: int = 5, replicates: int = 200, **how) -> tuple[DataFrame, DataFrame]:
+def run(train: DataFrame, rows: DataFrame, key: str, features: list[str], target: str, core: list[str] = (), kinds: tuple[str, ...] = ("linear", "elastic_net", "random_forest"), folds: int | None = 5, replicates: int = 200, **how) -> tuple[DataFrame, DataFrame]:
     """From raw tables to predictions: gaps filled with the training medians, skewed features logged, features screened,
     models compared on held-out rows, the best one applied.
 
     Returns the metrics ``(model, n, r2, mae, rmse, mape, spearman, chosen)`` and ``(key, predicted, lower, upper)`` of
-    ``rows``, whose features get the medians and logarithms of the training table. The bounds are those of least squares.
+    ``rows``, whose features get the medians and logarithms of the training table. The bounds are those of the chosen
+    kind of model, refitted on resampled rows with the settings that it was chosen with.
     """
     home, medians = clean(train.where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))), features)
     home, logged = log_skewed(cut(home, "train"), features)
@@ -299,12 +373,46 @@ def run(train: DataFrame, rows: DataFrame, key: str, features: list[str], target
     metrics = cut(model_table(home, key, kept, target, list(kinds), folds, **how), "metrics")
     best = best_model(metrics).first()["model"]
     away = cut(log_skewed(clean(rows, features, medians)[0], features, columns=logged)[0], "rows")
-    model = fitted(home, kept, target, best, **({} if best in ("linear", "elastic_net") else how))
-    bounds = bootstrap_intervals(home, target, kept, away, key, replicates)
+    settings = {} if best in ("linear", "elastic_net") else how
+    model = fitted(home, kept, target, best, **settings)
+    if best == "elastic_net":
+        chosen = model.stages[-1].bestModel
+        settings = {"penalty": (float(chosen.getRegParam()), float(chosen.getElasticNetParam()))}
+    bounds = bootstrap_intervals(home, target, kept, away, key, replicates, kind=best, **settings).drop("prediction")
     out = predicted(model, away).select(key, "predicted").join(bounds, key)
     return metrics.withColumn("chosen", F.col("model") == best), out
 
 
+def with_target(frame: DataFrame, name: str, targets: DataFrame, target_name: str, columns: list[str], target: str) -> DataFrame:
+    """``frame`` with the target columns of the row of its name; every row of ``frame`` stays once. Of repeated target rows the largest
+    by ``columns`` counts. A join that finds no target at all is an error: the names of the two sides don't fit."""
+    one = targets.where(F.col(target_name).isNotNull()).groupBy(F.col(target_name).alias(name)).agg(F.max(F.struct(*columns)).alias("__t"))
+    out = frame.drop(*columns).join(one, name, "left").select(*(c for c in frame.columns if c not in columns), *(F.col(f"__t.{c}").alias(c) for c in columns))
+    if out.where(F.col(target).isNotNull()).isEmpty():
+        raise ValueError(f"no {name} of the frame has a {target}")
+    return out
+
+
+def calibration(predicted_total: DataFrame, observed: list[tuple[str, DataFrame, bool]], coverage: float = 1.0, tolerance: float = 0.15) -> DataFrame:
+    """One row ``predicted, observed, source, ratio, direction, in_band``: a predicted total (one cell) against the first of ``observed
+    (source, one cell, of the whole system)`` that has a value. A source of the whole system compares with the prediction scaled up
+    by its ``coverage``. Without any source the comparison is null."""
+    sides = spark_row(predicted_total).select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("observed"), F.lit(None).cast("boolean").alias("whole"), F.lit(len(observed)).alias("turn"))
+    for i, (source, value, whole) in enumerate(observed):
+        sides = sides.unionByName(value.toDF("observed").select(F.lit(source).alias("source"), F.col("observed").cast("double").alias("observed"), F.lit(whole).alias("whole"), F.lit(i).alias("turn")))
+    first = sides.where("turn = %d or (observed is not null and not isnan(observed))" % len(observed)).agg(F.min_by(F.struct("source", "observed", "whole"), "turn").alias("o")).select("o.*")
+    p = F.lit(predicted_total.toDF("p").select(F.col("p").cast("double")).scalar())
+    scaled = first.withColumn("predicted", F.when(F.col("whole"), F.try_divide(p, F.lit(float(coverage)))).otherwise(p))
+    ratio = F.try_divide("predicted", "observed")
+    out = scaled.select("predicted", "observed", "source", ratio.alias("ratio"))
+    return out.withColumns({"direction": F.when(F.col("ratio") > 1, "over").when(F.col("ratio") < 1, "under").when(F.col("ratio") == 1, "equal"), "in_band": F.abs(F.col("ratio") - 1) <= tolerance})
+
+
+def spark_row(df: DataFrame) -> DataFrame:
+    """One row without a source."""
+    return df.sparkSession.range(1)
+
+
 def transfer_check(predictions: DataFrame, observed: DataFrame, key: str, predicted_col: str, observed_col: str, least: int = 5) -> DataFrame:
     """How predictions meet what was observed of the same keys: the fit metrics, the ratio of the totals and whether it lies
     within 15 percent; nulls in all of them below ``least`` pairs."""

@@ -66,6 +66,15 @@ def p6_imputed(spark: SparkSession, d: str) -> DataFrame:
     return _imputed(spark, d)
 
 
+def p6_marked(spark: SparkSession, d: str) -> DataFrame:
+    """The result without what was filled in: delivered values, what was missing and what has been filled."""
+    f = _imputed(spark, d)
+    out = [F.col("station_id")]
+    for x in FIELDS:
+        out += [F.when(~F.col(f"{x.name}_missing"), F.col(x.name)).alias(x.name), F.col(f"{x.name}_missing"), F.col(f"{x.name}_filled")]
+    return f.select(*out)
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     usable = ~F.coalesce(F.col("is_partial"), F.lit(True)) & (F.col("boardings") >= 0)
     return daily_grid(table(spark, d, "fact_observed"), "station_cmrl", "date", "boardings", usable, ["fetched_at", "obs_id"])
@@ -79,7 +88,13 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).withColumnRenamed("source", "station_cmrl")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_neighbours, p6_found, p6_imputed, p7_found, p7_grid)}
+def p7_marked(spark: SparkSession, d: str) -> DataFrame:
+    """The grid without the smoothed values: the reading of each day, or that there is none."""
+    g = p7_grid(spark, d)
+    return g.select("station_cmrl", "day", F.when(~F.col("is_missing"), F.col("value")).alias("reading"), "is_missing")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_neighbours, p6_found, p6_imputed, p6_marked, p7_found, p7_grid, p7_marked)}
 
 _KEYS = "(SELECT station_id, min(loaded_on) AS lo, max(retired_on) AS hi FROM dim_station GROUP BY 1)"
 _P2 = f"""
@@ -106,14 +121,31 @@ UNION ALL SELECT DISTINCT station_id, 'corridor_line' FROM chennai_powerbi_stati
 _P4 = """
 WITH raw AS (SELECT station_id, CASE WHEN abs(latitude) > 1000 THEN abs(latitude) / 1e6 ELSE abs(latitude) END AS a,
                     CASE WHEN abs(longitude) > 1000 THEN abs(longitude) / 1e6 ELSE abs(longitude) END AS b FROM dim_station WHERE NOT isnan(latitude) AND NOT isnan(longitude)),
-pt AS (SELECT station_id, min(least(a, b)) AS lat, min(greatest(a, b)) AS lon FROM raw WHERE least(a, b) BETWEEN 8 AND 23 AND greatest(a, b) BETWEEN 72 AND 88 GROUP BY 1)
-SELECT p.station_id AS station_id_a, q.station_id AS station_id_b FROM pt p JOIN pt q ON p.station_id < q.station_id AND abs(p.lat - q.lat) < 0.0024 AND abs(p.lon - q.lon) < 0.0028
-WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))) <= 250
+pt AS (SELECT station_id, min(least(a, b)) AS lat, min(greatest(a, b)) AS lon FROM raw WHERE least(a, b) BETWEEN 8 AND 23 AND greatest(a, b) BETWEEN 72 AND 88 GROUP BY 1),
+pairs AS (SELECT p.station_id AS station_id_a, q.station_id AS station_id_b,
+  2 * 6371008.8 * asin(sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))) AS m
+  FROM pt p JOIN pt q ON p.station_id < q.station_id AND abs(p.lat - q.lat) < 0.0024 AND abs(p.lon - q.lon) < 0.0028)
+"""
+_P6_MARKED = f"""
+WITH r AS (SELECT DISTINCT station_id, density_pop_per_km2 AS a, bus_stops_500m AS b, corridor_line AS c,
+  density_pop_per_km2 IS NULL OR isnan(density_pop_per_km2) OR density_pop_per_km2 < 0 OR density_pop_per_km2 > 1e6 AS ma, bus_stops_500m IS NULL OR bus_stops_500m < 0 OR bus_stops_500m > 5000 AS mb, ({_NO_LINE}) AS mc
+  FROM chennai_powerbi_stations WHERE station_id IS NOT NULL)
+SELECT station_id, CASE WHEN NOT ma THEN a END AS density_pop_per_km2, ma AS density_pop_per_km2_missing, ma AS density_pop_per_km2_filled, CASE WHEN NOT mb THEN b::BIGINT END AS bus_stops_500m, mb AS bus_stops_500m_missing,
+  mb AS bus_stops_500m_filled, CASE WHEN NOT mc THEN c END AS corridor_line, mc AS corridor_line_missing, mc AS corridor_line_filled FROM r
+"""
+_P7_MARKED = """
+WITH u AS (SELECT station_cmrl, date, arg_max(boardings, (fetched_at, obs_id))::DOUBLE AS reading FROM fact_observed WHERE date IS NOT NULL AND station_cmrl IS NOT NULL AND NOT is_partial AND boardings >= 0 GROUP BY 1, 2),
+s AS (SELECT station_cmrl, unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM u GROUP BY 1)
+SELECT s.station_cmrl, s.day, reading, reading IS NULL AS is_missing FROM s LEFT JOIN u ON u.station_cmrl = s.station_cmrl AND u.date = s.day
 """
 SQL = {
     "p2_found": _P2 + "SELECT tab, period, row_id, kind FROM o WHERE kind IS NOT NULL",
     "p2_report": _P2 + 'SELECT tab, period, kind, count(*) AS "references" FROM o WHERE kind IS NOT NULL GROUP BY ALL',
-    "p4_found": _P4,
+    "p4_found": _P4 + "SELECT station_id_a, station_id_b FROM pairs WHERE m <= 250",
+    "p4_neighbours": _P4 + """SELECT station_id, count(*) AS neighbours, round(min(m), 1) AS nearest_m
+FROM (SELECT station_id_a AS station_id, m FROM pairs WHERE m <= 250 UNION ALL SELECT station_id_b, m FROM pairs WHERE m <= 250) GROUP BY 1""",
     "p6_found": _P6,
+    "p6_marked": _P6_MARKED,
     "p7_found": _USABLE,
+    "p7_marked": _P7_MARKED,
 }

@@ -10,6 +10,7 @@ from quaymill.functions.missing import no_text
 from quaymill.operators import tables as T
 from quaymill.plans.registry import Registry
 from quaymill.session import table
+from quaymill.sources.web import alignment_class, station_class
 
 R = Registry()
 S = SparkSession
@@ -54,12 +55,54 @@ def q_stem(spark: S, d: str) -> DataFrame:
     return table(spark, d, "station_names").select("ref_id", X.stem(F.col("station")).alias("stem"), F.coalesce(X.has_latin(F.col("alias")), F.lit(False)).alias("latin_alias"))
 
 
-_LU = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in X.LAND_USE)
+_LU = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in X.LAND_USE.items())
 
 
-@R.query(f"SELECT doc_id, CASE {_LU} ELSE 'Other' END AS land_use FROM documents")
+@R.query(f"SELECT doc_id, CASE {_LU} ELSE 'Other' END AS land_use, CASE {_LU} ELSE 'Barren/Open' END AS land_use_open FROM documents")
 def q_land_use(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.land_use(F.col("text")).alias("land_use"))
+    """Both variants: what fits no group is other, or open land."""
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.land_use(text).alias("land_use"), X.land_use(text, open_by_default=True).alias("land_use_open"))
+
+
+#: Tags of railway elements as maps write them; the query gives each station some of them in turn.
+_TAGS = {
+    "railway": ["station", "construction", "halt", "proposed", "rail", None, "Station"],
+    "station": ["subway", None, None, "light_rail", None],
+    "construction": [None, "station", None, "tower", None, None, None, "subway", None, None, None],
+    "construction:railway": [None, None, None, "station", None, None, "rail", None, None, None, None, None, None],
+    "proposed:railway": [None, None, "halt", None, None, None, None, None, None, None, None, None, None, None, None, None, None],
+    "network": ["CMRL", None, "Southern Railway", None],
+    "operator": [None, "Bangalore Metro", "IR"],
+    "subway": [None, "yes", "no", None, None, None, None, None, None],
+}
+_TAG_SQL = {k: "coalesce(lower(" + f"([{', '.join('NULL' if v is None else repr(v) for v in vs)}])[ref_id % {len(vs)} + 1]" + "), '')" for k, vs in _TAGS.items()}
+
+
+@R.query(f"""WITH t AS (SELECT ref_id, lower(coalesce(station, '')) AS name, {', '.join(f'{c} AS "{k}"' for k, c in _TAG_SQL.items())} FROM station_names),
+m AS (SELECT *, station = 'subway' OR subway = 'yes' OR name LIKE '%metro%' OR network || ' ' || operator SIMILAR TO '.*(metro|cmrl|bmrcl).*' AS metro,
+railway IN ('construction', 'proposed') OR "construction:railway" IN ('station', 'halt') OR "proposed:railway" IN ('station', 'halt') OR construction IN ('station', 'subway', 'light_rail') AS unfinished FROM t)
+SELECT ref_id, CASE WHEN unfinished AND (metro OR "construction:railway" <> '' OR "proposed:railway" <> '') THEN 'metro_construction' WHEN unfinished THEN 'other_construction'
+WHEN metro THEN 'metro_operational' WHEN railway IN ('station', 'halt') THEN 'other_rail' ELSE 'other' END AS kind FROM m""")
+def q_station_class(spark: S, d: str) -> DataFrame:
+    """What a railway element is by its tags."""
+    entries = [x for k, vs in _TAGS.items() for x in (F.lit(k), F.get(F.array(*map(F.lit, vs)), F.col("ref_id") % len(vs)))]
+    tags = F.create_map(F.lit("name"), F.col("station"), *entries)
+    return table(spark, d, "station_names").select("ref_id", station_class(tags).alias("kind"))
+
+
+_ALIGNMENTS = ["Chennai Metro Line 1", "Chennai Metro Line 2", "Line 3: A - B", "CMRL Line 5: C - D", "Yellow Line (u/c)", "Line 3: Proposed", "Line 5B: x", "Yellow Line corridor switch", "Line 9", "", None]
+
+
+@R.query(f"""WITH a AS (SELECT ref_id, ([{', '.join('NULL' if a is None else repr(a) for a in _ALIGNMENTS)}])[ref_id % {len(_ALIGNMENTS)} + 1] AS name FROM station_names),
+k AS (SELECT *, coalesce(lower(name) LIKE '%proposed%' OR name LIKE '%Line 5B%' OR name LIKE '%corridor switch%', true) AS out FROM a)
+SELECT ref_id, CASE WHEN out THEN NULL WHEN name IN ('Chennai Metro Line 1', 'Chennai Metro Line 2') THEN 'phase1' WHEN name LIKE '%Line 3:%' OR name LIKE '%Line 5:%' OR name LIKE '%Yellow Line%' THEN 'phase2' END AS phase,
+CASE WHEN out THEN NULL WHEN name = 'Chennai Metro Line 1' THEN 'Blue Line' WHEN name = 'Chennai Metro Line 2' THEN 'Green Line' WHEN name LIKE '%Line 3:%' THEN 'Purple Line' WHEN name LIKE '%Line 5:%' THEN 'Red Line'
+WHEN name LIKE '%Yellow Line%' THEN 'Yellow Line' END AS line FROM k""")
+def q_alignment_class(spark: S, d: str) -> DataFrame:
+    """Phase and line of an alignment by its name."""
+    name = F.get(F.array(*map(F.lit, _ALIGNMENTS)), F.col("ref_id") % len(_ALIGNMENTS))
+    return table(spark, d, "station_names").select("ref_id", alignment_class(name).alias("c")).select("ref_id", "c.phase", "c.line")
 
 
 @R.query("""SELECT event_id, (json_extract(props, '$.k'))::INT AS k FROM events""")
@@ -125,10 +168,11 @@ def q_conjunctive_filter(spark: S, d: str) -> DataFrame:
     return c.where(~F.coalesce(F.col("c_name").rlike("(?i)0{8}1|99$"), F.lit(False)) & (F.length(F.trim("c_name")) > 0)).select("c_custkey", "c_mktsegment")
 
 
-@R.query("""SELECT doc_id FROM documents WHERE contains(lower(text), 'platform (') OR contains(lower(text), 'station+')""")
+@R.query("""SELECT ref_id, cmrl_name FROM (SELECT target_id AS ref_id, cmrl_name FROM chennai_station_target) WHERE contains(lower(cmrl_name), '(') OR contains(lower(cmrl_name), 'st.') OR contains(lower(cmrl_name), '[1]')""")
 def q_literal_search(spark: S, d: str) -> DataFrame:
     """An alternation of literals: nothing in them is a pattern."""
-    return table(spark, d, "documents").where(X.contains_any(F.col("text"), ("platform (", "station+"))).select("doc_id")
+    t = table(spark, d, "chennai_station_target").where(X.contains_any(F.col("cmrl_name"), ("(", "st.", "[1]")))
+    return t.select(F.col("target_id").alias("ref_id"), "cmrl_name")
 
 
 @R.query("""SELECT station_id, phase, corridor_line FROM (SELECT DISTINCT station_id, phase, corridor_line, is_top15_phase2, position_confidence FROM chennai_powerbi_stations)
@@ -195,34 +239,60 @@ def q_unnamed_lines(spark: S, d: str) -> DataFrame:
     return table(spark, d, "chennai_powerbi_stations").agg(F.count("*").alias("rows"), F.count_if(no_text(F.col("corridor_line"))).alias("unnamed"))
 
 
-# ---- measures: one query each, over the whole table
+# ---- measures: filters as rows, all in one pass
 
+_STATIONS = "(SELECT DISTINCT station_id, phase, corridor_line, strategic_action, is_intermodal_hub, CASE WHEN NOT isnan(predicted_boardings) THEN predicted_boardings END AS p, lower_ci_95 AS lo, upper_ci_95 AS hi FROM chennai_powerbi_stations)"
+_FILTERS = {
+    "all": "true", "phase_1": "phase = 'Phase 1'", "later_phases": "phase <> 'Phase 1'", "named_line": "corridor_line IS NOT NULL", "trunk": "corridor_line = 'Saffron Trunk Line'",
+    "hubs": "is_intermodal_hub = 1", "with_action": "strategic_action IS NOT NULL", "large": "p > 8000", "never": "phase = 'never delivered'",
+}
 
-def _measure(name: str, sql: str, make) -> None:
-    def query(spark: S, d: str) -> DataFrame:
-        return make(spark, d)
 
-    query.__name__ = name
-    R.query(sql)(query)
+def _measured(spark: S, d: str) -> DataFrame:
+    cols = ["station_id", "phase", "corridor_line", "strategic_action", "is_intermodal_hub"]
+    p = F.col("predicted_boardings")
+    return table(spark, d, "chennai_powerbi_stations").select(*cols, F.when(~F.isnan(p), p).alias("p"), F.col("lower_ci_95").alias("lo"), F.col("upper_ci_95").alias("hi")).distinct()
 
 
-def _sum_where(condition: str):
-    return lambda s, d: table(s, d, "orders").where(condition).agg(F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), F.lit(0)).cast("decimal(28,2)").alias("value"))
+def _long(one: DataFrame, names: list[str], **values: str) -> DataFrame:
+    """One row of aggregates as a row per measure."""
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), *(F.col(f"{v}_{n}").alias(k) for k, v in values.items())) for n in names))).alias("m")).select("m.*")
 
 
-_MEASURES = {
-    "total": "true", "phase_1": "o_orderstatus = 'F'", "phase_2": "o_orderstatus = 'O'", "line_a": "o_custkey % 4 = 0", "line_b": "o_custkey % 4 = 1", "line_c": "o_custkey % 4 = 2",
-    "action_urgent": "o_orderpriority = '1-URGENT'", "action_unknown": "o_orderpriority = 'never emitted'", "upper_bound": "o_totalprice > 400000", "lower_bound": "o_totalprice < 50000",
-}
-for _n, _c in _MEASURES.items():
-    _measure(f"q_measure_sum_{_n}", f"SELECT coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER ({_c}), 0)::DECIMAL(28,2) AS value FROM orders", _sum_where(_c))
-    _measure(f"q_measure_count_{_n}", f"SELECT count(*) FILTER ({_c}) AS value FROM orders", lambda s, d, c=_c: table(s, d, "orders").agg(F.count_if(F.expr(c)).alias("value")))
-    _measure(f"q_measure_share_{_n}", f"SELECT round(coalesce(100 * sum(o_totalprice) FILTER ({_c}) / nullif(sum(o_totalprice), 0), 0), 6) AS value FROM orders", lambda s, d, c=_c: table(s, d, "orders").agg(F.round(F.coalesce(F.try_divide(100 * F.sum(F.when(F.expr(c), F.col("o_totalprice"))), F.sum("o_totalprice")), F.lit(0.0)), 6).alias("value")))
-for _col in ("density_pop_per_km2", "pnr_walkability_ratio", "bus_stops_500m", "poi_total_count", "distance_cbd_km", "population_800m", "predicted_boardings"):
-    _measure(
-        f"q_measure_mean_{_col}",
-        f"SELECT round(avg({_col}) FILTER (NOT isnan({_col}::DOUBLE) AND {_col} >= 0), 4) AS value FROM chennai_powerbi_stations",
-        lambda s, d, c=_col: table(s, d, "chennai_powerbi_stations").agg(F.round(F.avg(F.when(~F.isnan(F.col(c).cast("double")) & (F.col(c) >= 0), F.col(c))), 4).alias("value")),
-    )
+_MEASURE_SQL = {k: f"SELECT '{k}' AS measure, {{}} FROM {_STATIONS} s" for k in _FILTERS}
+
+
+@R.query(" UNION ALL ".join(q.format(f"count(*) FILTER ({_FILTERS[k]}) AS stations") for k, q in _MEASURE_SQL.items()))
+def q_measure_counts(spark: S, d: str) -> DataFrame:
+    return _long(_measured(spark, d).agg(*(F.count_if(F.expr(c)).alias(f"n_{k}") for k, c in _FILTERS.items())), list(_FILTERS), stations="n")
+
+
+@R.query(" UNION ALL ".join(q.format(f"coalesce(sum(p::DECIMAL(18, 2)) FILTER ({_FILTERS[k]}), 0)::DECIMAL(28, 2) AS total, round(coalesce(100 * sum(p) FILTER ({_FILTERS[k]}) / nullif(sum(p), 0), 0), 6) AS share_pct") for k, q in _MEASURE_SQL.items()))
+def q_measure_totals(spark: S, d: str) -> DataFrame:
+    """Totals and their shares of everything; 0 where a filter keeps none."""
+    p = F.col("p")
+    sums = [x for k, c in _FILTERS.items() for x in (
+        F.coalesce(F.sum(F.when(F.expr(c), p.cast("decimal(18,2)"))), F.lit(0)).cast("decimal(28,2)").alias(f"t_{k}"), F.round(F.coalesce(F.try_divide(100 * F.sum(F.when(F.expr(c), p)), F.sum(p)), F.lit(0.0)), 6).alias(f"s_{k}"),
+    )]
+    return _long(_measured(spark, d).agg(*sums), list(_FILTERS), total="t", share_pct="s")
+
+
+@R.query(" UNION ALL ".join(q.format(f"round(avg(hi - lo) FILTER (({_FILTERS[k]}) AND NOT isnan(hi) AND NOT isnan(lo)), 4) AS width, max(p) FILTER ({_FILTERS[k]}) AS most, min(p) FILTER ({_FILTERS[k]}) AS least") for k, q in _MEASURE_SQL.items()))
+def q_measure_bounds(spark: S, d: str) -> DataFrame:
+    """Mean width of the intervals and the extremes."""
+    p, width = F.col("p"), F.when(~F.isnan("hi") & ~F.isnan("lo"), F.col("hi") - F.col("lo"))
+    aggs = [x for k, c in _FILTERS.items() for x in (F.round(F.avg(F.when(F.expr(c), width)), 4).alias(f"w_{k}"), F.max(F.when(F.expr(c), p)).alias(f"hi_{k}"), F.min(F.when(F.expr(c), p)).alias(f"lo_{k}"))]
+    return _long(_measured(spark, d).agg(*aggs), list(_FILTERS), width="w", most="hi", least="lo")
+
+
+_MEANS = ["density_pop_per_km2", "pnr_walkability_ratio", "bus_stops_500m", "poi_total_count", "distance_cbd_km", "population_800m", "predicted_boardings"]
+
+
+@R.query(" UNION ALL ".join(f"SELECT '{c}' AS measure, round(avg({c}) FILTER (NOT isnan({c}::DOUBLE) AND {c} >= 0), 4) AS mean FROM chennai_powerbi_stations" for c in _MEANS))
+def q_measure_means(spark: S, d: str) -> DataFrame:
+    """Means of the known values of several columns in one pass."""
+    means = [F.round(F.avg(F.when(~F.isnan(F.col(c).cast("double")) & (F.col(c) >= 0), F.col(c))), 4).alias(f"m_{c}") for c in _MEANS]
+    return _long(table(spark, d, "chennai_powerbi_stations").agg(*means), _MEANS, mean="m")
+
 
 QUERIES, SQL = R.queries, R.sql

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from quaymill.functions.missing import no_value
 from quaymill.operators import matching as M
 from quaymill.operators import models as L
+from quaymill.operators import stations as B
 from quaymill.operators import tables as T
 from quaymill.plans.registry import Registry
-from quaymill.session import cut, table
+from quaymill.session import attach, cut, table
 
 R = Registry()
 S = SparkSession
@@ -111,11 +112,28 @@ def q_fuzzy_failures(spark: S, d: str) -> DataFrame:
     return M.nearest_failures(left, right, cut(M.match_names(left, right, 0.82, aliases), "matched"))
 
 
+def _key_sql(c: str) -> str:
+    """The name key in SQL, for texts whose decomposition is that of their accents and raised digits: a mark leaves a blank behind its letter."""
+    bare = f"array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN strip_accents(x) <> x THEN strip_accents(x) || ' ' ELSE translate(x, '¹²³', '123') END), '')"
+    out = f"lower(regexp_replace(regexp_replace({bare}, '[*†‡§¶#¤°·]', '', 'g'), '\\([^)]*\\)', ' ', 'g'))"
+    for word in M.NOISE_WORDS:
+        out = f"replace({out}, '{word}', ' ')"
+    titles = "|".join(M.HONORIFICS)
+    return f"coalesce(trim(regexp_replace(regexp_replace({out}, '\\b({titles})\\b', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), '')"
+
+
+@R.query(f"SELECT target_id, cmrl_name, {_key_sql('cmrl_name')} AS key FROM chennai_station_target")
 def q_plain_names(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "station_names").select("ref_id", M.plain_key(F.col("station")).alias("key"))
+    """The comparable key of every name as typed."""
+    return table(spark, d, "chennai_station_target").select("target_id", "cmrl_name", M.plain_key(F.col("cmrl_name")).alias("key"))
 
 
-R.sql["q_plain_names"] = "SELECT ref_id, lower(station) AS key FROM station_names"
+def q_canonical_names(spark: S, d: str) -> DataFrame:
+    """Typed names by an explicit table first, the rest by likeness among the stations that are left."""
+    n = table(spark, d, "station_names")
+    explicit = n.where("alias is not null").select(F.col("alias").alias("name"), "station")
+    typed = table(spark, d, "chennai_station_target").select(F.col("cmrl_name").alias("name"), F.col("target_id").alias("pos"))
+    return B.canonical_names(typed, n.select(F.col("station").alias("name"), F.col("ref_id").cast("bigint").alias("pos")), explicit)
 
 
 @R.query("""WITH a AS (SELECT n_name AS label, n_nationkey AS k FROM nation WHERE n_nationkey < 10) SELECT c_custkey, coalesce(k, -1) AS mapped, CASE WHEN k IS NULL THEN 'unmatched' ELSE 'alias' END AS how FROM customer LEFT JOIN a ON label = 'NATION_' || c_nationkey""")
@@ -123,7 +141,7 @@ def q_alias_lookup(spark: S, d: str) -> DataFrame:
     """Explicit names first; what is left over goes on to the fuzzy match."""
     a = table(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_name").alias("label"), F.col("n_nationkey").alias("k"))
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("label"))
-    return c.join(F.broadcast(a), "label", "left").select("c_custkey", F.coalesce("k", F.lit(-1)).alias("mapped"), F.when(F.col("k").isNull(), "unmatched").otherwise("alias").alias("how"))
+    return c.join(attach(a), "label", "left").select("c_custkey", F.coalesce("k", F.lit(-1)).alias("mapped"), F.when(F.col("k").isNull(), "unmatched").otherwise("alias").alias("how"))
 
 
 @R.query("""WITH v AS (SELECT p.station_id, avg(p.predicted_boardings) AS p FROM fact_prediction p WHERE NOT isnan(p.predicted_boardings) AND p.predicted_boardings IS NOT NULL AND p.station_id IS NOT NULL GROUP BY 1),
@@ -142,7 +160,7 @@ def q_open_priority(spark: S, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.row_number().over(w).alias("open_priority"))
 
 
-for _q in (q_screened_features, q_negative_binomial, q_model_performance, q_best_model, q_bootstrap_intervals, q_typology, q_transfer_prediction, q_what_if, q_fuzzy_match, q_fuzzy_failures, q_plain_names):
+for _q in (q_screened_features, q_negative_binomial, q_model_performance, q_best_model, q_bootstrap_intervals, q_typology, q_transfer_prediction, q_what_if, q_fuzzy_match, q_fuzzy_failures, q_canonical_names):
     R.queries[_q.__name__] = _q
 
 QUERIES, SQL = R.queries, R.sql

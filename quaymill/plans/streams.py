@@ -34,18 +34,20 @@ def q_stream_upsert(spark: S, d: str) -> DataFrame:
 def q_stream_daily_totals(spark: S, d: str) -> DataFrame:
     path = X.scratch(spark, "totals")
     totals = X.daily_totals_stream(X.stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
-    store = X.Store(spark, path, "day date, event_type string, total double, readings bigint")
     # complete mode gives every day anew with each batch: the last batch is the result
-    out = totals.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/v{n}"))
+    out = totals.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/last"))
     out.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return store.read().withColumn("total", F.round("total", 4))
+    return spark.read.schema("day date, event_type string, total double, readings bigint").parquet(f"{path}/last").withColumn("total", F.round("total", 4))
 
 
-@R.query("""WITH d AS (SELECT DISTINCT date FROM fact_observed WHERE NOT is_partial AND date IS NOT NULL)
-SELECT count(*) FILTER (isodow(date) < 6) AS weekdays, count(*) FILTER (isodow(date) < 6) >= 10 AS ready, max(date) AS last_day, (max(date) - min(date) + 1 - count(*))::INT AS days_missing FROM d""")
+@R.query("""WITH d AS (SELECT date, bool_or(NOT coalesce(is_partial, true)) AS done FROM fact_observed WHERE date IS NOT NULL GROUP BY 1)
+SELECT count(*) FILTER (done AND isodow(date) < 6) AS weekdays, count(*) FILTER (done AND isodow(date) >= 6) AS weekend_days, greatest(10 - count(*) FILTER (done AND isodow(date) < 6), 0) AS weekdays_needed,
+count(*) FILTER (done AND isodow(date) < 6) >= 10 AS ready, max(date) FILTER (done) AS last_day, (max(date) FILTER (done) - min(date) FILTER (done) + 1 - count(*) FILTER (done))::INT AS days_missing,
+max(date) AS newest, (current_date - max(date))::INT AS days_old, current_date - max(date) > 1 AS is_stale FROM d""")
 def q_readiness(spark: S, d: str) -> DataFrame:
+    """What is collected, what is still needed, and how old the newest record is today."""
     r = X.readiness(table(spark, d, "fact_observed"), "date", "is_partial")
-    return r.withColumn("days_missing", F.col("days_missing").cast("int"))
+    return r.withColumns({c: F.col(c).cast("int") for c in ("days_missing", "days_old")})
 
 
 QUERIES, SQL = R.queries, R.sql

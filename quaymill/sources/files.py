@@ -65,7 +65,7 @@ def rows_of(name: str, raw: bytes) -> list[list[str | None]]:
     if name.lower().endswith((".xlsx", ".xlsm")):
         return workbook_rows(raw)
     text = decoded(raw)
-    head = text[:4096].split("\n", 1)[0]
+    head = text.split("\n", 1)[0]
     return list(csv.reader(io.StringIO(text), delimiter=max(",;\t", key=head.count)))
 
 

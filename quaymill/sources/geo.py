@@ -6,12 +6,16 @@ import sqlite3
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymill.operators.geometry import ring_area, ring_centroid, utm
+from quaymill.session import cut
+
 SHAPE = "kind string, parts array<array<struct<x:double,y:double>>>"
 
 
@@ -292,55 +296,193 @@ def _packed(raw: bytes, signed: bool = False) -> list[int]:
     return out
 
 
-def osm_nodes(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, tagged: bool = True) -> DataFrame:
-    """``(id, lat, lon, tags)`` of the nodes of .pbf extracts, inside ``box`` (south, west, north, east), only those with tags if ``tagged``.
-    Box and tags are tested while blocks are decoded, before rows are made."""
+_SIGN = lambda v: (v >> 1) ^ -(v & 1)
+_MEMBERS = ("node", "way", "relation")
+_ELEMENT = "kind string, id bigint, lat double, lon double, tags map<string,string>, refs array<bigint>, members array<struct<kind:string,ref:bigint,role:string>>"
 
-    def read(name: str, raw: bytes) -> Iterator[tuple]:
-        at = 0
-        while at < len(raw):
-            n = struct.unpack_from(">I", raw, at)[0]
-            head = dict(_fields(raw[at + 4 : at + 4 + n]))
-            at += 4 + n
-            blob = dict(_fields(raw[at : at + head[3]]))
-            at += head[3]
-            if head[1] != b"OSMData":
-                continue
-            block = blob[1] if 1 in blob else zlib.decompress(blob[3])
-            strings, groups, grain, lat0, lon0 = [], [], 100, 0, 0
-            for k, v in _fields(block):
-                if k == 1:
-                    strings = [s for _, s in _fields(v)]
-                elif k == 2:
-                    groups.append(v)
-                elif k == 17:
-                    grain = v
-                elif k == 19:
-                    lat0 = v
-                elif k == 20:
-                    lon0 = v
-            text = lambda i, strings=strings: strings[i].decode("utf-8", "replace")
-            for g in groups:
-                for k, v in _fields(g):
-                    if k == 1:
-                        f: dict = {2: b"", 3: b""} | dict(_fields(v))
-                        sign = lambda x: (x >> 1) ^ -(x & 1)
-                        yield from keep(sign(f[1]), sign(f[8]), sign(f[9]), {text(a): text(b) for a, b in zip(_packed(f[2]), _packed(f[3]))}, grain, lat0, lon0)
-                    elif k == 2:
-                        f = {10: b""} | dict(_fields(v))
-                        ids, lats, lons = (np.cumsum(_packed(f[i], True)).tolist() for i in (1, 8, 9))
-                        kv, p = _packed(f[10]), 0
-                        for i, a, b in zip(ids, lats, lons):
-                            tags = {}
-                            while p < len(kv) and kv[p]:
-                                tags[text(kv[p])] = text(kv[p + 1])
-                                p += 2
-                            p += 1
-                            yield from keep(i, a, b, tags, grain, lat0, lon0)
-
-    def keep(i, a, b, tags, grain, lat0, lon0) -> Iterator[tuple]:
+
+def _blobs(raw: bytes) -> Iterator[bytes]:
+    """The data blobs of an extract, still compressed."""
+    at = 0
+    while at < len(raw):
+        n = struct.unpack_from(">I", raw, at)[0]
+        head = dict(_fields(raw[at + 4 : at + 4 + n]))
+        at += 4 + n
+        if head[1] == b"OSMData":
+            yield raw[at : at + head[3]]
+        at += head[3]
+
+
+def _elements(packed: bytes, kinds: tuple[str, ...], tagged: bool, box: tuple[float, float, float, float] | None) -> Iterator[tuple]:
+    """Rows of one blob. Nodes are tested for tags and place before a row is made."""
+    blob = dict(_fields(packed))
+    block = blob[1] if 1 in blob else zlib.decompress(blob[3])
+    strings, groups, grain, lat0, lon0 = [], [], 100, 0, 0
+    for k, v in _fields(block):
+        if k == 1:
+            strings = [s for _, s in _fields(v)]
+        elif k == 2:
+            groups.append(v)
+        elif k == 17:
+            grain = v
+        elif k == 19:
+            lat0 = v
+        elif k == 20:
+            lon0 = v
+    text = lambda i: strings[i].decode("utf-8", "replace")
+    tags_of = lambda f: {text(a): text(b) for a, b in zip(_packed(f.get(2, b"")), _packed(f.get(3, b"")))}
+
+    def node(i: int, a: int, b: int, tags: dict) -> Iterator[tuple]:
         lat, lon = (lat0 + grain * a) * 1e-9, (lon0 + grain * b) * 1e-9
         if (tags or not tagged) and (box is None or (box[0] <= lat <= box[2] and box[1] <= lon <= box[3])):
-            yield i, lat, lon, tags
+            yield "node", i, lat, lon, tags, None, None
+
+    for g in groups:
+        for k, v in _fields(g):
+            if k == 1 and "node" in kinds:
+                f: dict = dict(_fields(v))
+                yield from node(_SIGN(f[1]), _SIGN(f[8]), _SIGN(f[9]), tags_of(f))
+            elif k == 2 and "node" in kinds:
+                f = {10: b""} | dict(_fields(v))
+                ids, lats, lons = (np.cumsum(_packed(f[i], True)).tolist() for i in (1, 8, 9))
+                kv, p = _packed(f[10]), 0
+                for i, a, b in zip(ids, lats, lons):
+                    tags = {}
+                    while p < len(kv) and kv[p]:
+                        tags[text(kv[p])] = text(kv[p + 1])
+                        p += 2
+                    p += 1
+                    yield from node(i, a, b, tags)
+            elif k == 3 and "way" in kinds:
+                f = dict(_fields(v))
+                yield "way", f[1], None, None, tags_of(f), np.cumsum(_packed(f.get(8, b""), True)).tolist(), None
+            elif k == 4 and "relation" in kinds:
+                f = dict(_fields(v))
+                refs = np.cumsum(_packed(f.get(9, b""), True)).tolist()
+                of = [{"kind": _MEMBERS[t], "ref": r, "role": text(w)} for t, r, w in zip(_packed(f.get(10, b"")), refs, _packed(f.get(8, b"")))]
+                yield "relation", f[1], None, None, tags_of(f), None, of
+
+
+def osm_elements(spark: SparkSession, path: str, kinds: tuple[str, ...] = _MEMBERS, tagged: bool = False, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``(kind, id, lat, lon, tags, refs, members)`` of .pbf extracts: nodes (with tags only if ``tagged``, inside ``box`` south, west,
+    north, east), ways with the ids of their nodes, relations with their members. Files are cut into blobs, which are decoded in as many
+    tasks as the session has partitions."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c in b["content"]:
+                for blob in _blobs(c):
+                    yield pd.DataFrame({"blob": [blob]})
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in map(str.strip, _top_level(_ELEMENT))]
+        for b in batches:
+            for blob in b["blob"]:
+                yield pd.DataFrame(list(_elements(blob, kinds, tagged, box)), columns=names)
+
+    blobs = spark.read.format("binaryFile").load(path).select("content").mapInPandas(split, "blob binary")
+    return blobs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(decode, _ELEMENT)
+
+
+def osm_nodes(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, tagged: bool = True) -> DataFrame:
+    """``(id, lat, lon, tags)`` of the nodes of .pbf extracts, inside ``box`` (south, west, north, east), only those with tags if ``tagged``."""
+    return osm_elements(spark, path, ("node",), tagged, box).select("id", "lat", "lon", "tags")
+
+
+def osm_lines(spark: SparkSession, path: str, wanted: Callable[[Column], Column], box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``(id, tags, points array<struct<x,y>>, closed)`` of the ways whose tags are ``wanted``, x the longitude, in the order of
+    their nodes; with ``box`` those that have a node in it, whole. Nodes that the extract lacks are passed over."""
+    ways = cut(osm_elements(spark, path, ("way",)).where(wanted(F.col("tags"))).groupBy("id").agg(F.first(F.struct("tags", "refs")).alias("w")).select("id", "w.*"), "ways")
+    places = osm_elements(spark, path, ("node",)).groupBy(F.col("id").alias("ref")).agg(F.first(F.struct("lat", "lon")).alias("p")).select("ref", "p.*")
+    spots = ways.select("id", F.posexplode("refs").alias("pos", "ref")).join(places, "ref")
+    inside = F.lit(True) if box is None else F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3])
+    points = F.transform(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))), lambda s: F.struct(s["lon"].alias("x"), s["lat"].alias("y")))  # a way's nodes
+    lines = spots.groupBy("id").agg(points.alias("points"), F.bool_or(inside).alias("in")).where("in")
+    refs = F.col("refs")
+    return ways.join(lines, "id").select("id", "tags", "points", ((F.size(refs) > 3) & (F.element_at(refs, 1) == F.element_at(refs, -1))).alias("closed"))
+
+
+def _rings(pieces: list[list[tuple]]) -> list[list[tuple]]:
+    """Closed rings from pieces of boundary, joined end to end in either direction; pieces that close nothing are left out."""
+    loose, out = [list(p) for p in pieces if len(p) > 1], []
+    while loose:
+        ring = loose.pop()
+        while ring[0] != ring[-1]:
+            fit = next((i for i, p in enumerate(loose) if ring[-1] in (p[0], p[-1])), None)
+            if fit is None:
+                break
+            p = loose.pop(fit)
+            ring += p[1:] if p[0] == ring[-1] else p[-2::-1]
+        if ring[0] == ring[-1] and len(ring) > 3:
+            out.append(ring)
+    return out
+
+
+def osm_areas(spark: SparkSession, path: str, wanted: Callable[[Column], Column], box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``(kind, id, tags, ring, hole, points)``: closed ways, and the rings of multipolygon relations, whose tags are ``wanted``; ``hole`` marks
+    inner rings. A way that is a boundary of a wanted relation and has wanted tags itself gives both."""
+    own = osm_lines(spark, path, wanted, box).where("closed").select(F.lit("way").alias("kind"), "id", "tags", F.lit(0).alias("ring"), F.lit(False).alias("hole"), "points")
+    rel = cut(osm_elements(spark, path, ("relation",)).where(wanted(F.col("tags")) & F.coalesce(F.col("tags")["type"].isin("multipolygon", "boundary"), F.lit(False))).select("id", "tags", "members"), "relations")
+    member = cut(rel.select("id", F.explode("members").alias("m")).where("m.kind = 'way'").select("id", F.col("m.ref").alias("ref"), (F.col("m.role") == "inner").alias("hole")), "members")
+    asked = member.select("ref").distinct()
+    ways = osm_elements(spark, path, ("way",)).select(F.col("id").alias("ref"), "refs").join(asked, "ref", "left_semi").dropDuplicates(["ref"])
+    places = osm_elements(spark, path, ("node",)).select(F.col("id").alias("node"), "lat", "lon").dropDuplicates(["node"])
+    spots = ways.select("ref", F.posexplode("refs").alias("pos", "node")).join(places, "node")
+    pieces = member.join(spots.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p")), "ref")
+
+    def assemble(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for hole in (False, True):
+            for ring in _rings([[(s["lon"], s["lat"]) for s in p] for p, h in zip(g["p"], g["hole"]) if h == hole]):
+                out.append((g["id"].iloc[0], len(out), hole, [{"x": x, "y": y} for x, y in ring]))
+        return pd.DataFrame(out, columns=["id", "ring", "hole", "points"])
+
+    rings = pieces.select("id", "hole", "p").groupBy("id").applyInPandas(assemble, "id bigint, ring int, hole boolean, points array<struct<x:double,y:double>>")
+    whole = rings.join(rel.select("id", "tags"), "id").select(F.lit("relation").alias("kind"), "id", "tags", "ring", "hole", "points")
+    if box is not None:
+        whole = whole.where(F.exists("points", lambda p: p["y"].between(box[0], box[2]) & p["x"].between(box[1], box[3])))
+    return own.unionByName(whole)
+
+
+def has_tags(wanted: dict[str, bool | str | list[str]]) -> Callable[[Column], Column]:
+    """A test of tags: any of the keys is there (True), or has the value, or one of the values. Never null."""
+
+    def test(tags: Column) -> Column:
+        out = F.lit(False)
+        for k, v in wanted.items():
+            value = tags[k]
+            out = out | F.coalesce(value.isNotNull() if v is True else value.isin(*([v] if isinstance(v, str) else v)), F.lit(False))
+        return out
+
+    return test
+
+
+def _projected(points: Column, zone: int) -> Column:
+    def at(p: Column) -> Column:
+        x, y = utm(p["y"], p["x"], zone)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(points, at)
+
+
+def alignment_layer(spark: SparkSession, path: str, wanted: dict, zone: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``(id, name, points, length_km)``: named lines with the ``wanted`` tags, projected."""
+    lines = osm_lines(spark, path, has_tags(wanted), box).where(F.col("tags")["name"].isNotNull() & (F.size("points") > 1))
+    lines = lines.select("id", F.col("tags")["name"].alias("name"), _projected(F.col("points"), zone).alias("points"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda i: F.hypot(F.get("points", i)["x"] - F.get("points", i - 1)["x"], F.get("points", i)["y"] - F.get("points", i - 1)["y"]))
+    return lines.withColumn("length_km", F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / 1000)
+
 
-    return _each_file(spark, path, read, "id bigint, lat double, lon double, tags map<string,string>")
+def place_layer(spark: SparkSession, path: str, categories: dict[str, dict], zone: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """``(kind, id, category, name, tags, x, y, area_m2)``: all nodes and areas that fit a category, once for each that they fit; areas at the centroid of their
+    largest outer ring, their area without the holes. Shops, bus stops and parking are such layers."""
+    fits = F.filter(F.array(*(F.when(has_tags(w)(F.col("tags")), F.lit(c)) for c, w in categories.items())), lambda c: c.isNotNull())
+    any_of = lambda tags: reduce(lambda a, b: a | b, (has_tags(w)(tags) for w in categories.values()))
+    x, y = utm(F.col("lat"), F.col("lon"), zone)
+    nodes = osm_nodes(spark, path, box).where(any_of(F.col("tags"))).dropDuplicates(["id"]).select(F.lit("node").alias("kind"), "id", "tags", x.alias("x"), y.alias("y"), F.lit(0.0).alias("area_m2"))
+    rings = osm_areas(spark, path, any_of, box).select("kind", "id", "tags", "hole", _projected(F.col("points"), zone).alias("points"))
+    rings = rings.withColumns({"area": ring_area(F.col("points")), "c": ring_centroid(F.col("points"))})
+    sign = F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))
+    areas = rings.groupBy("kind", "id").agg(F.first("tags").alias("tags"), F.max_by("c", F.when(~F.col("hole"), F.col("area"))).alias("c"), F.sum(sign).alias("area_m2"))
+    both = nodes.unionByName(areas.select("kind", "id", "tags", "c.x", "c.y", "area_m2"))
+    return both.select("kind", "id", F.explode(fits).alias("category"), F.col("tags")["name"].alias("name"), "tags", "x", "y", "area_m2")

@@ -136,10 +136,64 @@ def looked_up(names: DataFrame, name: str, cache: DataFrame, ask: Callable[[list
     return names.select(F.col(name).alias("name")).distinct().join(cache.unionByName(fresh), "name", "left"), fresh
 
 
+#: Networks and operators that run a metro, and the words that a tag of each lifecycle stage may hold.
+METRO_WORDS = ["metro", "cmrl", "bmrcl"]
+STOPPING_PLACES = ["station", "halt"]
+UNFINISHED = ["construction", "proposed"]
+BEING_BUILT = ["station", "subway", "light_rail"]
+
+
 def station_class(tags: Column) -> Column:
-    """What a railway element is, by its tags."""
-    t = lambda k: F.lower(F.coalesce(tags[k], F.lit("")))
-    metro = (t("station") == "subway") | (t("subway") == "yes") | t("network").contains("metro") | t("operator").contains("metro") | t("name").contains("metro")
-    building = (t("railway") == "construction") | (t("construction") != "") | (t("construction:railway") != "") | (t("railway") == "proposed") | (t("proposed:railway") != "") | (t("proposed") != "")
-    rail = (t("railway") != "") | (t("public_transport") == "station")
-    return F.when(metro & building, "metro_construction").when(building, "other_construction").when(metro & rail, "metro_operational").when(rail, "other_rail").otherwise("other")
+    """What a railway element is, by its tags: metro_construction, other_construction, metro_operational, other_rail or other.
+
+    A stage of planning or building comes first; a stage that is named by a railway tag of its own counts as metro.
+    Values compare without case; a tag that is missing or empty says nothing.
+    """
+    tag = lambda key: F.lower(F.coalesce(tags[key], F.lit("")))
+    named = F.concat_ws(" ", tag("name"), tag("name:en")).contains("metro")
+    run_by = F.concat_ws(" ", tag("network"), tag("operator"))
+    metro = (tag("station") == "subway") | (tag("subway") == "yes") | named
+    for word in METRO_WORDS:
+        metro |= run_by.contains(word)
+    to_be_built, planned = tag("construction:railway"), tag("proposed:railway")
+    unfinished = tag("railway").isin(*UNFINISHED) | to_be_built.isin(*STOPPING_PLACES) | planned.isin(*STOPPING_PLACES) | tag("construction").isin(*BEING_BUILT)
+    of_metro = metro | (to_be_built != "") | (planned != "")
+    built = F.when(metro, "metro_operational").when(tag("railway").isin(*STOPPING_PLACES), "other_rail").otherwise("other")
+    return F.when(unfinished & of_metro, "metro_construction").when(unfinished, "other_construction").otherwise(built)
+
+
+#: The lines that carry a line's whole name, and those named by a part of it.
+LINE_NAMES = {
+    "Chennai Metro Line 1": ("phase1", "Blue Line"),
+    "Chennai Metro Line 2": ("phase1", "Green Line"),
+}
+LINE_PARTS = {
+    "Line 3:": ("phase2", "Purple Line"),
+    "Line 5:": ("phase2", "Red Line"),
+    "Yellow Line": ("phase2", "Yellow Line"),
+}
+#: Parts of names that rule an alignment out; the first whatever its case.
+NO_ALIGNMENT = ["proposed", "Line 5B", "corridor switch"]
+
+
+def alignment_class(name: Column) -> Column:
+    """``struct<phase, line>`` of an alignment's name; null for what is no line of the network."""
+    out = F.lit(None)
+    for part, (phase, line) in reversed(LINE_PARTS.items()):
+        out = F.when(name.contains(part), F.struct(F.lit(phase).alias("phase"), F.lit(line).alias("line"))).otherwise(out)
+    for whole, (phase, line) in LINE_NAMES.items():
+        out = F.when(name == whole, F.struct(F.lit(phase).alias("phase"), F.lit(line).alias("line"))).otherwise(out)
+    first, *others = NO_ALIGNMENT
+    ruled_out = F.lower(name).contains(first)
+    for part in others:
+        ruled_out |= name.contains(part)
+    return F.when(~F.coalesce(ruled_out, F.lit(True)), out)
+
+
+def composed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One street graph from the answers of overlapping tiles: ``nodes (tile, id, x, y)`` by id, ``edges (tile, src, dst, length)`` by both ends
+    and length. A node or edge of several tiles counts once, as its first tile by name gives it; edges whose ends are in no tile stay out."""
+    one = nodes.where("id is not null").groupBy("id").agg(F.min_by(F.struct("x", "y"), "tile").alias("p")).select("id", "p.x", "p.y")
+    ways = edges.where("src is not null and dst is not null").select("src", "dst", "length").distinct()
+    ids = one.select("id")
+    return one, ways.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "length")

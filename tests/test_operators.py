@@ -16,6 +16,7 @@ from quaymill.operators import geometry as G
 from quaymill.operators import graph as N
 from quaymill.operators import matching as M
 from quaymill.operators import models as L
+from quaymill.operators import stations as B
 from quaymill.operators import tables as T
 from quaymill.streaming import store as X
 
@@ -296,7 +297,7 @@ def test_the_store_survives_late_files_and_reruns(spark, tmp_path, rows):
     src, path = tmp_path / "in", str(tmp_path / "store")
     put = lambda data, n: spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(src))
     put([("a", 1, True, 1), ("b", 5, False, 1)], 0)
-    store = X.Store(spark, path, schema)
+    store = X.Store(spark, path, schema, "k")
 
     def run():
         s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
@@ -313,13 +314,23 @@ def test_the_store_survives_late_files_and_reruns(spark, tmp_path, rows):
     assert store.versions() == n and rows(store.read().select("k", "v")) == want
     store.merge(spark.createDataFrame([("c", 9, True, 1)], schema), n[-1], ["k"], "is_partial", "stamp")  # a batch run again
     assert rows(store.read().select("k", "v")) == want
+    before = {p.name for p in (tmp_path / "store").glob("v*/part=b")}
+    for i in range(4):
+        store.merge(spark.createDataFrame([("a", 10 + i, False, 9 + i), (None, i, False, i)], schema), n[-1] + 1 + i, ["k"], "is_partial", "stamp")
+    assert rows(store.read().select("k", "v")) == sorted([("a", 13), ("b", 5), ("c", 9), (None, 3)], key=repr)
+    assert {p.name for p in (tmp_path / "store").glob("v*/part=b")} == before  # what a batch doesn't touch isn't written
+    assert all(len(held) <= 2 for held in store.parts().values())
 
 
 def test_readiness(spark):
     import datetime as dt
 
-    days = spark.createDataFrame([(dt.date(2025, 9, 1), False), (dt.date(2025, 9, 1), False), (dt.date(2025, 9, 3), False), (dt.date(2025, 9, 6), False), (dt.date(2025, 9, 5), True), (None, False)], "d date, p boolean")
-    assert tuple(X.readiness(days, "d", "p", 2).first()) == (2, True, dt.date(2025, 9, 6), 3)
+    days = spark.createDataFrame([(dt.date(2025, 9, 1), False), (dt.date(2025, 9, 1), False), (dt.date(2025, 9, 3), False), (dt.date(2025, 9, 6), False), (dt.date(2025, 9, 7), True), (None, False)], "d date, p boolean")
+    on = lambda *x: F.lit(dt.date(2025, *x))
+    assert tuple(X.readiness(days, "d", "p", 2, on(9, 8)).first()) == (2, 1, 0, True, dt.date(2025, 9, 6), 3, dt.date(2025, 9, 7), 1, False)
+    late = X.readiness(days, "d", "p", 10, on(9, 9)).first()
+    assert (late["ready"], late["weekdays_needed"], late["days_old"], late["is_stale"]) == (False, 8, 2, True)
+    assert X.readiness(days.limit(0), "d", "p").select("weekdays", "ready", "newest", "is_stale").first() == (0, False, None, False)
 
 
 def test_station_features(spark):
@@ -376,3 +387,121 @@ def test_fuzzy_failures_are_those_of_the_match(spark):
     match = {r["l"] for r in modelling.q_fuzzy_match(spark, d).where("r is null").collect()}
     got = [r["l"] for r in modelling.q_fuzzy_failures(spark, d).collect()]
     assert match and sorted(got) == sorted(match)
+
+
+def test_line_merge(spark):
+    seg = lambda line, part, a, b: (line, part, *map(float, a), *map(float, b))
+    L1 = [seg("A", i, p, q) for i, (p, q) in enumerate([((0, 0), (1, 0)), ((2, 0), (1, 0)), ((2, 0), (3, 1)), ((1, 0), (0, 0)), ((9, 9), (8, 9))])]
+    ring = [seg("B", i, p, q) for i, (p, q) in enumerate([((0, 0), (1, 0)), ((1, 1), (1, 0)), ((1, 1), (0, 0))])]
+    fork = [seg("C", i, p, q) for i, (p, q) in enumerate([((0, 0), (1, 0)), ((1, 0), (2, 0)), ((1, 0), (1, 5)), ((1, 5), (1, 6))])]
+    df = spark.createDataFrame([*L1, *ring, *fork, ("D", 0, 1.0, 1.0, 1.0, 1.0)], "line string, part int, x1 double, y1 double, x2 double, y2 double")
+    got = {}
+    for r in sorted(G.merged_lines(df).collect(), key=lambda r: (r["line"], r["path"], r["part"])):
+        got.setdefault((r["line"], r["path"]), [(r["x1"], r["y1"])]).append((r["x2"], r["y2"]))
+    assert got["A", 0] == [(0, 0), (1, 0), (2, 0), (3, 1)] and got["A", 1] == [(8, 9), (9, 9)]
+    assert got["B", 0] == [(0, 0), (1, 0), (1, 1), (0, 0)]
+    assert sorted(got["C", i] for i in range(3)) == [[(0, 0), (1, 0)], [(1, 0), (1, 5), (1, 6)], [(1, 0), (2, 0)]] and len(got) == 6
+
+
+def test_projection_guards(spark):
+    assert G.city_zone("Chennai") == 44
+    with pytest.raises(ValueError, match="no projection"):
+        G.city_zone("Atlantis")
+    deg = spark.createDataFrame([(1, 80.2, 13.0)], "id int, x double, y double")
+    with pytest.raises(ValueError, match="degrees"):
+        G.catchment_circles(deg, [400.0])
+    out = G.catchment_circles(deg.withColumn("x", F.col("x") * 1e4), [400.0, 800.0]).collect()
+    assert sorted(r["radius_m"] for r in out) == [400.0, 800.0] and out[0]["buffer_area_m2"] == pytest.approx(32 * math.sin(math.pi / 32) * out[0]["radius_m"] ** 2)
+    assert G.catchment_circles(deg.limit(0), [400.0]).count() == 0
+
+
+def test_long_segments_ask_few_cells(spark):
+    segs = spark.createDataFrame([("L", 0, 0.0, 0.0, 50000.0, 50000.0)], "line string, part int, x1 double, y1 double, x2 double, y2 double")
+    rnd = random.Random(4)
+    pts = [(i, rnd.uniform(0, 50000), rnd.uniform(0, 50000)) for i in range(3000)]
+    want = {i for i, x, y in pts if abs(x - y) / 2**0.5 <= 50}
+    got = G.near_segments(spark.createDataFrame(pts, "id int, x double, y double"), segs, 50.0)
+    assert {r["id"] for r in got.collect()} == want and want
+
+
+def test_canonical_names(spark, rows):
+    one = lambda x: spark.createDataFrame(list(zip(x, range(len(x)))), "name string, pos bigint")
+    explicit = spark.createDataFrame([("CMBT", "Puratchi Terminus"), ("Fort", "Not Listed")], "name string, station string")
+    got = B.canonical_names(one(["CMBT", "Guindi", "Fort", "Puratchi Terminus"]), one(["Puratchi Terminus", "Guindy", "Port"]), explicit)
+    assert rows(got) == sorted([("CMBT", "Puratchi Terminus", "explicit"), ("Guindi", "Guindy", "likeness"), ("Fort", "Port", "likeness"), ("Puratchi Terminus", None, None)], key=repr)
+
+
+def test_station_build(spark):
+    wanted = spark.createDataFrame([("Alpha", "L", 0), ("Beta", "L", 1), ("Gamma Depot", "L", 2), ("Delta", "M", 3), ("Nowhere", "L", 4), ("Epsilon II", "L", 5), ("Zeta", "L", 6)], "name string, line string, pos bigint")
+    mapped = spark.createDataFrame([("Alpha Metro", 100.0, 5.0, 0), ("Beta", 100.0, 9000.0, 1), ("Delta", 0.0, 9000.0, 2)], "name string, x double, y double, pos bigint")
+    lines = spark.createDataFrame([("L", 0, 0.0, 0.0, 20000.0, 0.0)], "line string, part int, x1 double, y1 double, x2 double, y2 double")
+    articles = spark.createDataFrame([("Beta", 5000.0, 20.0)], "name string, x double, y double")
+    gazetteer = spark.createDataFrame([("Gamma", 8000.0, 500.0), ("Epsilon", 8100.0, 600.0), ("Zeta", 15000.0, 2600.0), ("Alpha", 1.0, 1.0)], "name string, x double, y double")
+    got = {r["name"]: tuple(r)[2:] for r in B.positioned(wanted, mapped, lines, articles, gazetteer).collect()}
+    assert got["Alpha"] == (100.0, 5.0, "osm", "high") and got["Beta"] == (5000.0, 20.0, "wikipedia", "high")  # the map's Beta lies off its line
+    assert got["Gamma Depot"] == (8000.0, 500.0, "nominatim_stem", "low") and got["Delta"] == (0.0, 9000.0, "osm", "high") and got["Nowhere"] == (None, None, None, None)
+    assert got["Zeta"][2:] == ("nominatim", "low")
+    running = spark.createDataFrame([("Omega", "L", 50.0, 0.0, "osm", "high"), ("Lost", "L", None, None, "osm", "high")], "name string, line string, x double, y double, source string, confidence string")
+    out = {r["name"]: r for r in B.combined(running, B.positioned(wanted, mapped, lines, articles, gazetteer), lines).collect()}
+    assert set(out) == {"Omega", "Alpha", "Beta", "Gamma Depot", "Delta", "Epsilon II", "Zeta"} and out["Omega"]["station_id"] == "MAA000" and out["Alpha"]["station_id"] == "MAA001"
+    assert (out["Gamma Depot"]["y"], out["Gamma Depot"]["moved_m"], out["Gamma Depot"]["confidence"]) == (0.0, 500.0, "low")  # 100 m from the next one
+    assert out["Zeta"]["y"] == 2600.0 and out["Zeta"]["confidence"] == "low" and out["Delta"]["phase"] == "phase2"
+
+
+def test_metro_network(spark):
+    cols = "id int, x double, y double, line string, name string"
+    st = [(i, 1000.0 * i, 0.0, "A", f"a{i}") for i in range(5)] + [(10 + i, 2000.0, 900.0 + 1000.0 * i, "B", f"b{i}") for i in range(3)] + [(20, 9e5, 0.0, "C", "a4"), (21, None, 0.0, "A", "x"), (22, 5e5, 0.0, None, "y")]
+    df = spark.createDataFrame(st, cols)
+    e = {(r["src"], r["dst"]): (round(r["weight"], 6), r["kind"]) for r in B.metro_edges(df).collect()}
+    assert e[0, 1] == (1000.0, "track") and e[2, 10] == (900.0, "transfer") and e[4, 20] == (1.0, "same name") and len(e) == 4 + 2 + 1 + 1
+    got = {r["id"]: r for r in B.network_position(df).collect()}
+    assert got[2]["is_interchange"] == 1 and got[0]["is_terminal"] == 1 and got[22]["metro_degree"] == 0 and got[22]["metro_betweenness"] is None and 21 not in got
+    assert got[2]["metro_betweenness"] == max(r["metro_betweenness"] for r in got.values() if r["metro_betweenness"] is not None)
+    rnd = random.Random(7)
+    pts = [(i, rnd.uniform(0, 9000), rnd.uniform(0, 9000), None, None) for i in range(20)] + [(99, 40000.0, 40000.0, None, None)]
+    tree = B.metro_edges(spark.createDataFrame(pts, cols)).collect()
+    parent = {p[0]: p[0] for p in pts}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    total = 0.0
+    for d, a, b in sorted((math.dist(p[1:3], q[1:3]), p[0], q[0]) for p in pts for q in pts if p[0] < q[0]):
+        if find(a) != find(b):
+            parent[find(a)] = find(b)
+            total += d
+    assert len(tree) == 20 and sum(r["weight"] for r in tree) == pytest.approx(total) and {r["kind"] for r in tree} == {"forest"}
+
+
+def test_bootstrap_of_each_kind(spark):
+    t = spark.createDataFrame(_train(spark, 60))
+    wide = {k: L.bootstrap_intervals(t, "y", ["a", "b"], t, "id", n, kind=k, **how).agg(F.avg(F.col("upper") - F.col("lower"))).first()[0] for k, n, how in (("linear", 200, {}), ("elastic_net", 200, {"penalty": (0.01, 0.5)}), ("random_forest", 4, {"trees": 5}))}
+    assert all(v > 0 for v in wide.values()) and wide["elastic_net"] == pytest.approx(wide["linear"], rel=0.3)
+    many = t.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(16)))).withColumn("id", F.col("id") * 100 + F.col("copy"))
+    narrow = L.bootstrap_intervals(many, "y", ["a", "b"], t, "id", 200).agg(F.avg(F.col("upper") - F.col("lower"))).first()[0]
+    assert narrow == pytest.approx(wide["linear"] / 4, rel=0.35)  # sixteen times the rows: a quarter of the width
+    draws = L.poisson_draws(np.arange(4000), np.arange(50))
+    assert abs(draws.mean() - 1) < 0.02 and abs(draws.var() - 1) < 0.03
+
+
+def test_leave_one_out_of_any_kind(spark):
+    t = spark.createDataFrame(_train(spark, 12))
+    a = L.cross_validated(t, "id", ["a", "b"], "y", "linear", None).select("id", F.col("predicted").alias("p"))
+    b = L.leave_one_out(t, ["a", "b"], "y")
+    assert a.join(b, "id").agg(F.max(F.abs(F.col("p") - F.col("predicted")) / F.col("predicted"))).first()[0] < 1e-6 and a.count() == 12
+
+
+def test_calibration_and_target(spark):
+    cell = lambda v: spark.createDataFrame([(v,)], "v double")
+    got = L.calibration(cell(110.0), [("stations", cell(None), False), ("series", cell(200.0), True), ("guess", cell(1.0), True)], coverage=0.5).first()
+    assert (got["predicted"], got["observed"], got["source"], round(got["ratio"], 6), got["direction"], got["in_band"]) == (220.0, 200.0, "series", 1.1, "over", True)
+    assert L.calibration(cell(110.0), [("stations", cell(50.0), False)]).first()["in_band"] is False
+    none = L.calibration(cell(110.0), [("stations", cell(None), False)]).first()
+    assert none["source"] is None and none["ratio"] is None and none["in_band"] is None
+    frame = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "id int, name string")
+    target = spark.createDataFrame([("A", 5.0, True), ("A", 4.0, True), (None, 9.0, True)], "station string, y double, is_mature boolean")
+    assert sorted(tuple(r) for r in L.with_target(frame, "name", target, "station", ["y", "is_mature"], "y").select("id", "y").collect()) == [(1, 5.0), (2, None), (3, None)]
+    with pytest.raises(ValueError, match="no name"):
+        L.with_target(frame, "name", target.where("station is null"), "station", ["y", "is_mature"], "y")

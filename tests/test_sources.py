@@ -74,11 +74,43 @@ def test_map_elements_once(spark, rows):
     assert rows(got.select("kind", "lat", "lon", web.station_class(F.col("tags")))) == [("node", 1.0, 2.0, "metro_operational"), ("way", 1.0, 2.0, "other")]
 
 
-@pytest.mark.parametrize("tags,kind", [({"railway": "construction", "network": "City Metro"}, "metro_construction"), ({"railway": "construction"}, "other_construction"), ({"railway": "halt"}, "other_rail"), ({}, "other")])
+@pytest.mark.parametrize("tags,kind", [
+    ({"railway": "construction", "network": "City Metro"}, "metro_construction"), ({"railway": "construction"}, "other_construction"), ({"railway": "proposed"}, "other_construction"), ({"railway": "halt"}, "other_rail"), ({}, "other"),
+    ({"subway": "yes"}, "metro_operational"), ({"proposed:railway": "station"}, "metro_construction"), ({"construction:railway": "Halt"}, "metro_construction"), ({"construction:railway": "rail", "railway": "construction"}, "metro_construction"),
+    ({"construction": "light_rail"}, "other_construction"), ({"construction": "tower"}, "other"), ({"railway": "rail"}, "other"), ({"railway": "station", "network": "CMRL"}, "metro_operational"), ({"railway": "station", "operator": "bmrcl"}, "metro_operational"),
+    ({"railway": "station", "name:en": "Guindy METRO"}, "metro_operational"), ({"public_transport": "station"}, "other"), ({"station": "subway", "railway": "construction"}, "metro_construction"), (None, "other"),
+])
 def test_station_class(spark, tags, kind):
     assert spark.createDataFrame([(tags,)], "t map<string,string>").select(web.station_class(F.col("t"))).first()[0] == kind
 
 
+@pytest.mark.parametrize("name,want", [
+    ("Chennai Metro Line 1", ("phase1", "Blue Line")), ("Line 3: A - B", ("phase2", "Purple Line")), ("Chennai Metro Line 5: C", ("phase2", "Red Line")), ("The Yellow Line (u/c)", ("phase2", "Yellow Line")),
+    ("Line 3: Proposed", None), ("Line 5B: Line 5:", None), ("Yellow Line corridor switch", None), ("yellow line", None), ("", None), (None, None),
+])
+def test_alignment_class(spark, name, want):
+    got = spark.createDataFrame([(name,)], "n string").select(web.alignment_class(F.col("n")).alias("c")).first()["c"]
+    assert (tuple(got) if got else None) == want
+
+
+@pytest.mark.parametrize("text,group", [
+    ("Built up, Urban", "Built-up"), ("Agriculture, Plantation", "Agriculture"), ("FALLOW land", "Agriculture"), ("Forest, Scrub Forest", "Forest/Scrub"), ("Wasteland, Scrub land", "Forest/Scrub"), ("Inland Wetland", "Water/Wetland"),
+    ("Salt pan, lake", "Water/Wetland"), ("Wasteland, Sandy area", "Barren/Open"), ("snow", None), ("", None), (None, None),
+])
+def test_land_use(spark, text, group):
+    from quaymill.functions.scalars import land_use
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert tuple(df.select(land_use(F.col("t")), land_use(F.col("t"), open_by_default=True)).first()) == (group or "Other", group or "Barren/Open")
+
+
+def test_tiles_of_a_street_graph(spark, rows):
+    nodes = spark.createDataFrame([("t1", 1, 0.0, 0.0), ("t1", 2, 1.0, 0.0), ("t2", 2, 1.0, 0.0), ("t2", 3, 2.0, 0.0), ("t2", None, 0.0, 0.0)], "tile string, id int, x double, y double")
+    edges = spark.createDataFrame([("t1", 1, 2, 5.0), ("t2", 2, 3, 6.0), ("t2", 1, 2, 5.0), ("t1", 2, 1, 5.0), ("t1", 2, 9, 5.0)], "tile string, src int, dst int, length double")
+    n, e = web.composed(nodes, edges)
+    assert rows(n) == [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0)] and rows(e) == [(1, 2, 5.0), (2, 1, 5.0), (2, 3, 6.0)]
+
+
 def test_tiles_mirrors_and_html(spark, rows):
     assert len(web.tiles(0, 0, 3, 4)) == 12 and web.tiles(0, 0, 3, 4, overlap=0.5)[0] == (-0.5, -0.5, 1.5, 1.5)
     assert web.raster_tiles([(5.0, 95.0), (15.0, 85.0)], 0.0, 100.0, 10.0) == {(1, 1), (1, 2), (2, 1), (2, 2)}
@@ -222,3 +254,74 @@ def test_geojson_and_dictionary(spark, tmp_path, rows):
     sinks.write_csv(df, str(tmp_path / "csv"), True)
     assert rows(files.csv_table(spark, str(tmp_path / "csv"), "name string, lon double, lat double"))[0] == ("a", 80.0, 13.0)
     assert tuple(sinks.extent(df, "lon", "lat").first()) == (80.0, 13.0, 80.0, 13.0)
+
+
+def _extract(path, nodes, ways, relations):
+    """A .pbf file of one block: nodes (id, lat, lon, tags), ways (id, refs, tags), relations (id, members, tags)."""
+    words = [b""]
+
+    def word(t):
+        words.append(t.encode())
+        return len(words) - 1
+
+    zz = lambda n: n * 2 if n >= 0 else -n * 2 - 1
+
+    def packed(values):
+        out = b""
+        for n in values:
+            while True:
+                out += bytes([n & 127 | (128 if n > 127 else 0)])
+                n >>= 7
+                if not n:
+                    break
+        return out
+
+    def deltas(values):
+        return packed([zz(b - a) for a, b in zip([0, *values], values)])
+
+    tagged = lambda tags: [(2, packed([word(k) for k in tags])), (3, packed([word(v) for v in tags.values()]))]
+    group = []
+    kv = []
+    for _, _, _, tags in nodes:
+        kv += [x for k, v in tags.items() for x in (word(k), word(v))] + [0]
+    group.append((2, _pb((1, deltas([n[0] for n in nodes])), (8, deltas([round(n[1] * 1e7) for n in nodes])), (9, deltas([round(n[2] * 1e7) for n in nodes])), (10, packed(kv)))))
+    for i, refs, tags in ways:
+        group.append((3, _pb((1, i), *tagged(tags), (8, deltas(refs)))))
+    kinds = {"node": 0, "way": 1, "relation": 2}
+    for i, members, tags in relations:
+        group.append((4, _pb((1, i), *tagged(tags), (8, packed([word(m[2]) for m in members])), (9, deltas([m[1] for m in members])), (10, packed([kinds[m[0]] for m in members])))))
+    block = _pb((1, _pb(*((1, w) for w in words))), (2, _pb(*group)))
+    blob = _pb((3, zlib.compress(block)))
+    head = _pb((1, b"OSMData"), (3, len(blob)))
+    path.write_bytes(struct.pack(">I", len(head)) + head + blob)
+
+
+def test_osm_ways_relations_and_layers(spark, tmp_path):
+    d = 0.001
+    grid = {10 * r + c: (13.0 + d * r, 80.0 + d * c) for r in range(6) for c in range(6)}
+    nodes = [(i, *p, {"amenity": "bus_station"} if i == 55 else {}) for i, p in sorted(grid.items())]
+    ways = [
+        (1, [0, 1, 2], {"railway": "subway", "name": "Purple Line"}), (2, [2, 3], {"railway": "subway"}), (3, [0, 1, 11, 10, 0], {"amenity": "parking", "name": "P"}),
+        (4, [0, 5, 55], {}), (5, [0, 50, 55], {}), (6, [22, 23, 33, 32, 22], {}), (7, [3, 999], {"railway": "subway", "name": "cut off"}), (8, [40, 41], {"highway": "path"}),
+    ]
+    relations = [(9, [("way", 4, "outer"), ("way", 5, "outer"), ("way", 6, "inner"), ("node", 55, "label")], {"type": "multipolygon", "amenity": "parking"}), (10, [("way", 4, "")], {"type": "route"})]
+    _extract(tmp_path / "a.pbf", nodes, ways, relations)
+    path = str(tmp_path / "a.pbf")
+    got = geo.osm_elements(spark, path)
+    assert {(r["kind"], r["count"]) for r in got.groupBy("kind").count().collect()} == {("node", 36), ("way", 8), ("relation", 2)}
+    assert [(m["kind"], m["ref"], m["role"]) for m in got.where("id = 9 and kind = 'relation'").first()["members"]] == relations[0][1]
+    lines = {r["id"]: r for r in geo.osm_lines(spark, path, geo.has_tags({"railway": ["subway", "light_rail"]})).collect()}
+    assert set(lines) == {1, 2, 7} and [(round(p["y"], 6), round(p["x"], 6)) for p in lines[1]["points"]] == [grid[0], grid[1], grid[2]] and not lines[1]["closed"]
+    layer = {r["name"]: r for r in geo.alignment_layer(spark, path, {"railway": "subway"}, 44).collect()}
+    assert set(layer) == {"Purple Line"} and layer["Purple Line"]["length_km"] == pytest.approx(0.217, abs=0.002)
+    assert geo.osm_lines(spark, path, geo.has_tags({"railway": True}), (13.0, 80.0025, 13.1, 80.1)).count() == 2
+    places = {(r["kind"], r["id"], r["category"]): r for r in geo.place_layer(spark, path, {"parking": {"amenity": "parking"}, "stops": {"amenity": ["bus_station"], "highway": "bus_stop"}}, 44).collect()}
+    cell = 108.4 * 110.6
+    assert set(places) == {("way", 3, "parking"), ("relation", 9, "parking"), ("node", 55, "stops")}
+    assert places["way", 3, "parking"]["area_m2"] == pytest.approx(cell, rel=0.01) and places["relation", 9, "parking"]["area_m2"] == pytest.approx(24 * cell, rel=0.01)
+    assert geo.osm_nodes(spark, path).count() == 1 and geo.osm_areas(spark, path, geo.has_tags({"amenity": "school"})).count() == 0
+
+
+def test_rings_from_pieces():
+    assert geo._rings([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 0)], [(5, 5), (6, 6)]])[0][0] in {(0, 0), (1, 0), (1, 1)}
+    assert geo._rings([[(0, 0), (1, 0), (1, 1), (0, 0)]]) == [[(0, 0), (1, 0), (1, 1), (0, 0)]] and geo._rings([]) == []
