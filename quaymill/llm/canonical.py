@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from quaymill.session import attach, cut
 CHANGES = 2
 #: Letters of a token.
 GRAM = 2
-#: Words that make a name another place, with their short forms.
+#: Words that make a name another place, with their short forms; the default of ``Wording``.
 QUALIFIERS = {
     "north": "north", "n": "north", "south": "south", "s": "south", "east": "east", "e": "east", "west": "west", "w": "west",
     "i": "1", "ii": "2", "iii": "3", "iv": "4", "1": "1", "2": "2", "3": "3", "4": "4", "1st": "1", "2nd": "2", "3rd": "3",
@@ -35,7 +36,21 @@ MARKS = re.compile(r"[†‡*¹²³⁰-⁹₀-₉®™]")
 WORDS = re.compile(r"[^\W_]+(?:[^\W_]|[஀-௿ऀ-෿])*|[ऀ-෿]+")
 
 
-def readings(text: str | None, sure: bool = False, most: int = 2, longest: int = 60) -> list[tuple[str, str, str]]:
+@dataclass(frozen=True)
+class Wording:
+    """What words of an entry mean. ``qualifiers``: short forms to the words they stand for; ``doubtful``: those of them that may also be
+    part of a name; ``dropped``: words that mean nothing; ``notes``: a pattern of what is noted beside a name, tried on lower case."""
+
+    qualifiers: dict[str, str] = field(default_factory=lambda: QUALIFIERS)
+    doubtful: frozenset[str] = frozenset(DOUBTFUL)
+    dropped: frozenset[str] = frozenset(HONORIFICS | GENERIC)
+    notes: re.Pattern = NOTES
+
+
+STATION_WORDING = Wording()
+
+
+def readings(text: str | None, sure: bool = False, most: int = 2, longest: int = 60, wording: Wording = STATION_WORDING) -> list[tuple[str, str, str]]:
     """What an entry may say: ``(name, qualifiers, name without doubtful letters)``, letters only, lower case.
 
     A single letter may be a direction or ordinal, or a part of the name behind a stray blank: both
@@ -46,19 +61,20 @@ def readings(text: str | None, sure: bool = False, most: int = 2, longest: int =
         return []
     plain = unicodedata.normalize("NFKD", MARKS.sub(" ", text))
     plain = "".join(c for c in plain if not "̀" <= c <= "ͯ").lower()
-    words = [w for w in WORDS.findall(NOTES.sub(" ", plain)) if w not in HONORIFICS and w not in GENERIC]
-    doubt = [i for i, w in enumerate(words) if w in DOUBTFUL and not sure]
-    if len(doubt) - most > longest + CHANGES + max(map(len, QUALIFIERS)):
+    known = wording.qualifiers
+    words = [w for w in WORDS.findall(wording.notes.sub(" ", plain)) if w not in wording.dropped]
+    doubt = [i for i, w in enumerate(words) if w in wording.doubtful and not sure]
+    if len(doubt) - most > longest + CHANGES + max(map(len, known), default=0):
         return []
     found = []
     for apart in itertools.chain.from_iterable(itertools.combinations(doubt, k) for k in range(min(len(doubt), most) + 1)):
         joined = {*doubt} - {*apart}
-        name = "".join(w for i, w in enumerate(words) if w not in QUALIFIERS or i in joined)
-        bare = "".join(w for w in words if w not in QUALIFIERS)
-        marks = [QUALIFIERS[w] for i, w in enumerate(words) if w in QUALIFIERS and i not in joined]
+        name = "".join(w for i, w in enumerate(words) if w not in known or i in joined)
+        bare = "".join(w for w in words if w not in known)
+        marks = [known[w] for i, w in enumerate(words) if w in known and i not in joined]
         found.append((name, " ".join(sorted(marks)), bare))
         if not marks and not sure:
-            found += [(name[: -len(q)], QUALIFIERS[q], name[: -len(q)]) for q in QUALIFIERS if len(q) > 3 and name.endswith(q) and len(name) > len(q) + 2]
+            found += [(name[: -len(q)], known[q], name[: -len(q)]) for q in known if len(q) > 3 and name.endswith(q) and len(name) > len(q) + 2]
     return list(dict.fromkeys(x for x in found if x[0]))
 
 
@@ -87,7 +103,7 @@ def _prefixes(names: DataFrame, rarity: DataFrame, rare_rows: int) -> DataFrame:
     return ranked.select("id", F.posexplode(F.slice("r", 1, CHANGES * GRAM + 1)).alias("place", "t")).select("id", "place", F.col("t.token").alias("token"))
 
 
-def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str, names: list[str]) -> DataFrame:
+def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str, names: list[str], wording: Wording = STATION_WORDING) -> DataFrame:
     """``(entry, ref)`` for each distinct non-null value of ``entry``; ref is -1 where none is meant.
 
     A set-similarity join on letter pairs: tokens are ordered by their rarity over both sides, only
@@ -95,7 +111,7 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
     share one of them), length and place in the prefix rule out pairs that can't share enough, and
     the Jaccard similarity of the rest is computed exactly. Of the pairs that reach what two changes
     leave, those with equal qualifiers and an edit distance of at most ``CHANGES`` are verified; the
-    best by distance, similarity and ref is kept.
+    best by distance, similarity and ref is kept. ``wording`` says which words make another place and which mean nothing.
 
     Nulls give no row; blank entries and those of marks only mean none. Repeated entries count once,
     repeated or null names of the list are allowed; an empty list maps all to -1. Texts of any length
@@ -105,7 +121,7 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
 
     def read(batches: Iterator[pd.DataFrame], sure: bool, *limits: int) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(v, *r, tokens(r[0]), short_keys(r[0])) for v in b.iloc[:, 0] for r in readings(v, sure, *limits)], columns=["value", "name", "marks", "bare", "tokens", "short"])
+            yield pd.DataFrame([(v, *r, tokens(r[0]), short_keys(r[0])) for v in b.iloc[:, 0] for r in readings(v, sure, *(limits or (2, 60)), wording)], columns=["value", "name", "marks", "bare", "tokens", "short"])
 
     values = cut(entries.select(F.col(entry).cast("string").alias("value")).where("value is not null").distinct(), "values")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,7 @@ from quaymill.llm.canonical import map_to_canonical
 from quaymill.llm.clusters import cluster, describe
 from quaymill.llm.mixing import mix
 from quaymill.llm.packing import pack, packing_report
+from quaymill.llm.quality import prose_weight
 from quaymill.llm.spans import anchors, repeated_units, shared_pairs, shared_runs, shared_share
 from quaymill.llm.tokens import with_tokens
 from quaymill.llm.topn import top_n_per_group
@@ -74,11 +75,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    # prose is mostly letters; markup, tables and near-empty texts are not
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}\p{M}]", "")) / F.greatest(F.length("text"), F.lit(1))
-    quality = F.greatest(F.lit(0.05), F.least(F.lit(1.0), letters)) * F.least(F.lit(1.0), 0.25 + F.length("text") / 400.0)
     docs = table(spark, d, "documents")
-    sized = with_tokens(docs, "text", [F.col("doc_id").alias("id"), "source", F.coalesce(quality, F.lit(0.0)).alias("weight")])
+    sized = with_tokens(docs, "text", [F.col("doc_id").alias("id"), "source", prose_weight(F.col("text")).alias("weight")])
     return mix(cut(sized, "sized"), table(spark, d, "mix_targets"))
 
 
@@ -116,5 +114,13 @@ WITH s AS (SELECT DISTINCT phase, corridor_line, station_id, predicted_boardings
 m AS (SELECT phase, corridor_line, station_id, max(b) AS b FROM s GROUP BY ALL)
 SELECT phase, corridor_line, row_number() OVER (PARTITION BY phase, corridor_line ORDER BY b DESC, station_id)::INT AS rk, station_id FROM m
 QUALIFY rk <= 5
+""",
+    "p10_units": r"""
+WITH l AS (SELECT doc_id, created_at, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+  trim(regexp_replace(lower(line), '[\s\x0b\x{85}\p{Z}]+', ' ', 'g')) AS plain FROM l),
+h AS (SELECT * FROM o WHERE length(plain) >= 40),
+g AS (SELECT plain, arg_min((doc_id, pos), (created_at IS NULL, created_at, doc_id, pos)) AS f FROM h GROUP BY 1 HAVING count(*) > 1)
+SELECT doc_id, unit::INT AS unit, pos::INT AS "offset", length(line)::INT AS chars, f[1] AS first_doc, doc_id = f[1] AND pos = f[2] AS kept FROM h JOIN g USING (plain)
 """,
 }
