@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaymill.session import attach, cut
+from quaymill.session import BROADCAST_ROWS, cut
 
 #: Score classes per doubling of the score.
 PER_OCTAVE = 32
@@ -22,7 +22,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], item: str, score: str, n:
     """``(*groups, rk, item, score)``: the ``n`` highest-scoring items of each group, rk 1 to n, equal scores by item ascending.
 
     A histogram of scores per group, each bar with a sketch of its items, gives a score class that at
-    least ``n`` distinct items reach; rows below it are dropped before anything is sorted. The bars
+    least ``n`` distinct items reach; rows below it are dropped before anything is shuffled or sorted. The bars
     follow the logarithm of the score, so one pass builds them and their number doesn't depend on the
     rows. What is left is ranked within salted parts of a group and then across the parts, so that a
     group of equal scores, which no threshold can thin, stays distributed.
@@ -43,11 +43,12 @@ def top_n_per_group(df: DataFrame, groups: list[str], item: str, score: str, n:
     sketches = [F.bit_or(F.when(F.floor(h / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"__k{i}") for i in range(lanes)]
     above = W.partitionBy(*g).orderBy(F.desc("__bar")).rowsBetween(W.unboundedPreceding, 0)
     surely = sum((F.bit_count(F.bit_or(f"__k{i}").over(above)) for i in range(lanes)), F.lit(0))
-    floors = cut(
-        rows.groupBy(*g, "__bar").agg(*sketches).withColumn("__sure", surely).groupBy(*g).agg(F.max(F.when(F.col("__sure") >= n, F.col("__bar"))).alias("__floor")),
-        "floors",
-    )
-    kept = rows.join(attach(floors), g).where("__floor is null or __bar >= __floor").groupBy(*g, "__item").agg(F.max("__s").alias("__s"))
+    bars = rows.groupBy(*g, "__bar").agg(F.count("*").alias("__c"), *sketches).withColumns({"__sure": surely, "__upto": F.sum("__c").over(above)})
+    enough = F.col("__sure") >= n
+    floors = bars.groupBy(*g).agg(F.max(F.when(enough, F.col("__bar"))).alias("__floor"), (F.sum("__c") - F.min(F.when(enough, F.col("__upto")))).alias("__below"))
+    # the floors that drop the most rows, as many as may be broadcast; a group without one keeps all its rows, and its rank is the same
+    floors = cut(floors.where("__below > 0").orderBy(F.desc("__below"), *g).limit(BROADCAST_ROWS), "floors")
+    kept = rows.join(F.broadcast(floors), g, "left").where("__floor is null or __bar >= __floor").groupBy(*g, "__item").agg(F.max("__s").alias("__s"))
 
     order = [F.desc("__s"), F.asc("__item")]
     part = kept.withColumn("__salt", F.pmod(F.xxhash64("__item"), F.lit(SALTS)))
