@@ -128,7 +128,7 @@ def anchors(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     unique and integer; whole texts of any length are used.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= MIN_RUN))
-    marked = rows.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    marked = cut(rows.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2")), "digests")
     classes = marked.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = cut(marked.join(classes, ["k1", "k2"]).select("doc", "rep"), "copies")
     extra = copies.where("doc <> rep").select("doc")
