@@ -13,8 +13,8 @@ from quaymill.session import attach, cut
 
 #: Items that one task packs.
 ITEMS = 20_000
-#: Exchanges of items between partitions whose bins exceed their bound.
-EXCHANGES = 2
+#: Exchanges of items between partitions whose bins exceed their bound, at most; they end before where one gains nothing.
+EXCHANGES = 8
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -85,8 +85,8 @@ def pack(sizes: DataFrame, capacities: DataFrame, items: int = ITEMS, exchanges:
     bin_id. Items go to partitions of about ``items`` by hash, so that all have the same mix of sizes;
     each is packed best-fit decreasing and its number of bins certified by the bound of
     ``bins_needed``. Bins with room left in partitions above their bound are then dealt into new
-    partitions and packed again, ``exchanges`` times; an arrangement is only replaced by one with
-    fewer bins. Capacities must be positive. Ties are dealt by id, so equal input gives equal output.
+    partitions and packed again, until an exchange gains nothing or ``exchanges`` are done; an arrangement is only replaced by
+    one with fewer bins. Capacities must be positive. Ties are dealt by id, so equal input gives equal output.
     """
     caps = [(r[0], r[1]) for r in capacities.select("container", F.col("capacity").cast("int")).where("container is not null and capacity > 0").distinct().collect()]  # a table of settings
     if not caps:
@@ -106,7 +106,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, items: int = ITEMS, exchanges:
         parts = F.when(F.col("container") == n, F.lit(max(1, math.ceil(k / items)))).otherwise(parts)
     dealt = small.withColumn("part", F.lit(-1).cast("bigint")).withColumn("bin", F.lit(-1).cast("bigint")).withColumn("turn_part", F.pmod(F.xxhash64("id", "piece"), parts).cast("bigint"))
     packed = cut(dealt.groupBy("container", "turn_part").applyInPandas(_pack, SCHEMA), "packed")
-    done = []
+    done: list[DataFrame] = []
     for turn in range(exchanges):
         fill = packed.groupBy("container", "part", "bin").agg(F.sum("tokens").alias("fill"), F.first("capacity").alias("capacity"), F.max("bins").alias("bins"), F.max("low").alias("low"), F.count("*").alias("k"))
         loose = cut(fill.where("bins > low and fill < capacity").select("container", "part", "bin", "k"), "loose")
@@ -121,6 +121,8 @@ def pack(sizes: DataFrame, capacities: DataFrame, items: int = ITEMS, exchanges:
         marked = packed.join(some, ["container", "part", "bin"], "left")
         done.append(marked.where("__new is null").select(*packed.columns))
         packed = cut(marked.where("__new is not null").withColumn("turn_part", F.col("__new")).select(*packed.columns).groupBy("container", "turn_part").applyInPandas(_pack, SCHEMA), "packed")
+        if packed.where("part = turn_part").isEmpty():  # no arrangement was replaced
+            break
     for old in done:
         packed = packed.unionByName(old)
     named = packed.select("container", "id", "piece", "tokens", F.concat_ws(":", F.lit("p"), "part", "bin").alias("bin_id"))
