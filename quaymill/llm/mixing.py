@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,8 @@ from quaymill.session import attach, cut
 
 #: Classes of the sampling key in a source; only one of them is sorted.
 CLASSES = 4096
+#: Keys of so many means and more have classes of their own, this many for each doubling.
+TAIL, TAIL_CLASSES = 8.0, 256
 
 
 def budgets(sources: list[dict], total: float | None) -> dict[str, float]:
@@ -38,6 +40,12 @@ def budgets(sources: list[dict], total: float | None) -> dict[str, float]:
     return out
 
 
+def _class(x: Column) -> Column:
+    """Grows with the key: of about equal size for keys near the mean, by the logarithm for those far beyond it, as records of very small weight have."""
+    near = F.floor((1 - F.exp(-x)) * CLASSES)
+    return F.when(x > TAIL, CLASSES + F.floor(F.log2(x / TAIL) * TAIL_CLASSES)).otherwise(near)
+
+
 def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """A selection ``(source, id, tokens, copies)`` and its report.
 
@@ -72,7 +80,7 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, seed
 
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(u) / F.col("weight")
-    keyed = usable.join(F.broadcast(steps), "source").withColumn("key", key).withColumn("class", F.floor((1 - F.exp(-F.col("key") * F.col("mean"))) * CLASSES))
+    keyed = usable.join(F.broadcast(steps), "source").withColumn("key", key).withColumn("class", _class(F.col("key") * F.col("mean")))
     by = W.partitionBy("source").orderBy("class").rowsBetween(W.unboundedPreceding, 0)
     bars = keyed.where("part > 0").groupBy("source", "class").agg(F.sum("tokens").alias("t"), F.first("part").alias("part")).withColumn("upto", F.sum("t").over(by))
     ends = cut(bars.where("upto >= part").groupBy("source").agg(F.min("class").alias("end"), F.min(F.struct("class", (F.col("upto") - F.col("t")).alias("before"))).alias("b")).select("source", "end", "b.before"), "ends")

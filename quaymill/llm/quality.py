@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-#: Words of prose have about as many characters on average; longer and shorter means count less.
-WORD_CHARS = (3.0, 9.0)
-#: Words from which a text is judged by its own repetition rather than taken for short.
-ENOUGH_WORDS = 60
-#: Different words among so many drawn from prose; repeated boilerplate has fewer.
-VARIETY = 1.4
+import numpy as np
+
+#: Share of the bytes that lie in tokens of letters: none below, all that can be asked above.
+LETTERS = (0.4, 0.8)
+#: Different tokens, and different words, against the power 0.75 of all, as their number grows slower than the text; repeated boilerplate has fewer.
+#: Scripts that take several tokens for a letter have fewer different tokens, so that little is asked of them.
+TOKEN_VARIETY, WORD_VARIETY = 0.2, 1.0
+#: Tokens up to which a text counts by its length.
+ENOUGH = 80
 LEAST = 0.02
 
 
-def _ramp(x: Column, low: float, high: float) -> Column:
-    """0 up to ``low``, 1 from ``high``, linear between."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / (high - low)))
-
-
-def prose_weight(text: Column) -> Column:
-    """0.02 to 1: the product of five shares that any script can reach.
-
-    Words that hold a letter, letters among the characters that are no blanks, a usual mean length of words, different
-    words among all (their number grows slower than the text, so that it is compared with the power 0.75 of it), and lines
-    that don't repeat. Short texts count by their length. Null, empty and blank texts have the least weight. All in
-    built-in expressions over the whole text, without a shuffle.
-    """
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    words = F.split(plain, " ")
-    n = F.size(words).cast("double")
-    solid = F.greatest(F.length(F.replace(plain, F.lit(" "), F.lit(""))), F.lit(1)).cast("double")
-    letters = F.length(F.regexp_replace(plain, r"[^\p{L}\p{M}]+", ""))
-    worded = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / n
-    mean = solid / n
-    usual = F.least(_ramp(mean, 1.0, WORD_CHARS[0]), 1 - _ramp(mean, WORD_CHARS[1], 3 * WORD_CHARS[1]))
-    kinds = F.size(F.array_distinct(F.transform(words, F.lower))) / F.pow(n, 0.75)
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s*\n\s*"), lambda x: x != "")
-    fresh = F.try_divide(F.size(F.array_distinct(lines)).cast("double"), F.size(lines))
-    parts = [_ramp(worded, 0.3, 0.8), _ramp(letters / solid, 0.4, 0.8), usual, _ramp(kinds, 0.0, VARIETY), F.coalesce(fresh, F.lit(0.0)), _ramp(n, 0.0, ENOUGH_WORDS)]
-    out = F.lit(1.0)
-    for p in parts:
-        out = out * F.greatest(p, F.lit(0.1))
-    return F.when(plain == "", LEAST).otherwise(F.greatest(F.lit(LEAST), out))
+def letter_tokens(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each token of a vocabulary without blanks, and how many of them belong to a token of letters: ASCII letters, or bytes of any
+    other script, which may be parts of a character."""
+    sizes, letters = np.zeros(len(tokens)), np.zeros(len(tokens))
+    for i, t in enumerate(tokens):
+        bare = t.strip()
+        sizes[i] = len(bare)
+        if bare and all(b >= 128 or chr(b).isalpha() or b == 39 for b in bare):
+            letters[i] = len(bare)
+    return sizes, letters
+
+
+def prose_weight(ids: np.ndarray, text: str, sizes: np.ndarray, letters: np.ndarray) -> float:
+    """0.02 to 1: the product of shares that any script can reach, none below 0.1: bytes in tokens of letters, different tokens and words among
+    all, lines that don't repeat, and length up to ``ENOUGH`` tokens. A text without tokens has the least weight."""
+    n = len(ids)
+    if not n:
+        return LEAST
+    all_bytes = sizes[ids].sum()
+    lettered = (letters[ids].sum() / all_bytes - LETTERS[0]) / (LETTERS[1] - LETTERS[0]) if all_bytes else 0.0
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    words = text.split()
+    variety = len(set(words)) / len(words) ** 0.75 / WORD_VARIETY if words else 0.0
+    parts = (lettered, len(np.unique(ids)) / n**0.75 / TOKEN_VARIETY, variety, len(set(lines)) / len(lines) if lines else 0.0, n / ENOUGH)
+    return max(LEAST, float(np.prod(np.clip(parts, 0.1, 1.0))))

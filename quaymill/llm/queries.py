@@ -10,7 +10,6 @@ from quaymill.llm.canonical import map_to_canonical
 from quaymill.llm.clusters import cluster, describe
 from quaymill.llm.mixing import mix
 from quaymill.llm.packing import pack, packing_report
-from quaymill.llm.quality import prose_weight
 from quaymill.llm.spans import anchors, repeated_units, shared_pairs, shared_runs, shared_share
 from quaymill.llm.tokens import with_tokens
 from quaymill.llm.topn import top_n_per_group
@@ -76,7 +75,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    sized = with_tokens(docs, "text", [F.col("doc_id").alias("id"), "source", prose_weight(F.col("text")).alias("weight")])
+    sized = with_tokens(docs, "text", [F.col("doc_id").alias("id"), "source"], weight=True)
     return mix(cut(sized, "sized"), table(spark, d, "mix_targets"))
 
 

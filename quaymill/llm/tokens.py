@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaymill.llm.quality import letter_tokens, prose_weight
+
 #: A file of ranks: base64 token and rank per line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits a text before the merges of the vocabulary. A fixed value of these rank files.
@@ -28,13 +31,25 @@ def encoding(path: str):
     return ENCODINGS[name]
 
 
-def with_tokens(df: DataFrame, text: str, keep: list, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` and ``tokens`` (int), the size of the whole ``text``; null and empty texts have 0."""
+_letters: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
 
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def with_tokens(df: DataFrame, text: str, keep: list, vocabulary: str = VOCABULARY, weight: bool = False) -> DataFrame:
+    """``keep`` and ``tokens`` (int), the size of the whole ``text``; null and empty texts have 0. ``weight`` adds how much prose it holds, from
+    the same tokens."""
+
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoding(vocabulary)
+        if weight and vocabulary not in _letters:
+            _letters[vocabulary] = letter_tokens([e.decode_single_token_bytes(i) for i in range(e.n_vocab)])
         for b in batches:
-            yield pd.Series([len(e.encode_ordinary(t)) if t else 0 for t in b], dtype="int32")
-
-    return df.select(*keep, count(F.col(text)).alias("tokens"))
+            sizes, weights = [], []
+            for t in b:
+                ids = e.encode_ordinary(t) if t else []
+                sizes.append(len(ids))
+                if weight:
+                    weights.append(prose_weight(np.array(ids, np.int64), t or "", *_letters[vocabulary]))
+            yield pd.DataFrame({"tokens": np.array(sizes, np.int32)} | ({"weight": weights} if weight else {}))
+
+    found = F.pandas_udf(counted, "tokens int" + (", weight double" if weight else ""))(F.col(text)).alias("found")
+    return df.select(*keep, found).select("*", "found.*").drop("found")

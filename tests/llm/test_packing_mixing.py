@@ -9,7 +9,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quaymill.llm.mixing import budgets, mix
-from quaymill.llm.quality import prose_weight
 from quaymill.llm.packing import best_fit_decreasing, bins_needed, pack, packing_report
 from quaymill.llm.tokens import VOCABULARY, encoding, with_tokens
 
@@ -173,6 +172,8 @@ def test_prose_weighs_more_than_markup(spark):
     prose = " ".join(f"The guard {w} told riders near platform {i} that {w}ing trains would be late because of {w} works." for i, w in enumerate("north signal water power track cable tunnel bridge market depot".split()))
     texts = {"prose": prose, "tamil": " ".join(f"வண்ணாரப்பேட்டை {c}{d} நிலையம் கிண்டி{d}{c}" for c in "கசடதபற" for d in "அஆஇஈஉ"), "digits": "12 455 | 88 " * 60, "loop": "All aboard now please\n" * 90, "short": "Fine station", "glued": "x" * 4000, "tags": "<td><b>//</b></td> " * 50, "empty": "", "blank": " \n\u00a0\t", "null": None}
     df = spark.createDataFrame(list(texts.items()), "k string, text string")
-    got = {r["k"]: r["w"] for r in df.select("k", prose_weight(F.col("text")).alias("w")).collect()}
-    assert got["prose"] > 0.9 and got["tamil"] > 0.5 and all(0.02 <= w <= 1 for w in got.values())
-    assert all(got[k] < 0.3 * got["prose"] for k in texts if k not in ("prose", "tamil")) and got["empty"] == got["blank"] == got["null"] == 0.02
+    got = {r["k"]: r["weight"] for r in with_tokens(df, "text", ["k"], weight=True).collect()}
+    assert got["prose"] > 0.8 and got["tamil"] > 0.5, got
+    assert all(0.02 <= w <= 1 for w in got.values())
+    assert all(got[k] < 0.3 * got["prose"] for k in texts if k not in ("prose", "tamil")), got
+    assert got["empty"] == got["null"] == 0.02 >= got["blank"] - 0.01
