@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from importlib import import_module
 
-from quaymill.session import get_session
+from quaymill.session import get_session, steps
 
 PLANS = ("data_quality", "relational", "expressions", "spatial", "modelling", "streams")
 
@@ -30,13 +30,15 @@ def main() -> None:
         return
     if a.query not in queries() or not a.data:
         p.error("name a query of 'list' and --data")
-    df = queries()[a.query](get_session(a.master), a.data)
-    if a.what == "explain":
-        df.explain("formatted")
-    elif a.out:
-        df.write.mode("overwrite").parquet(a.out)
-    else:
-        df.show(20, truncate=60)
+    spark = get_session(a.master)
+    with steps(spark):
+        df = queries()[a.query](spark, a.data)
+        if a.what == "explain":
+            df.explain("formatted")
+        elif a.out:
+            df.write.mode("overwrite").parquet(a.out)
+        else:
+            df.show(20, truncate=60)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymill.operators import geometry as G
 from quaymill.operators import tables as T
 from quaymill.plans.registry import Registry
 from quaymill.session import table
@@ -18,6 +19,20 @@ def _r(c, n: int = 4):
     return F.round(c, n)
 
 
+def _stations(spark: S, d: str, *columns: str) -> DataFrame:
+    """One row per station with a known score, other columns as asked; NaN is null."""
+    t = table(spark, d, "chennai_powerbi_stations")
+    known = {c for c, k in t.dtypes if k == "double"}
+    clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c) if c in known else F.col(c)
+    rows = t.where("station_id is not null and predicted_boardings is not null and not isnan(predicted_boardings)")
+    return rows.select("station_id", F.col("predicted_boardings").alias("p"), *(clean(c) for c in columns)).distinct()
+
+
+def _st(*columns: str, double: tuple[str, ...] = ()) -> str:
+    cols = ", ".join([*columns, *(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in double)])
+    return f"(SELECT DISTINCT station_id, predicted_boardings AS p{', ' + cols if cols else ''} FROM chennai_powerbi_stations WHERE station_id IS NOT NULL AND predicted_boardings IS NOT NULL AND NOT isnan(predicted_boardings))"
+
+
 def _hourly(spark: S, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.col("event_type").alias("station"), F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value", "user_id", "event_id")
@@ -68,18 +83,17 @@ def q_maturity_flags(spark: S, d: str) -> DataFrame:
     )
 
 
-@R.query("""SELECT o_orderdate::DATE AS day, o_orderstatus = 'P' AS is_partial, round(sum(o_totalprice), 2) AS total, count(DISTINCT o_custkey) AS stations,
-CASE WHEN o_orderstatus = 'P' THEN 'partial day' ELSE 'complete day' END AS kind FROM orders GROUP BY ALL""")
+@R.query("""SELECT date AS day, is_partial, (sum(boardings) FILTER (boardings >= 0))::DOUBLE AS total, count(DISTINCT station_cmrl) AS stations, CASE WHEN is_partial THEN 'partial day' ELSE 'complete day' END AS kind FROM fact_observed WHERE date IS NOT NULL GROUP BY ALL""")
 def q_daily_summary(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_orderstatus") == "P").alias("is_partial"), "o_totalprice", "o_custkey")
-    return o.groupBy("day", "is_partial").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_custkey").alias("stations")).withColumn("kind", F.when(F.col("is_partial"), "partial day").otherwise("complete day"))
+    o = table(spark, d, "fact_observed").where("date is not null").select(F.col("date").alias("day"), "is_partial", F.when(F.col("boardings") >= 0, F.col("boardings")).alias("b"), "station_cmrl")
+    return o.groupBy("day", "is_partial").agg(F.sum("b").cast("double").alias("total"), F.count_distinct("station_cmrl").alias("stations")).withColumn("kind", F.when(F.col("is_partial"), "partial day").otherwise("complete day"))
 
 
-@R.query("""WITH day AS (SELECT o_custkey % 7 AS line, o_orderdate::DATE AS day, sum(o_totalprice) AS t FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY ALL)
+@R.query("""WITH day AS (SELECT lpad(line, 2, '0') AS line, date, sum(boardings) AS t FROM fact_observed WHERE isodow(date) < 6 AND NOT is_partial AND boardings >= 0 AND line IS NOT NULL GROUP BY ALL)
 SELECT line, round(avg(t), 2) AS weekday_mean FROM day GROUP BY 1""")
 def q_weekday_mean(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where(F.weekday("o_orderdate") < 5)
-    return o.groupBy((F.col("o_custkey") % 7).alias("line"), F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("t")).groupBy("line").agg(F.round(F.avg("t"), 2).alias("weekday_mean"))
+    o = table(spark, d, "fact_observed").where((F.weekday("date") < 5) & ~F.col("is_partial") & (F.col("boardings") >= 0) & F.col("line").isNotNull())
+    return o.groupBy(F.lpad("line", 2, "0").alias("line"), "date").agg(F.sum("boardings").alias("t")).groupBy("line").agg(F.round(F.avg("t"), 2).alias("weekday_mean"))
 
 
 _OBS = "SELECT date, station_cmrl, boardings FROM fact_observed WHERE NOT is_partial AND boardings >= 0 AND date IS NOT NULL AND station_cmrl IS NOT NULL"
@@ -117,15 +131,16 @@ def q_tod_matrix(spark: S, d: str) -> DataFrame:
     return s.groupBy("tod_quadrant", "strategic_action").agg(F.count("*").alias("stations"), _r(F.avg(known("predicted_boardings"))).alias("mean_boardings"), _r(F.avg(known("access_index")), 6).alias("mean_access"))
 
 
-@R.query("""WITH g AS (SELECT p_brand, count(*) AS stations, sum(p_retailprice) AS demand, sum(CASE WHEN lower(p_type) = 'economy' THEN 2.5 ELSE 1.0 END) AS weight FROM part GROUP BY 1)
-SELECT p_brand, stations, round(demand, 2) AS demand, weight, round(weight / sum(weight) OVER (), 8) AS cost_share, round(demand / weight, 4) AS per_weight,
-row_number() OVER (ORDER BY demand / weight DESC, p_brand) AS open_priority FROM g""")
+@R.query(f"""WITH g AS (SELECT corridor_line, count(*) AS stations, sum(p) AS demand, sum(CASE WHEN lower(layout_type) = 'underground' THEN 2.5 ELSE 1.0 END) AS weight FROM {_st('corridor_line', 'layout_type')} WHERE corridor_line IS NOT NULL GROUP BY 1)
+SELECT corridor_line, stations, round(demand, 2) AS demand, weight, round(weight / sum(weight) OVER (), 8) AS cost_share, round(demand / weight, 4) AS per_weight,
+row_number() OVER (ORDER BY round(demand / weight, 6) DESC, corridor_line) AS open_priority FROM g""")
 def q_phasing(spark: S, d: str) -> DataFrame:
-    """Groups by demand per weighted member, with their share of the weight and their order."""
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("stations"), F.sum("p_retailprice").alias("demand"), F.sum(F.when(F.lower("p_type") == "economy", 2.5).otherwise(1.0)).alias("weight"))
-    g = T.with_totals(g, everything=F.sum("weight")).withColumn("neg", -F.col("demand") / F.col("weight"))
-    g = T.row_numbers(g, [], ["neg", "p_brand"], "open_priority")
-    return g.select("p_brand", "stations", F.round("demand", 2).alias("demand"), "weight", F.round(F.col("weight") / F.col("everything"), 8).alias("cost_share"), _r(F.col("demand") / F.col("weight")).alias("per_weight"), "open_priority")
+    """Lines by demand per weighted station, with their share of the weight and their order."""
+    s = _stations(spark, d, "corridor_line", "layout_type").where("corridor_line is not null")
+    g = s.groupBy("corridor_line").agg(F.count("*").alias("stations"), F.sum("p").alias("demand"), F.sum(F.when(F.lower("layout_type") == "underground", 2.5).otherwise(1.0)).alias("weight"))
+    g = T.with_totals(g, everything=F.sum("weight")).withColumn("neg", -F.round(F.col("demand") / F.col("weight"), 6))
+    g = T.row_numbers(g, [], ["neg", "corridor_line"], "open_priority")
+    return g.select("corridor_line", "stations", F.round("demand", 2).alias("demand"), "weight", F.round(F.col("weight") / F.col("everything"), 8).alias("cost_share"), _r(F.col("demand") / F.col("weight")).alias("per_weight"), "open_priority")
 
 
 @R.query("""SELECT typology_id, count(*) AS stations, round(median(distance_cbd_km) FILTER (NOT isnan(distance_cbd_km)), 6) AS distance, round(median(street_density_km_per_km2) FILTER (NOT isnan(street_density_km_per_km2)), 6) AS streets
@@ -142,9 +157,9 @@ def q_value_counts(spark: S, d: str) -> DataFrame:
     return table(spark, d, "dim_station").groupBy("layout", "phase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("layout"), F.asc_nulls_first("phase")).limit(15)
 
 
-@R.query("SELECT l_suppkey, round(median(l_extendedprice / l_quantity), 6) AS circuity FROM lineitem GROUP BY 1")
+@R.query(f"SELECT corridor_line, round(median(street_density_km_per_km2), 6) AS streets FROM {_st('corridor_line', double=('street_density_km_per_km2',))} GROUP BY 1")
 def q_group_median(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(_r(F.median(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("circuity"))
+    return _stations(spark, d, "corridor_line", "street_density_km_per_km2").groupBy("corridor_line").agg(_r(F.median("street_density_km_per_km2"), 6).alias("streets"))
 
 
 @R.query("""SELECT n_nationkey, count(c_custkey) AS stops, coalesce(round(sum(c_acctbal), 2), 0) AS area FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000 GROUP BY 1""")
@@ -250,45 +265,44 @@ def q_chart_groups(spark: S, d: str) -> DataFrame:
 # ---- windows
 
 
-@R.query("""SELECT c_custkey, c_nationkey, round((rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0) / count(c_acctbal) OVER (PARTITION BY c_nationkey), 8) AS pctl FROM customer""")
+@R.query(f"""SELECT station_id, phase, round((rank() OVER (PARTITION BY phase ORDER BY p) + (count(*) OVER (PARTITION BY phase, p) - 1) / 2.0) / count(p) OVER (PARTITION BY phase), 8) AS pctl FROM {_st('phase')}""")
 def q_pctl_rank(spark: S, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return T.average_rank(c, ["c_nationkey"], "c_acctbal", "p").select("c_custkey", "c_nationkey", F.round("p", 8).alias("pctl"))
+    return T.average_rank(_stations(spark, d, "phase"), ["phase"], "p", "r").select("station_id", "phase", F.round("r", 8).alias("pctl"))
 
 
 _AR = lambda c, t: f"(SELECT k, (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER () AS r FROM {t} WHERE {c} IS NOT NULL)"
 
 
-@R.query(f"""WITH t AS (SELECT p_partkey AS k, p_size AS a, p_retailprice AS b, CASE WHEN p_partkey % 10 > 0 THEN p_partkey % 1000 END AS c FROM part)
-SELECT t.k AS p_partkey, round((coalesce(x.r, 0) + coalesce(y.r, 0) + coalesce(z.r, 0)) / ((x.r IS NOT NULL)::INT + (y.r IS NOT NULL)::INT + (z.r IS NOT NULL)::INT), 8) AS access_index
+@R.query(f"""WITH t AS (SELECT station_id AS k, intersection_density AS a, distance_cbd_km AS b, pnr_walkability_ratio AS c FROM {_st(double=('intersection_density', 'distance_cbd_km', 'pnr_walkability_ratio'))})
+SELECT t.k AS station_id, round((coalesce(x.r, 0) + coalesce(y.r, 0) + coalesce(z.r, 0)) / nullif((x.r IS NOT NULL)::INT + (y.r IS NOT NULL)::INT + (z.r IS NOT NULL)::INT, 0), 8) AS access_index
 FROM t LEFT JOIN {_AR('a', 't')} x ON t.k = x.k LEFT JOIN {_AR('b', 't')} y ON t.k = y.k LEFT JOIN {_AR('c', 't')} z ON t.k = z.k""")
 def q_access_index(spark: S, d: str) -> DataFrame:
     """Mean of three percentile ranks, leaving out unknown ones."""
-    p = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"), F.when(F.col("p_partkey") % 10 > 0, F.col("p_partkey") % 1000).alias("c"))
+    p = _stations(spark, d, "intersection_density", "distance_cbd_km", "pnr_walkability_ratio").toDF("station_id", "p", "a", "b", "c")
     for c in "abc":
         p = T.average_rank(p, [], c, f"r{c}")
     known = F.filter(F.array("ra", "rb", "rc"), lambda x: x.isNotNull())
-    return p.select("p_partkey", F.round(F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)), 8).alias("access_index"))
+    return p.select("station_id", F.round(F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)), 8).alias("access_index"))
 
 
-@R.query("""SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rk FROM customer QUALIFY rk <= 15""")
+@R.query(f"""SELECT phase, station_id, p, row_number() OVER (PARTITION BY phase ORDER BY p DESC, station_id) AS rk FROM {_st('phase')} QUALIFY rk <= 15""")
 def q_rank_first_top15(spark: S, d: str) -> DataFrame:
-    w = W.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.row_number().over(w).alias("rk")).where("rk <= 15")
+    w = W.partitionBy("phase").orderBy(F.desc("p"), "station_id")
+    return _stations(spark, d, "phase").select("phase", "station_id", "p", F.row_number().over(w).alias("rk")).where("rk <= 15")
 
 
-@R.query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY -o_totalprice, o_orderkey) AS rank_in_phase, 'MAA' || lpad((row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR, 8, '0') AS surrogate FROM orders""")
+@R.query("""SELECT obs_id, row_number() OVER (PARTITION BY station_cmrl ORDER BY -coalesce(boardings, 0), obs_id) AS rank_in_feed, 'MAA' || lpad((row_number() OVER (ORDER BY obs_id) - 1)::VARCHAR, 8, '0') AS surrogate FROM fact_observed""")
 def q_ordinals(spark: S, d: str) -> DataFrame:
-    """Ranks within large groups and surrogate keys over all rows, without a single-task sort."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (-F.col("o_totalprice")).alias("neg"))
-    o = T.row_numbers(T.row_numbers(o, ["o_orderstatus"], ["neg", "o_orderkey"], "rank_in_phase"), [], ["o_orderkey"], "n")
-    return o.select("o_orderkey", "rank_in_phase", F.format_string("MAA%08d", F.col("n") - 1).alias("surrogate"))
+    """Ranks within feeds, of which one is hot, and surrogate keys over all rows, without a single-task sort."""
+    o = table(spark, d, "fact_observed").select("obs_id", "station_cmrl", (-F.coalesce("boardings", F.lit(0))).alias("neg"))
+    o = T.row_numbers(T.row_numbers(o, ["station_cmrl"], ["neg", "obs_id"], "rank_in_feed"), [], ["obs_id"], "n")
+    return o.select("obs_id", "rank_in_feed", F.format_string("MAA%08d", F.col("n") - 1).alias("surrogate"))
 
 
-@R.query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rn, count(*) OVER () AS n FROM customer)
-SELECT c_custkey, greatest(ceil((rn - 1) * 5 / (n - 1)), 1)::INT AS band FROM r""")
+@R.query(f"""WITH r AS (SELECT station_id, row_number() OVER (ORDER BY p, station_id) AS rn, count(*) OVER () AS n FROM {_st()})
+SELECT station_id, greatest(ceil((rn - 1) * 5 / (n - 1)), 1)::INT AS band FROM r""")
 def q_quintile_band(spark: S, d: str) -> DataFrame:
-    return T.quantile_bands(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], "band").select("c_custkey", "band")
+    return T.quantile_bands(_stations(spark, d), ["p", "station_id"], "band").select("station_id", "band")
 
 
 @R.query("""WITH h AS (SELECT ts::DATE AS day, hour(ts) AS hour, sum(value) AS b FROM events GROUP BY 1, 2)
@@ -304,16 +318,16 @@ def q_share_total(spark: S, d: str) -> DataFrame:
     return T.with_totals(g, a=F.sum("t")).select("p_type", F.round(100 * F.col("t") / F.col("a"), 6).alias("pct"))
 
 
-@R.query("SELECT p_partkey, round((p_size - (SELECT min(p_size) FROM part)) * 100.0 / ((SELECT max(p_size) - min(p_size) FROM part)), 1) AS score FROM part")
+@R.query(f"WITH s AS {_st()} SELECT station_id, round((p - (SELECT min(p) FROM s)) * 100.0 / ((SELECT max(p) - min(p) FROM s)), 1) AS score FROM s")
 def q_minmax_score(spark: S, d: str) -> DataFrame:
-    p = T.with_totals(table(spark, d, "part").select("p_partkey", "p_size"), lo=F.min("p_size"), hi=F.max("p_size"))
-    return p.select("p_partkey", F.when(F.col("hi") == F.col("lo"), 0.0).otherwise(F.round((F.col("p_size") - F.col("lo")) * 100.0 / (F.col("hi") - F.col("lo")), 1)).alias("score"))
+    p = T.with_totals(_stations(spark, d), lo=F.min("p"), hi=F.max("p"))
+    return p.select("station_id", F.when(F.col("hi") == F.col("lo"), 0.0).otherwise(F.round((F.col("p") - F.col("lo")) * 100.0 / (F.col("hi") - F.col("lo")), 1)).alias("score"))
 
 
-@R.query("SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z FROM customer")
+@R.query(f"WITH s AS {_st()} SELECT station_id, round((p - (SELECT avg(p) FROM s)) / (SELECT stddev_samp(p) FROM s), 6) AS z FROM s")
 def q_zscore(spark: S, d: str) -> DataFrame:
-    c = T.with_totals(table(spark, d, "customer").select("c_custkey", "c_acctbal"), m=F.avg("c_acctbal"), s=F.stddev_samp("c_acctbal"))
-    return c.select("c_custkey", F.round((F.col("c_acctbal") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")), 6).alias("z"))
+    c = T.with_totals(_stations(spark, d), m=F.avg("p"), s=F.stddev_samp("p"))
+    return c.select("station_id", F.round((F.col("p") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")), 6).alias("z"))
 
 
 _MONTHS = "WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS t FROM orders GROUP BY 1)"
@@ -334,36 +348,45 @@ def q_yoy(spark: S, d: str) -> DataFrame:
     return m.select("month", _r(F.col("t") / F.lag("t", 12).over(W.partitionBy(F.lit(0)).orderBy("month")) - 1, 6).alias("yoy"))
 
 
-@R.query("""WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal AS o, c_acctbal * (1 + (c_custkey % 11 - 5) / 20.0) AS n FROM customer),
-r AS (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY -o) + (count(*) OVER (PARTITION BY c_nationkey, o) - 1) / 2.0 AS ro, rank() OVER (PARTITION BY c_nationkey ORDER BY -n) + (count(*) OVER (PARTITION BY c_nationkey, n) - 1) / 2.0 AS rn FROM c)
-SELECT c_custkey, floor(ro)::INT AS rank_old, floor(rn)::INT AS rank_new, floor(ro)::INT - floor(rn)::INT AS rank_change, round(100 * (n - o) / nullif(o, 0), 4) + 0.0 AS delta_pct FROM r""")
+_RUNS = """WITH c AS (SELECT station_id, arg_max(predicted_boardings, (run_date, pred_id)) AS n, arg_min(predicted_boardings, (run_date, pred_id)) AS o, count(*) AS k FROM fact_prediction
+  WHERE station_id IS NOT NULL AND predicted_boardings IS NOT NULL AND NOT isnan(predicted_boardings) AND run_date IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"""
+
+
+def _runs(spark: S, d: str) -> DataFrame:
+    """The first and the last prediction of each station that has several."""
+    p = table(spark, d, "fact_prediction").where("station_id is not null and predicted_boardings is not null and not isnan(predicted_boardings) and run_date is not null")
+    at = F.struct("run_date", "pred_id")
+    return p.groupBy("station_id").agg(F.max_by("predicted_boardings", at).alias("n"), F.min_by("predicted_boardings", at).alias("o"), F.count("*").alias("k")).where("k > 1")
+
+
+@R.query(_RUNS + """, r AS (SELECT *, rank() OVER (ORDER BY -o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS ro, rank() OVER (ORDER BY -n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS rn FROM c)
+SELECT station_id, floor(ro)::INT AS rank_old, floor(rn)::INT AS rank_new, floor(ro)::INT - floor(rn)::INT AS rank_change, round(100 * (n - o) / nullif(o, 0), 4) + 0.0 AS delta_pct FROM r""")
 def q_rank_change(spark: S, d: str) -> DataFrame:
-    """Two versions of a forecast compared: average ranks cut to whole numbers, and their change."""
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("o"))
-    c = c.withColumn("n", F.col("o") * (1 + (F.col("c_custkey") % 11 - 5) / 20.0)).withColumns({"no": -F.col("o"), "nn": -F.col("n")})
-    c = T.average_rank(T.average_rank(c, ["c_nationkey"], "no", "ro", False), ["c_nationkey"], "nn", "rn", False)
+    """The first and the last run of a forecast compared: average ranks cut to whole numbers, and their change."""
+    c = _runs(spark, d).withColumns({"no": -F.col("o"), "nn": -F.col("n")})
+    c = T.average_rank(T.average_rank(c, [], "no", "ro", False), [], "nn", "rn", False)
     a, b = F.floor("ro").cast("int"), F.floor("rn").cast("int")
-    return c.select("c_custkey", a.alias("rank_old"), b.alias("rank_new"), (a - b).alias("rank_change"), (_r(F.try_divide(100 * (F.col("n") - F.col("o")), F.col("o"))) + 0.0).alias("delta_pct"))
+    return c.select("station_id", a.alias("rank_old"), b.alias("rank_new"), (a - b).alias("rank_change"), (_r(F.try_divide(100 * (F.col("n") - F.col("o")), F.col("o"))) + 0.0).alias("delta_pct"))
 
 
 # ---- top-k, argmax, search
 
 
-@R.query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+@R.query(f"SELECT station_id, p FROM {_st()} ORDER BY p DESC, station_id LIMIT 15")
 def q_nlargest(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15)
+    return _stations(spark, d).orderBy(F.desc("p"), "station_id").limit(15)
 
 
-@R.query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 8")
+@R.query(f"SELECT station_id, p FROM {_st()} ORDER BY p, station_id LIMIT 8")
 def q_nsmallest(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", "p_retailprice").orderBy("p_retailprice", "p_partkey").limit(8)
+    return _stations(spark, d).orderBy("p", "station_id").limit(8)
 
 
-@R.query("""(SELECT 'top' AS side, c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5) UNION ALL (SELECT 'bottom', c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5)""")
+@R.query(f"""WITH s AS {_st()} (SELECT 'top' AS side, station_id, p FROM s ORDER BY p DESC, station_id LIMIT 5) UNION ALL (SELECT 'bottom', station_id, p FROM s ORDER BY p, station_id LIMIT 5)""")
 def q_movers(spark: S, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    one = lambda s, *o: c.orderBy(*o).limit(5).select(F.lit(s).alias("side"), "c_custkey", "c_acctbal")
-    return one("top", F.desc("c_acctbal"), "c_custkey").unionAll(one("bottom", F.asc("c_acctbal"), "c_custkey"))
+    c = _stations(spark, d)
+    one = lambda s, *o: c.orderBy(*o).limit(5).select(F.lit(s).alias("side"), "station_id", "p")
+    return one("top", F.desc("p"), "station_id").unionAll(one("bottom", F.asc("p"), "station_id"))
 
 
 @R.query("SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_extendedprice - 2500 * l_quantity), 2) AS err FROM lineitem ORDER BY err DESC, l_orderkey, l_linenumber, l_partkey LIMIT 6")
@@ -372,9 +395,9 @@ def q_largest_errors(spark: S, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", e).orderBy(F.desc("err"), "l_orderkey", "l_linenumber", "l_partkey").limit(6)
 
 
-@R.query("SELECT l_suppkey, arg_max(l_orderkey, (l_extendedprice, -l_orderkey)) AS best_order, max(l_extendedprice) AS price FROM lineitem GROUP BY 1")
+@R.query(f"SELECT corridor_line, arg_min(station_id, (-p, station_id)) AS best_station, max(p) AS p FROM {_st('corridor_line')} GROUP BY 1")
 def q_argmax(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max_by("l_orderkey", F.struct("l_extendedprice", -F.col("l_orderkey"))).alias("best_order"), F.max("l_extendedprice").alias("price"))
+    return _stations(spark, d, "corridor_line").groupBy("corridor_line").agg(F.min_by("station_id", F.struct(-F.col("p"), "station_id")).alias("best_station"), F.max("p").alias("p"))
 
 
 @R.query("SELECT station_cmrl, max(date) AS date, arg_max(boardings, (date, fetched_at, obs_id)) AS boardings FROM fact_observed WHERE station_cmrl IS NOT NULL AND date IS NOT NULL AND boardings IS NOT NULL GROUP BY 1")
@@ -388,24 +411,25 @@ def q_search(spark: S, d: str) -> DataFrame:
     return table(spark, d, "station_names").where(F.lower("station").contains("gate")).select("ref_id", "station").orderBy("ref_id").limit(8)
 
 
-@R.query("SELECT c_custkey, abs(c_acctbal - 5000) AS gap FROM customer WHERE abs(c_acctbal - 5000) > 4500 ORDER BY gap DESC, c_custkey")
+@R.query(f"SELECT station_id, round(abs(p - 5000), 6) AS gap FROM {_st()} WHERE abs(p - 5000) > 4500 ORDER BY gap DESC, station_id")
 def q_threshold_sort(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", F.abs(F.col("c_acctbal") - 5000).alias("gap")).where("gap > 4500").orderBy(F.desc("gap"), "c_custkey")
+    return _stations(spark, d).select("station_id", F.round(F.abs(F.col("p") - 5000), 6).alias("gap")).where("gap > 4500").orderBy(F.desc("gap"), "station_id")
 
 
 # ---- joins
 
 
-@R.query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
+@R.query("SELECT obs_id, station_cmrl FROM fact_observed WHERE station_cmrl IN (SELECT alias FROM station_names UNION SELECT station FROM station_names)")
 def q_semi_join(spark: S, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(li, "o_orderkey", "left_semi")
+    n = table(spark, d, "station_names")
+    t = n.select(F.col("alias").alias("station_cmrl")).union(n.select("station"))
+    return table(spark, d, "fact_observed").select("obs_id", "station_cmrl").join(t, "station_cmrl", "left_semi")
 
 
-@R.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+@R.query("SELECT DISTINCT station_id FROM dim_station d WHERE station_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fact_prediction p WHERE p.station_id = d.station_id AND confidence = 'high')")
 def q_anti_join(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+    p = table(spark, d, "fact_prediction").where("confidence = 'high'").select("station_id")
+    return table(spark, d, "dim_station").where("station_id is not null").select("station_id").distinct().join(p, "station_id", "left_anti")
 
 
 @R.query("""WITH s AS (SELECT station_id, min(name) AS name, min(line) AS line FROM dim_station GROUP BY 1)
@@ -424,40 +448,36 @@ def q_star_rollup(spark: S, d: str) -> DataFrame:
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name", "customers", F.round("b", 2).alias("balance"))
 
 
-@R.query("""WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier), p AS (SELECT p_partkey, p_size FROM part)
-SELECT s_suppkey, coalesce((SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal > 9800),
-(SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9900), s_acctbal)::DECIMAL(18,4) AS position,
-CASE WHEN (SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal > 9800) IS NOT NULL THEN 'first'
-WHEN (SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9900) IS NOT NULL THEN 'second' ELSE 'third' END AS source FROM s""")
+@R.query("""WITH s AS (SELECT station_id, avg(latitude) FILTER (position_source = 'osm') AS a, avg(latitude) FILTER (position_source = 'wikipedia') AS b, min(latitude) AS c
+  FROM dim_station WHERE station_id IS NOT NULL AND NOT isnan(latitude) AND latitude BETWEEN 8 AND 23 GROUP BY 1)
+SELECT station_id, round(coalesce(a, b, c), 6) AS position, CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' ELSE 'third' END AS source FROM s""")
 def q_source_cascade(spark: S, d: str) -> DataFrame:
     """A value from the best source that has one, and which it was."""
-    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "s_nationkey")
-    b = F.col("c_acctbal")
-    found = c.groupBy("s_nationkey").agg(F.avg(F.when((F.col("c_mktsegment") == "BUILDING") & (b > 9800), b)).alias("x"), F.avg(F.when(b > 9900, b)).alias("y"))
-    s = table(spark, d, "supplier").join(found, "s_nationkey", "left")
-    return s.select("s_suppkey", F.coalesce("x", "y", "s_acctbal").cast("decimal(18,4)").alias("position"), F.when(F.col("x").isNotNull(), "first").when(F.col("y").isNotNull(), "second").otherwise("third").alias("source"))
+    v, of = F.col("latitude"), F.col("position_source")
+    s = table(spark, d, "dim_station").where("station_id is not null and latitude between 8 and 23")
+    f = s.groupBy("station_id").agg(F.avg(F.when(of == "osm", v)).alias("a"), F.avg(F.when(of == "wikipedia", v)).alias("b"), F.min(v).alias("c"))
+    return f.select("station_id", F.round(F.coalesce("a", "b", "c"), 6).alias("position"), F.when(F.col("a").isNotNull(), "first").when(F.col("b").isNotNull(), "second").otherwise("third").alias("source"))
 
 
-@R.query("""SELECT c.c_nationkey, a.c_custkey AS old_key, c.c_custkey AS new_key, round(c.c_acctbal - a.c_acctbal, 2) AS delta FROM customer a JOIN customer c ON a.c_nationkey = c.c_nationkey AND a.c_custkey + 25 = c.c_custkey""")
+@R.query(f"""{_RUNS} SELECT station_id, p AS published, n AS last_run, round(n - p, 4) AS delta FROM c JOIN {_st()} USING (station_id)""")
 def q_version_join(spark: S, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    a = c.select(F.col("c_custkey").alias("old_key"), "c_nationkey", F.col("c_acctbal").alias("b"), (F.col("c_custkey") + 25).alias("new_key"))
-    return a.join(c.withColumnRenamed("c_custkey", "new_key"), ["c_nationkey", "new_key"]).select("c_nationkey", "old_key", "new_key", F.round(F.col("c_acctbal") - F.col("b"), 2).alias("delta"))
+    """The published table against the last run."""
+    return _stations(spark, d).join(_runs(spark, d), "station_id").select("station_id", F.col("p").alias("published"), F.col("n").alias("last_run"), _r(F.col("n") - F.col("p")).alias("delta"))
 
 
 # ---- sets and reshaping
 
 
-@R.query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier")
+@R.query("SELECT pred_id::VARCHAR AS id, name, line, NULL AS layout FROM fact_prediction UNION ALL SELECT station_id, name, line, layout FROM dim_station")
 def q_union_by_name(spark: S, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return c.unionByName(s, allowMissingColumns=True)
+    p = table(spark, d, "fact_prediction").select(F.col("pred_id").cast("string").alias("id"), "name", "line")
+    s = table(spark, d, "dim_station").select(F.col("station_id").alias("id"), "name", "line", "layout")
+    return p.unionByName(s, allowMissingColumns=True)
 
 
-@R.query("SELECT p_brand, p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) = 1")
+@R.query("SELECT station_id, name, loaded_on FROM dim_station QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY loaded_on NULLS LAST, name NULLS LAST) = 1")
 def q_dedup_first(spark: S, d: str) -> DataFrame:
-    return T.first_by(table(spark, d, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand", "p_name"], F.asc("p_partkey"))
+    return T.first_by(table(spark, d, "dim_station").select("station_id", "name", "loaded_on"), ["station_id"], F.asc_nulls_last("loaded_on"), F.asc_nulls_last("name"))
 
 
 @R.query("SELECT DISTINCT station_id FROM fact_prediction WHERE station_id IS NOT NULL EXCEPT SELECT station_id FROM dim_station")
@@ -501,23 +521,26 @@ def q_pivot_hour_date(spark: S, d: str) -> DataFrame:
 
 
 @R.query("""SELECT d::DATE AS date, year(d) AS year, monthname(d) AS month, dayname(d) AS day_name, CASE WHEN isodow(d) < 6 THEN 'Weekday' ELSE 'Weekend' END AS day_type, weekofyear(d) AS iso_week
-FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE::TIMESTAMP, max(o_orderdate)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders)""")
+FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM fact_observed)""")
 def q_dim_date(spark: S, d: str) -> DataFrame:
-    return T.calendar(table(spark, d, "orders"), "o_orderdate")
+    return T.calendar(table(spark, d, "fact_observed"), "date")
 
 
-@R.query("SELECT s_suppkey, radius_m, round(32 * sin(2 * pi() / 64) * radius_m * radius_m, 4) AS buffer_area_m2 FROM supplier, (VALUES (400), (800), (1200)) r(radius_m)")
+@R.query("""SELECT station_id, radius_m::DOUBLE AS radius_m, round(32 * sin(2 * pi() / 64) * radius_m * radius_m, 4) AS buffer_area_m2
+FROM (SELECT DISTINCT station_id FROM dim_station WHERE latitude BETWEEN 8 AND 23 AND longitude BETWEEN 72 AND 88), (VALUES (400), (800), (1200)) r(radius_m)""")
 def q_station_radii(spark: S, d: str) -> DataFrame:
     """Each station with each catchment radius; the buffer is a 64-gon."""
-    s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, (400, 800, 1200)))).alias("radius_m"))
-    return s.withColumn("buffer_area_m2", F.round(32 * F.sin(2 * F.pi() / 64) * F.col("radius_m") * F.col("radius_m"), 4))
+    s = table(spark, d, "dim_station").where("latitude between 8 and 23 and longitude between 72 and 88").groupBy(F.col("station_id").alias("id")).agg(F.min("latitude").alias("lat"), F.min("longitude").alias("lon"))
+    x, y = G.utm(F.col("lat"), F.col("lon"), G.city_zone("bengaluru"))
+    out = G.catchment_circles(s.select("id", x.alias("x"), y.alias("y")), [400.0, 800.0, 1200.0])
+    return out.select(F.col("id").alias("station_id"), "radius_m", F.round("buffer_area_m2", 4).alias("buffer_area_m2"))
 
 
-@R.query("""SELECT p_partkey, round(p_retailprice, 4) AS base, round(p_retailprice * 1.2, 4) AS denser, round(p_retailprice + 5, 4) AS more_stops, 100.0 AS fixed FROM part""")
+@R.query(f"""SELECT station_id, round(p, 4) AS base, round(p * 1.2, 4) AS denser, round(p + 5, 4) AS more_stops, 100.0 AS fixed FROM {_st()}""")
 def q_scenarios(spark: S, d: str) -> DataFrame:
     """What-if variants of a column: multiply, add, set."""
-    p, v = table(spark, d, "part"), F.col("p_retailprice")
-    return p.select("p_partkey", _r(v).alias("base"), _r(v * 1.2).alias("denser"), _r(v + 5).alias("more_stops"), F.lit("100.0").cast("decimal(4,1)").alias("fixed"))
+    p, v = _stations(spark, d), F.col("p")
+    return p.select("station_id", _r(v).alias("base"), _r(v * 1.2).alias("denser"), _r(v + 5).alias("more_stops"), F.lit("100.0").cast("decimal(4,1)").alias("fixed"))
 
 
 @R.query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p, count(*) OVER (PARTITION BY user_id) AS k FROM c)

@@ -8,9 +8,11 @@ executor costs a re-read and never a recomputation of the whole lineage.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,21 +48,44 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+#: Tables that ``cut`` has written since the last mark, in order.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     if path.startswith(("file:", "/")):
         atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``cut`` has written. Call it when no result of a query is still to be read; the end of the session does it for local and mounted folders."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quaymill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on any file system, the tables that ``cut`` writes inside the block: read or write a query's result before the block ends."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        mine = _written[mark:]
+        del _written[mark:]
+        _delete(spark, mine)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` has written in this folder. Call it when no result of a query is still to be read; the end of the session does it for local and mounted folders."""
+    _written.clear()
+    _delete(spark, [f"{shared_dir(spark)}/quaymill"])
 
 
 def attach(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -505,3 +505,16 @@ def test_calibration_and_target(spark):
     assert sorted(tuple(r) for r in L.with_target(frame, "name", target, "station", ["y", "is_mature"], "y").select("id", "y").collect()) == [(1, 5.0), (2, None), (3, None)]
     with pytest.raises(ValueError, match="no name"):
         L.with_target(frame, "name", target.where("station is null"), "station", ["y", "is_mature"], "y")
+
+
+def test_written_steps_are_deleted(spark):
+    from pathlib import Path
+
+    from quaymill.session import cut, shared_dir, steps
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "quaymill"
+    outer = cut(spark.range(3), "outer")
+    before = {p.name for p in folder.iterdir()}
+    with steps(spark):
+        assert cut(spark.range(5), "inner").count() == 5 and len({p.name for p in folder.iterdir()}) == len(before) + 1
+    assert {p.name for p in folder.iterdir()} == before and outer.count() == 3

@@ -325,3 +325,33 @@ def test_osm_ways_relations_and_layers(spark, tmp_path):
 def test_rings_from_pieces():
     assert geo._rings([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 0)], [(5, 5), (6, 6)]])[0][0] in {(0, 0), (1, 0), (1, 1)}
     assert geo._rings([[(0, 0), (1, 0), (1, 1), (0, 0)]]) == [[(0, 0), (1, 0), (1, 1), (0, 0)]] and geo._rings([]) == []
+
+
+def test_daily_steps(tmp_path):
+    from quaymill.streaming.daily import run_steps
+
+    ran = []
+
+    def fails():
+        print("asked")
+        raise OSError("no answer")
+
+    steps = {"fetch": fails, "merge": lambda: ran.append(1)}
+    for _ in range(3):
+        assert run_steps(steps, tmp_path / "logs" / "daily.log") == {"fetch": "OSError: no answer", "merge": "done"}
+    text = (tmp_path / "logs" / "daily.log").read_text()
+    assert len(ran) == 3 and text.count("=====\n") == 3 and "asked" in text and text.rstrip().endswith("done")
+    run_steps(steps, tmp_path / "logs" / "daily.log", most=100, lines=5)
+    assert len((tmp_path / "logs" / "daily.log").read_text().splitlines()) == 5
+
+
+def test_sheet_names_and_limits(spark, tmp_path, monkeypatch):
+    from quaymill.sources import sinks
+
+    long = "predictions of the second phase "
+    names = sinks._sheet_names([long + "a", long + "b", "a/b", "A:B", ""])
+    assert len({n.lower() for n in names}) == 5 and all(0 < len(n) <= 31 for n in names) and names[1].endswith(" 2")
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        sinks.write_workbook({"x": spark.range(3)}, str(tmp_path / "a.xlsx"))
+    assert not (tmp_path / "a.xlsx").exists()
