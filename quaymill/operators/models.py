@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +167,7 @@ def negative_binomial(df: DataFrame, features: list[str], target: str) -> tuple[
 
 
 def regressor(kind: str, seed: int = 42, trees: int = 500, weight: str | None = None):
-    """'linear', 'elastic_net', 'random_forest' or 'boosting' on a vector column ``features`` and ``label``; the trees take weighted rows."""
+    """'linear', 'random_forest' or 'boosting' on a vector column ``features`` and ``label``; the trees take weighted rows."""
     weighed = {"weightCol": weight} if weight else {}
     if kind == "random_forest":
         return RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, **weighed)
@@ -175,13 +175,86 @@ def regressor(kind: str, seed: int = 42, trees: int = 500, weight: str | None =
         return GBTRegressor(maxIter=max(1, trees * 3 // 5), stepSize=0.05, maxDepth=2, subsamplingRate=0.8, seed=seed, **weighed)
     if kind == "linear":
         return LinearRegression(solver="normal")
-    lr = LinearRegression(maxIter=200)
-    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, [0.1, 0.3, 0.5, 0.7, 0.9, 1.0]).addGrid(lr.regParam, [0.01, 0.1, 1.0]).build()
-    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=5, seed=seed)
+    raise ValueError(f"unknown kind of model: {kind}")
+
+
+@dataclass(frozen=True)
+class NetModel:
+    """An elastic net: coefficients on the raw scale (intercept first) and the penalty that was chosen."""
+
+    features: list[str]
+    beta: np.ndarray
+    penalty: tuple[float, float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", linear(self.beta, self.features))
+
+
+#: Strengths and shares of absolute values that are tried.
+NET_STRENGTHS, NET_SHARES = (0.001, 0.01, 0.1, 1.0), (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
+
+
+def fold_sums(df: DataFrame, features: list[str], target: str, folds: int, seed: int = 42) -> np.ndarray:
+    """Sums of products (a constant first, log1p of the target last) of the rows of each fold, in one pass. Equal rows share a fold, so that
+    none is judged by its copy."""
+    k = len(features) + 2
+
+    def partial(batches):
+        total = np.zeros((folds, k, k))
+        for b in batches:
+            a = np.column_stack([np.ones(len(b)), b.drop(columns="fold").to_numpy(float)])
+            for f in range(folds):
+                part = a[(b["fold"] == f).to_numpy()]
+                total[f] += part.T @ part
+        yield pd.DataFrame({"fold": range(folds), "sums": [t.ravel().tolist() for t in total]})
+
+    cols = [*(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)), F.log1p(F.col(target).cast("double")).alias("y")]
+    rows = df.select(*cols).withColumn("fold", F.pmod(F.xxhash64(*(f"f{i}" for i in range(len(features))), "y", F.lit(seed)), F.lit(folds)).cast("int"))
+    sums = rows.mapInPandas(partial, "fold int, sums array<double>").select("fold", F.posexplode("sums").alias("pos", "s")).groupBy("fold", "pos").agg(F.sum("s").alias("s")).collect()  # folds x features squared
+    out = np.zeros((folds, k * k))
+    for r in sums:
+        out[r["fold"], r["pos"]] = r["s"]
+    return out.reshape(folds, k, k)
+
+
+def elastic_net(df: DataFrame, features: list[str], target: str, folds: int = 5, seed: int = 42) -> NetModel:
+    """The elastic net on log1p of the target whose penalty predicts left-out folds best. One pass over the rows; all fits are on sums."""
+    g = fold_sums(df, features, target, folds, seed)
+    total = g.sum(0)
+    used = [f for f in range(folds) if 0 < g[f, 0, 0] < total[0, 0]]
+
+    def error(penalty: tuple[float, float]) -> float:
+        out = 0.0
+        for f in used:
+            b = np.r_[_shrunk(total - g[f], *penalty), -1.0]
+            out += float(b @ g[f] @ b)
+        return out
+
+    penalty = min(product(NET_STRENGTHS, NET_SHARES), key=error)
+    return NetModel(features, _shrunk(total, *penalty), penalty)
+
+
+def net_left_out(df: DataFrame, key: str, features: list[str], target: str) -> DataFrame:
+    """``df`` with ``predicted``, each row's value from the elastic net of all others, at the penalty chosen for all: two passes, the second
+    refits for each row on the sums without it."""
+    model = elastic_net(df, features, target)
+    total = fold_sums(df, features, target, 1)[0]
+    k = len(features)
+
+    def refit(batches):
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), b[[f"f{i}" for i in range(k)] + ["y"]].to_numpy(float)])
+            yield pd.DataFrame({"key": b["key"], "predicted": [max(0.0, float(np.expm1(r[:-1] @ _shrunk(total - np.outer(r, r), *model.penalty)))) for r in x]})
+
+    rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)), F.log1p(F.col(target).cast("double")).alias("y"))
+    found = rows.mapInPandas(refit, f"key {dict(df.dtypes)[key]}, predicted double")
+    return df.join(found.withColumnRenamed("key", key), key)
 
 
 def fitted(df: DataFrame, features: list[str], target: str, kind: str, **how):
-    """A pipeline model from raw features to ``prediction`` of log1p of the target."""
+    """A model from raw features to ``prediction`` of log1p of the target: 'linear', 'elastic_net', 'random_forest' or 'boosting'."""
+    if kind == "elastic_net":
+        return elastic_net(df, features, target, **how)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), scaler, regressor(kind, **how)])
     return pipe.fit(df.withColumn("label", F.log1p(F.col(target))))
@@ -207,10 +280,15 @@ def cross_validated(df: DataFrame, key: str, features: list[str], target: str, k
 
 def model_table(df: DataFrame, key: str, features: list[str], target: str, kinds: list[str], folds: int | None = 5, **how) -> DataFrame:
     """Held-out metrics of each kind of model: ``model, n, r2, mae, rmse, mape, spearman``. ``folds`` None leaves each row out once
-    for all kinds; the linear kind always does, by its leverages."""
+    for all kinds; the linear kind and the elastic net always do, from sums of products."""
     out: DataFrame | None = None
     for kind in kinds:
-        p = leave_one_out(df, features, target) if kind == "linear" else cross_validated(df, key, features, target, kind, folds, **({} if kind == "elastic_net" else how))
+        if kind == "linear":
+            p = leave_one_out(df, features, target)
+        elif kind == "elastic_net":
+            p = net_left_out(df, key, features, target)
+        else:
+            p = cross_validated(df, key, features, target, kind, folds, **how)
         m = fit_metrics(p, target, "predicted").select(F.lit(kind).alias("model"), "*")
         out = m if out is None else out.unionByName(m)
     return out
@@ -376,8 +454,7 @@ def run(train: DataFrame, rows: DataFrame, key: str, features: list[str], target
     settings = {} if best in ("linear", "elastic_net") else how
     model = fitted(home, kept, target, best, **settings)
     if best == "elastic_net":
-        chosen = model.stages[-1].bestModel
-        settings = {"penalty": (float(chosen.getRegParam()), float(chosen.getElasticNetParam()))}
+        settings = {"penalty": model.penalty}
     bounds = bootstrap_intervals(home, target, kept, away, key, replicates, kind=best, **settings).drop("prediction")
     out = predicted(model, away).select(key, "predicted").join(bounds, key)
     return metrics.withColumn("chosen", F.col("model") == best), out

@@ -518,3 +518,25 @@ def test_written_steps_are_deleted(spark):
     with steps(spark):
         assert cut(spark.range(5), "inner").count() == 5 and len({p.name for p in folder.iterdir()}) == len(before) + 1
     assert {p.name for p in folder.iterdir()} == before and outer.count() == 3
+
+
+def test_elastic_net(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(0, 1, (150, 4))
+    y = np.expm1(4 + 0.8 * x[:, 0] + 0.3 * x[:, 1] + rnd.normal(0, 0.2, 150))
+    t = spark.createDataFrame(pd.DataFrame({"id": range(150), **{f"x{i}": x[:, i] for i in range(4)}, "y": y}))
+    cols = [f"x{i}" for i in range(4)]
+    a = np.column_stack([np.ones(150), x, np.log1p(y)])
+    g = a.T @ a
+    assert np.allclose(L._shrunk(g, 0.0, 0.5, 5000), np.linalg.lstsq(a[:, :-1], a[:, -1], rcond=None)[0], atol=1e-6)  # no penalty: least squares
+    z = (x - x.mean(0)) / x.std(0)
+    v = a[:, -1] - a[:, -1].mean()
+    b = L._shrunk(g, 0.2, 0.5)[1:] * x.std(0)
+    slope = z.T @ (v - z @ b) / 150 - 0.2 * 0.5 * b  # the gradient is the penalty's where a coefficient lives, and within it elsewhere
+    assert np.allclose(slope[b != 0], 0.1 * np.sign(b[b != 0]), atol=1e-6) and np.all(np.abs(slope[b == 0]) <= 0.1 + 1e-9)
+    m = L.elastic_net(t, cols, "y")
+    assert m.beta[1] == pytest.approx(0.8, abs=0.1) and abs(m.beta[3]) < 0.06 and m.penalty[0] < 1
+    out = {r["id"]: r["predicted"] for r in L.net_left_out(t, "id", cols, "y").collect()}
+    i = 17
+    rest = np.delete(a, i, 0)
+    assert out[i] == pytest.approx(np.expm1(a[i, :-1] @ L._shrunk(rest.T @ rest, *m.penalty)), rel=1e-6) and len(out) == 150
