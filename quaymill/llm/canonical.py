@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymill.session import attach, cut
+from quaymill.session import BROADCAST_ROWS, attach, cut
 
 #: Letter changes that leave the meaning.
 CHANGES = 2
 #: Letters of a token.
 GRAM = 2
+#: Letters of the list's names, if all were as long as the longest, up to which the list is broadcast.
+BROADCAST_LETTERS = 5_000_000
 #: Words that make a name another place, with their short forms; the default of ``Wording``.
 QUALIFIERS = {
     "north": "north", "n": "north", "south": "south", "s": "south", "east": "east", "e": "east", "west": "west", "w": "west",
@@ -141,7 +143,9 @@ def map_to_canonical(entries: DataFrame, entry: str, canon: DataFrame, ref: str,
     )
     rarity = cut(left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens"))).groupBy("token").agg(F.count("*").alias("freq")), "rarity")
     rare_rows = rarity.count()
+    # rows as ``attach`` counts them: names of great length count as too many
     rights = right.count()
+    rights = rights if rights * longest <= BROADCAST_LETTERS else BROADCAST_ROWS + 1
 
     def keys(side: DataFrame) -> DataFrame:
         short = side.select("id", F.lit(0).alias("place"), F.explode("short").alias("token"))
