@@ -77,3 +77,15 @@ def test_blanks_after_most_letters(spark):
     names = spark.createDataFrame([*NAMES, (12, "Sivinwesen", None), (13, "Sivinwesen 2", None)], "ref_id int, station string, alias string")
     got = {r["entry"]: r["ref_id"] for r in map_to_canonical(entries, "entry", names, "ref_id", ["station", "alias"]).collect()}
     assert got == dict(cases)
+
+
+def test_wording_is_an_argument(spark):
+    import re
+
+    from quaymill.llm.canonical import Wording
+
+    cities = Wording(qualifiers={"upper": "upper", "up": "upper", "lower": "lower"}, doubtful=frozenset(), dropped=frozenset({"city", "of"}), notes=re.compile(r"\(\w\w\)"))
+    names = spark.createDataFrame([(1, "Upper Norwood"), (2, "Lower Norwood"), (3, "Bexley")], "id int, name string")
+    said = spark.createDataFrame([("City of Bexley (UK)",), ("Up. Norwod",), ("Norwood",), ("Lower Norwood",), (None,), ("North Bexley",)], "e string")
+    got = {r["e"]: r["id"] for r in map_to_canonical(said, "e", names, "id", ["name"], cities).collect()}
+    assert got == {"City of Bexley (UK)": 3, "Up. Norwod": 1, "Norwood": -1, "Lower Norwood": 2, "North Bexley": -1}
