@@ -13,15 +13,19 @@ from quaymill.session import attach, cut
 
 #: Similarity of two records whose difference is the limit; clusters of a lower mean similarity stay apart.
 THRESHOLD = 0.5
-#: Different records of a cell up to which each is a node of its own where the cell's surroundings aren't clear.
-CROWD = 256
-#: Beyond it records within this share of the limits are one node.
-GRAIN = 4
+#: Most rows of a side that is broadcast; they have up to twenty columns, and some five such sides are held at a time.
+SIDE_ROWS = 20_000
 #: Rounds whose merges are applied to the records at once.
 FOLD = 4
 _SLACK = 1 + 1e-9
 
 
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, whose rows were counted, as the smaller side of a join: broadcast up to ``SIDE_ROWS``, never beyond. Without a hint the planner
+    goes by the size of the files, which neither tells what their rows are in memory nor what an explode makes of them."""
+    return attach(df, rows, SIDE_ROWS) if rows <= SIDE_ROWS else df.hint("merge")
+
+
 def _points(df: DataFrame, key: str, features: dict[str, float], usable) -> DataFrame:
     cols = [f"x{i}" for i in range(len(features))]
     rows = df.where(usable).select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(a) for c, a in zip(features, cols)))
@@ -35,14 +39,14 @@ def _ahead(d: int) -> Column:
     return F.array(*(F.struct(*(F.lit(v).cast("bigint").alias(f"o{i}") for i, v in enumerate(o))) for o in product((-1, 0, 1), repeat=d) if o > (0,) * d))
 
 
-def _beside(left: DataFrame, right: DataFrame, cell: list[str], carried: list[str], own: bool) -> DataFrame:
-    """Rows ``a_<c>, b_<c>`` of each two neighbouring cells, of one cell too if ``own``."""
-    moved = left.select(*cell, *(F.col(c).alias(f"a_{c}") for c in carried)).withColumn("o", F.explode(_ahead(len(cell))))
+def _beside(rows: DataFrame, n: int, cell: list[str], carried: list[str], own: bool) -> DataFrame:
+    """Rows ``a_<c>, b_<c>`` of each two of the ``n`` rows in neighbouring cells, in one cell too if ``own``."""
+    moved = rows.select(*cell, *(F.col(c).alias(f"a_{c}") for c in carried)).withColumn("o", F.explode(_ahead(len(cell))))
     moved = moved.select(*(F.col(f"a_{c}") for c in carried), *((F.col(c) + F.col(f"o.o{i}")).alias(c) for i, c in enumerate(cell)))
-    there = right.select(*cell, *(F.col(c).alias(f"b_{c}") for c in carried))
+    there = _side(rows.select(*cell, *(F.col(c).alias(f"b_{c}") for c in carried)), n)
     out = moved.join(there, cell)
     if own:
-        out = out.unionByName(left.select(*cell, *(F.col(c).alias(f"a_{c}") for c in carried)).join(there, cell).where("a_id < b_id"))
+        out = out.unionByName(rows.select(*cell, *(F.col(c).alias(f"a_{c}") for c in carried)).join(there, cell).where("a_id < b_id"))
     return out.drop(*cell)
 
 
@@ -60,8 +64,9 @@ def _graph(points: DataFrame, limits: list[float]) -> tuple[DataFrame, DataFrame
     box = [f(f"x{i}").alias(f"{a}{i}") for i in range(d) for a, f in (("lo", F.min), ("hi", F.max), ("s", F.sum))]
     box += [F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(d)]
     cells = cut(points.groupBy(*cell).agg(F.min("key").alias("id"), F.count("*").alias("n"), *box), "cells")
+    n = cells.count()
     carried = ["id", "n", *(f"{a}{i}" for i in range(d) for a in ("lo", "hi", "s", "q"))]
-    near = _beside(cells, cells, cell, carried, False)
+    near = _beside(cells, n, cell, carried, False)
     gap = [F.greatest(F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}")) <= t * _SLACK for i, t in enumerate(limits)]
     links = cut(near.where(reduce(lambda p, c: p & c, gap)), "links")
 
@@ -73,33 +78,31 @@ def _graph(points: DataFrame, limits: list[float]) -> tuple[DataFrame, DataFrame
     sets = ends("a", "b").union(ends("b", "a")).union(own).groupBy("id").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("other")).alias("h"), F.min("other").alias("least"), *around)
     fits = reduce(lambda p, c: p & c, (F.col(f"hi{i}") - F.col(f"lo{i}") <= t * _SLACK for i, t in enumerate(limits)))
     sets = cut(sets.select("id", F.struct("k", "h", "least").alias("set"), fits.alias("fits")), "sets")
-    pairs = links.select("a_id", "b_id").join(sets.select(F.col("id").alias("a_id"), F.col("set").alias("sa")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("set").alias("sb")), "b_id").where("sa <> sb")
+    pairs = links.select("a_id", "b_id").join(_side(sets.select(F.col("id").alias("a_id"), F.col("set").alias("sa")), n), "a_id").join(_side(sets.select(F.col("id").alias("b_id"), F.col("set").alias("sb")), n), "b_id").where("sa <> sb")
     blurred = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).union(sets.where("not fits").select("id")).distinct()
-    clear = cut(sets.select("id").join(blurred.withColumn("blurred", F.lit(True)), "id", "left").select("id", F.col("blurred").isNull().alias("clear")), "clear")
+    clear = cut(sets.select("id").join(_side(blurred.withColumn("blurred", F.lit(True)), n), "id", "left").select("id", F.col("blurred").isNull().alias("clear")), "clear")
 
-    cells = cells.join(clear, "id")
+    cells = cells.join(_side(clear, n), "id")
     means = [(F.col(f"a_q{i}") / F.col("a_n") + F.col(f"b_q{i}") / F.col("b_n") - 2 * F.col(f"a_s{i}") * F.col(f"b_s{i}") / (F.col("a_n") * F.col("b_n"))) / (t * t) for i, t in enumerate(limits)]
     mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(*means) if d > 1 else means[0]))
-    whole = links.join(clear.where("clear").select(F.col("id").alias("a_id")), "a_id", "left_semi")
+    whole = links.join(_side(clear.where("clear").select(F.col("id").alias("a_id")), n), "a_id", "left_semi")
     whole = whole.select("a_id", "b_id", F.col("a_n").alias("na"), F.col("b_n").alias("nb"), (F.col("a_n") * F.col("b_n") * (1 - (1 - THRESHOLD) * mean)).alias("w"))
 
-    placed = points.join(cells.select(*cell, F.col("id").alias("cell_id"), "clear"), cell)
-    rest = placed.where("not clear").drop("clear")
-    kinds = rest.groupBy("cell_id").agg(F.count_distinct(F.xxhash64(*(f"x{i}" for i in range(d)))).alias("kinds"))
-    rest = rest.join(kinds, "cell_id")
-    spot = [F.when(F.col("kinds") > CROWD, F.floor(F.col(f"x{i}") / t * GRAIN).cast("double")).otherwise(F.col(f"x{i}")).alias(f"g{i}") for i, t in enumerate(limits)]
-    rest = rest.select("key", "cell_id", *(f"x{i}" for i in range(d)), *spot)
-    grain = ["cell_id", *(f"g{i}" for i in range(d))]
-    nodes = cut(rest.groupBy(*grain).agg(F.min("key").alias("id"), F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"x{i}") for i in range(d))), "places")
+    placed = points.join(_side(cells.select(*cell, F.col("id").alias("cell_id"), "clear"), n), cell)
+    rest = placed.where("not clear").select("key", *(f"x{i}" for i in range(d)))
+    # each different place is a node, however many there are
+    place = [f"x{i}" for i in range(d)]
+    nodes = cut(rest.groupBy(*place).agg(F.min("key").alias("id"), F.count("*").alias("n")), "places")
+    m = nodes.count()
     wide = nodes.withColumns({f"w{i}": F.floor(F.col(f"x{i}") / (t / (1 - THRESHOLD) ** 0.5 * _SLACK)) for i, t in enumerate(limits)})
-    close = _beside(wide, wide, [f"w{i}" for i in range(d)], ["id", "n", *(f"x{i}" for i in range(d))], True).withColumn("s", _similarity(d, limits)).where("s > 0")
+    close = _beside(wide, m, [f"w{i}" for i in range(d)], ["id", "n", *place], True).withColumn("s", _similarity(d, limits)).where("s > 0")
     close = close.select("a_id", "b_id", F.col("a_n").alias("na"), F.col("b_n").alias("nb"), (F.col("s") * F.col("a_n") * F.col("b_n")).alias("w"))
     both = whole.unionByName(close)
     turn = F.col("a_id") > F.col("b_id")
     edges = both.select(
         F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"), "w"
     )
-    first = placed.where("clear").select("key", F.col("cell_id").alias("id")).unionByName(rest.join(nodes.select(*grain, "id"), grain).select("key", "id"))
+    first = placed.where("clear").select("key", F.col("cell_id").alias("id")).unionByName(rest.join(_side(nodes.select(*place, "id"), m), place).select("key", "id"))
     return first, edges
 
 
@@ -116,26 +119,26 @@ def cluster(df: DataFrame, key: str, features: dict[str, float], usable=None) ->
     Records of a grid cell of the limits' size start as one node where that can't change the result: if all records
     around that may be alike to them are within the limits of each other, and of no others, any order of merges ends with
     all of them together. So the result doesn't depend on where the grid starts. Elsewhere each different record is a
-    node; only in cells with more than ``CROWD`` of them those within a quarter of the limits are one, at their mean.
+    node, whatever their number: the edges there grow with the pairs of different records within 1.41 limits.
 
     ``cluster`` is the smallest key of the members; records alike to none are their own. Rows with a null key or a null
-    or NaN feature take no part; of rows with one key the smallest values count. Ties go to the smaller keys. An empty table
-    gives no cluster. Infinite values are not expected.
+    or NaN feature take no part; of rows with one key the smallest values count. Ties go by a hash of the two clusters' keys, as an order
+    along the keys would merge a chain of equal steps one pair a round. An empty table gives no cluster. Infinite values are not expected.
     """
     d = len(features)
     points = cut(_points(df, key, features, F.lit(True) if usable is None else usable), "points")
     home, live = _graph(points, list(features.values()))
     home, live = cut(home, "home"), cut(live, "edges")
-    pending: list[DataFrame] = []
+    pending: list[tuple[DataFrame, int]] = []
 
     def folded(start: DataFrame) -> DataFrame:
-        for m in pending:
-            start = start.join(attach(m.select("id", "to").where("id <> to")), "id", "left").withColumn("id", F.coalesce("to", "id")).drop("to")
+        for m, k in pending:
+            start = start.join(_side(m.select("id", "to").where("id <> to"), k), "id", "left").withColumn("id", F.coalesce("to", "id")).drop("to")
         return start
 
     while True:
         mean = F.round(F.col("w") / (F.col("na") * F.col("nb")), 12)
-        rank = F.struct((-mean).alias("s"), "a", "b")
+        rank = F.struct((-mean).alias("s"), F.xxhash64("a", "b").alias("h"), "a", "b")
         able = live.where(mean >= THRESHOLD - 1e-9)
         best = able.select(F.col("a").alias("id"), rank.alias("e"), "na", "nb").union(able.select("b", rank, "na", "nb")).groupBy("id").agg(F.min(F.struct("e", "na", "nb")).alias("m"))
         mutual = best.groupBy("m").agg(F.count("*").alias("k")).where("k = 2").select(F.explode(F.array("m.e.a", "m.e.b")).alias("id"), F.col("m.e.a").alias("to"), (F.col("m.na") + F.col("m.nb")).alias("n"))
@@ -143,16 +146,15 @@ def cluster(df: DataFrame, key: str, features: dict[str, float], usable=None) ->
         n = merges.count()
         if not n:
             break
-        pending.append(merges)
+        pending.append((merges, n))
         if len(pending) == FOLD:
             home, pending = cut(folded(home), "home"), []
-        to = attach(merges, n)
-        a, b = (to.select(F.col("id").alias(e), F.col("to").alias(f"t{e}"), F.col("n").alias(f"m{e}")) for e in "ab")
+        a, b = (_side(merges.select(F.col("id").alias(e), F.col("to").alias(f"t{e}"), F.col("n").alias(f"m{e}")), n) for e in "ab")
         turned = live.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), F.coalesce("ma", "na").alias("na"), F.coalesce("mb", "nb").alias("nb"), "w").where("a <> b")
         swap = F.col("a") > F.col("b")
         turned = turned.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), "w")
         live = cut(turned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("w").alias("w")), "edges")
-    return points.join(folded(home), "key").select("key", F.col("id").alias("cluster"), *(f"x{i}" for i in range(d))), points
+    return points.join(folded(home).hint("merge"), "key").select("key", F.col("id").alias("cluster"), *(f"x{i}" for i in range(d))), points
 
 
 def describe(members: DataFrame, limits: list[float], typical: int = 3) -> DataFrame:

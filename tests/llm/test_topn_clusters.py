@@ -113,6 +113,21 @@ def test_crowded_chains_of_records(spark):
     assert members.count() == 3000 and max(spans) < 20 and 2 <= len(spans) <= 6
 
 
+def test_clusters_broadcast_no_side_beyond_the_limit(spark, monkeypatch):
+    """Not even where the files of a step are small."""
+    from quaymill.llm import clusters
+
+    monkeypatch.setattr(clusters, "SIDE_ROWS", 0, raising=False)
+    monkeypatch.setattr(clusters, "cut", lambda df, name="step", real=clusters.cut: (plans.append((name, df._jdf.queryExecution().executedPlan().toString(), df)), real(df, name))[1])
+    plans: list = []
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(f"k{i:03d}", rnd.uniform(0, 300), rnd.uniform(0, 9)) for i in range(200)], "id string, a double, b double")
+    members, _ = cluster(df, "id", LIMITS)
+    assert members.count() == 200
+    wide = [name for name, plan, _ in plans if "BroadcastExchange" in plan]
+    assert not wide and "BroadcastExchange" not in members._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clusters_of_nothing(spark):
     members, _ = cluster(spark.createDataFrame([], "id string, a double, b double"), "id", LIMITS)
     assert members.count() == 0 and describe(members, [10.0, 1.0]).count() == 0
