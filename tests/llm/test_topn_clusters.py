@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,37 @@ def test_crowded_chains_of_records(spark):
     assert members.count() == 3000 and max(spans) < 20 and 2 <= len(spans) <= 6
 
 
+def _linkage_of_many(points, limits):
+    """``_average_linkage`` on a matrix of sums."""
+    x = np.array([p[1:] for p in points]) / np.array(list(limits))
+    w = np.maximum(0, 1 - 0.5 * np.abs(x[:, None] - x[None]).max(2) ** 2)
+    np.fill_diagonal(w, -1)
+    n, least, live = np.ones(len(x)), [p[0] for p in points], np.arange(len(x))
+    groups = {i: [i] for i in live}
+    while len(live) > 1:
+        mean = w[np.ix_(live, live)] / np.outer(n[live], n[live])
+        i, j = live[list(np.unravel_index(mean.argmax(), mean.shape))]
+        if mean.max() < 0.5:
+            break
+        w[i] += w[j]
+        w[:, i] = w[i]
+        w[i, i] = -1e9
+        n[i] += n[j]
+        groups[i] += groups.pop(j)
+        live = live[live != j]
+    return sorted((least[k], min(least[m] for m in g)) for g in groups.values() for k in g)
+
+
+@pytest.mark.parametrize("n", [200, 600])
+def test_clusters_are_exact_however_crowded_a_cell_is(spark, n):
+    rnd = random.Random(n)
+    points = [(f"k{i:04d}", rnd.uniform(0, 9.99), rnd.uniform(0, 0.99)) for i in range(n)] + [(f"m{i:03d}", rnd.uniform(10, 26), rnd.uniform(-1, 2)) for i in range(60)]
+    want = _linkage_of_many(points, LIMITS.values())
+    assert len({c for _, c in want}) > 2
+    df = spark.createDataFrame(points, "id string, a double, b double")
+    assert sorted((r["key"], r["cluster"]) for r in cluster(df, "id", LIMITS)[0].collect()) == want
+
+
 def test_clusters_broadcast_no_side_beyond_the_limit(spark, monkeypatch):
     """Not even where the files of a step are small."""
     from quaymill.llm import clusters
