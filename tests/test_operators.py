@@ -540,3 +540,27 @@ def test_elastic_net(spark):
     i = 17
     rest = np.delete(a, i, 0)
     assert out[i] == pytest.approx(np.expm1(a[i, :-1] @ L._shrunk(rest.T @ rest, *m.penalty)), rel=1e-6) and len(out) == 150
+
+
+def test_left_out_trees(spark):
+    """All folds in a few jobs, whatever the rounds; fits that don't see the row, and learn what is there."""
+    from quaymill.operators import trees
+
+    rnd = np.random.default_rng(4)
+    a, b = rnd.uniform(0, 10, 400), rnd.uniform(0, 10, 400)
+    y = np.expm1(3 + np.where(a > 4, 1.0, 0.0) + 0.1 * b + rnd.normal(0, 0.05, 400))
+    t = spark.createDataFrame(pd.DataFrame({"id": range(400), "a": a, "b": b, "y": y}))
+    spark.sparkContext.setJobGroup("left-out", "")
+    got = {k: {r["id"]: r["predicted"] for r in L.cross_validated(t, "id", ["a", "b"], "y", k, 3, trees=60).collect()} for k in ("boosting", "random_forest")}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("left-out")) < 60
+    spark.sparkContext.setJobGroup("", "")
+    for p in got.values():
+        assert len(p) == 400 and 1 - sum((p[i] - y[i]) ** 2 for i in range(400)) / (400 * y.var()) > 0.8
+    other = t.withColumn("y", F.when(F.col("id") == 5, 1e6).otherwise(F.col("y")))
+    assert {r["id"]: r["predicted"] for r in L.cross_validated(other, "id", ["a", "b"], "y", "boosting", 3, trees=60).collect()}[5] == pytest.approx(got["boosting"][5])
+    x, v, w = rnd.integers(0, 9, (2, 80)).astype(np.uint8), rnd.normal(0, 1, 80), rnd.integers(0, 3, 80).astype(float)
+    mean = lambda on: (w * v)[on].sum() / w[on].sum()
+    loss = {(j, c): sum((w[on] * (v[on] - mean(on)) ** 2).sum() for on in (x[j] <= c, x[j] > c)) for j in range(2) for c in range(8) if min(w[x[j] <= c].sum(), w[x[j] > c].sum()) >= 3}
+    feature, bins, value = trees.grow(x, v, w, 1, 3, 2, rnd)
+    j, c = min(loss, key=loss.get)
+    assert loss[feature[0], bins[0]] == pytest.approx(loss[j, c]) and value[1] == pytest.approx(mean(x[feature[0]] <= bins[0]))
