@@ -564,3 +564,13 @@ def test_left_out_trees(spark):
     feature, bins, value = trees.grow(x, v, w, 1, 3, 2, rnd)
     j, c = min(loss, key=loss.get)
     assert loss[feature[0], bins[0]] == pytest.approx(loss[j, c]) and value[1] == pytest.approx(mean(x[feature[0]] <= bins[0]))
+
+
+def test_many_nets_are_those_of_one_at_a_time():
+    rnd = np.random.default_rng(3)
+    x = np.column_stack([np.ones(30), rnd.normal(0, 1, (30, 3)), np.full(30, 2.0), rnd.normal(0, 1, 30)])
+    x[:, 2] += x[:, 1]
+    x[:, -1] += x[:, 1]
+    many = (x.T @ x)[None] - x[:, :, None] * x[:, None, :]
+    for penalty in ((0.001, 0.1), (0.1, 0.5), (1.0, 1.0)):
+        assert np.allclose(L._shrunk_many(many, *penalty), [L._shrunk(g, *penalty) for g in many], rtol=1e-9, atol=1e-9)
