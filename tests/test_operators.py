@@ -574,3 +574,41 @@ def test_many_nets_are_those_of_one_at_a_time():
     many = (x.T @ x)[None] - x[:, :, None] * x[:, None, :]
     for penalty in ((0.001, 0.1), (0.1, 0.5), (1.0, 1.0)):
         assert np.allclose(L._shrunk_many(many, *penalty), [L._shrunk(g, *penalty) for g in many], rtol=1e-9, atol=1e-9)
+
+
+def _betweenness_by_definition(n, e):
+    """Of each node the share of the shortest paths between others that it is on, and its scaled closeness, from all pairs."""
+    d, k = np.full((n, n), np.inf), np.zeros((n, n))
+    np.fill_diagonal(d, 0)
+    near = {}
+    for a, b, w in e:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+        d[a, b] = d[b, a] = w
+    for m in range(n):
+        d = np.minimum(d, d[:, m : m + 1] + d[m : m + 1])
+    for s in range(n):
+        k[s, s] = 1
+        for t in np.argsort(d[s]):
+            if t != s and np.isfinite(d[s, t]):
+                k[s, t] = sum(k[s, p] for p, w in near[t] if abs(d[s, p] + w - d[s, t]) < 1e-9)
+    out = {v: sum(k[s, v] * k[v, t] / k[s, t] for s in range(n) for t in range(n) if len({s, v, t}) == 3 and np.isfinite(d[s, t]) and abs(d[s, v] + d[v, t] - d[s, t]) < 1e-9) / ((n - 1) * (n - 2)) for v in range(n)}
+    far = {v: d[v][np.isfinite(d[v])] for v in range(n)}
+    return out, {v: (len(f) - 1) ** 2 / f.sum() / (n - 1) for v, f in far.items()}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_centrality_of_long_lines(spark, seed):
+    """Only nodes where paths branch or end are searched from, and the result is that of all pairs: also with ties, rings and side lines."""
+    rnd = random.Random(seed)
+    n = 24
+    e = {(i, i + 1): float(rnd.randint(1, 4)) if seed % 2 else rnd.uniform(0.5, 3) for i in range(n - 1) if i != 15 or seed > 3}
+    for _ in range(seed // 2):
+        e.setdefault(tuple(sorted(rnd.sample(range(n), 2))), float(rnd.randint(1, 3)))
+    if seed == 7:
+        e[0, n - 1] = 2.0
+    edges = [(a, b, w) for (a, b), w in e.items()]
+    between, close = _betweenness_by_definition(n, edges)
+    assert len(N._core(edges)[1]) < n
+    got = {r["id"]: r for r in N.centrality(spark.createDataFrame(edges, "src int, dst int, weight double")).collect()}
+    assert len(got) == n and all(got[v]["betweenness"] == pytest.approx(between[v], abs=1e-9) and got[v]["closeness"] == pytest.approx(close[v]) for v in range(n))
