@@ -28,103 +28,172 @@ def cut_points(df: DataFrame, features: list[str]) -> list[np.ndarray]:
     return [np.unique(np.array(v if v is not None else [0.0], float))[:-1] for v in row]
 
 
-def _uniform(keys: np.ndarray, turn: int) -> np.ndarray:
-    """A fixed draw in [0, 1) of each 64-bit key in a turn."""
+def _draws(keys: np.ndarray, turn: int) -> np.ndarray:
+    """A fixed draw of each 64-bit key in a turn, even over the whole numbers below 2 ** 53."""
     z = keys.astype(np.int64).view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    part = np.empty_like(z)
     for shift, factor in _MIX:
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+        z ^= np.right_shift(z, np.uint64(shift), out=part)
+        z *= np.uint64(factor)
+    z ^= np.right_shift(z, np.uint64(31), out=part)
+    z >>= np.uint64(11)
+    return z
+
+
+#: A Poisson draw of mean 1 is the number of these below an even one.
+_STEPS = [np.uint64(int(s * (1 << 53))) for s in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])]
+
+
+def _poisson(keys: np.ndarray, turn: int) -> np.ndarray:
+    z, out = _draws(keys, turn), np.zeros(len(keys), np.uint8)
+    for s in _STEPS:
+        out += z > s
+    return out
+
+
+def by_row(codes: np.ndarray) -> np.ndarray:
+    """``codes`` (features x rows) as rows of whole words, with at least one free byte at the end: a row is then copied at once."""
+    out = np.zeros((codes.shape[1], (len(codes) // 8 + 1) * 8), np.uint8)
+    out[:, : len(codes)] = codes.T
+    return out
 
 
 def grow(codes: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, least: float, tried: int, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A regression tree ``(feature, bin, value)`` by node, children of ``i`` at ``2 i + 1`` and ``2 i + 2``; feature -1 ends.
 
-    ``codes`` is features x rows. Each node takes the split of ``tried`` drawn features that leaves the least squares, with a
-    weight of at least ``least`` on both sides; codes up to ``bin`` go left.
+    ``codes`` is features x rows, ``w`` how often each row counts, a small whole number. Each node takes the split of ``tried`` drawn
+    features that leaves the least squares, with a weight of at least ``least`` on both sides; codes up to ``bin`` go left.
     """
-    k, size = len(codes), 2 ** (depth + 1) - 1
+    return _grow(by_row(codes), len(codes), y, w, depth, least, tried, rnd)
+
+
+def _grow(rows: np.ndarray, k: int, y: np.ndarray, w: np.ndarray, depth: int, least: float, tried: int, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grow`` on the ``k`` features of ``by_row``. A node sums only features that it has drawn, over its own rows; of two children the larger is
+    what the smaller leaves of their parent, where the parent has been summed."""
+    size = 2 ** (depth + 1) - 1
     feature, bins, value = np.full(size, -1, np.int16), np.zeros(size, np.int16), np.zeros(size)
-    here = np.flatnonzero(w > 0)
-    x, y, w = codes[:, here], y[here], w[here]
-    wy = w * y
-    total = w.sum()
-    value[0] = wy.sum() / total if total > 0 else 0.0
-    at = np.zeros(len(here), np.int64)  # the place in its level
-    for level in range(depth):
-        if not len(at):
+    here = np.flatnonzero(w)
+    rows, often, tried = rows.take(here, axis=0), w.take(here).astype(np.uint8), min(tried, k)
+    y = y.take(here) * often
+    once, total = often.max(initial=1) == 1, float(often.sum(dtype=np.int64))
+    rows[:, -1] = often
+    value[0] = float(y.sum()) / total if total else 0.0
+
+    def sums(features, rows: np.ndarray, y: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of each bin of the features, the weight and the weighted sum of the target, which ``y`` has times the weight."""
+        weight = None if once else rows[:, -1].astype(float)
+        codes = {j: rows[:, j].astype(np.intp) for j in features}
+        return {j: (np.bincount(c, weight, BINS).astype(float, copy=False), np.bincount(c, y, BINS)) for j, c in codes.items()}
+
+    level = [(None, [(0, rows, y)])] if len(here) else []  # sums of a parent, then its children from the smaller on
+    for deep in range(depth):
+        if not level:
             break
-        n, first = 2**level, 2**level - 1
-        gain, where, sums = np.full((k, n), -np.inf), np.zeros((k, n), np.int64), {}
-        for j in range(k):
-            slot = at * BINS + x[j]
-            cw = np.bincount(slot, w, n * BINS).reshape(n, BINS).cumsum(1)
-            cs = np.bincount(slot, wy, n * BINS).reshape(n, BINS).cumsum(1)
-            tw, ts = cw[:, -1:], cs[:, -1:]
-            rw, rs = tw - cw, ts - cs
-            ok = (cw >= max(least, 1e-9)) & (rw >= max(least, 1e-9))
-            g = np.where(ok, cs**2 / np.where(ok, cw, 1) + rs**2 / np.where(ok, rw, 1) - ts**2 / np.maximum(tw, 1e-300), -np.inf)
-            where[j] = g.argmax(1)
-            gain[j] = g[np.arange(n), where[j]]
-            sums[j] = cw, cs
-        if tried < k:
-            drawn = rnd.random((k, n)).argsort(0).argsort(0) < tried
-            gain[~drawn] = -np.inf
-        best = gain.argmax(0)
-        ids = np.arange(n)
-        split = gain[best, ids] > 1e-12
-        for i in np.flatnonzero(split):
-            j = best[i]
-            cw, cs = sums[j][0][i], sums[j][1][i]
-            b = where[j, i]
-            node = first + i
+        n, first = 2**deep, 2**deep - 1
+        ranks = rnd.random((k, n)).argsort(0).argsort(0) if tried < k else np.zeros((k, n))
+        nodes, known, drawn = [], [], []
+        for parent, children in level:
+            own = [np.flatnonzero(ranks[:, node - first] < tried).tolist() for node, _, _ in children]
+            found = [sums({*own[0]} | {j for j in own[-1] if parent and j in parent}, *children[0][1:])]
+            if parent is not None:
+                rest = {j: (parent[j][0] - s[0], parent[j][1] - s[1]) for j, s in found[0].items() if j in parent}
+                for s in rest.values():
+                    s[1][s[0] == 0] = 0.0  # no rows, no sum
+                found.append(rest | sums([j for j in own[1] if j not in rest], *children[1][1:]))
+            nodes, known, drawn = nodes + children, known + found, drawn + own
+        level = []
+        cw, cs = np.array([[s[j] for j in own] for s, own in zip(known, drawn)]).cumsum(3).transpose(2, 0, 1, 3)
+        tw, ts = cw[..., -1:], cs[..., -1:]
+        rw, rs = tw - cw, ts - cs
+        ok = (cw >= max(least, 1e-9)) & (rw >= max(least, 1e-9))
+        g = np.where(ok, cs**2 / np.where(ok, cw, 1) + rs**2 / np.where(ok, rw, 1) - ts**2 / np.maximum(tw, 1e-300), -np.inf)
+        where = g.argmax(2)
+        gain = np.take_along_axis(g, where[..., None], 2)[..., 0]
+        for i, (node, rows, y) in enumerate(nodes):
+            c = gain[i].argmax()
+            if not gain[i, c] > 1e-12:
+                continue
+            j, b = drawn[i][c], where[i, c]
+            lw, ls = cw[i, c, b], cs[i, c, b]
             feature[node], bins[node] = j, b
-            value[2 * node + 1], value[2 * node + 2] = cs[b] / cw[b], (cs[-1] - cs[b]) / (cw[-1] - cw[b])
-        keep = split[at]
-        if not keep.all():
-            x, w, wy, at = x[:, keep], w[keep], wy[keep], at[keep]
-        at = 2 * at + (x[best[at], np.arange(len(at))] > bins[first + at])
+            value[2 * node + 1], value[2 * node + 2] = ls / lw, (ts[i, c, 0] - ls) / (tw[i, c, 0] - lw)
+            if deep + 1 < depth:
+                over = rows[:, j] > b
+                sides = [(2 * node + 1, np.flatnonzero(~over)), (2 * node + 2, np.flatnonzero(over))]
+                level.append((known[i], [(at, rows.take(of, axis=0), y.take(of)) for at, of in sorted(sides, key=lambda side: len(side[1]))]))
     return feature, bins, value
 
 
+#: The place of the first bit of a byte that is set.
+_FIRST_BIT = np.array([max(0, (i & -i).bit_length() - 1) for i in range(256)])
+
+
 def reach(codes: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """The tree's value for each row of ``codes`` (features x rows)."""
+    """The tree's value for each row of ``codes`` (features x rows), for a ``depth`` of at most 6.
+
+    Each feature's code tells which leaves it rules out, as bits; the first leaf that none rules out is the row's.
+    """
     feature, bins, value = tree
-    at, rows = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
-    for _ in range(depth):
-        f = feature[at]
-        at = np.where(f < 0, at, 2 * at + 1 + (codes[f, rows] > bins[at]))
-    return value[at]
+    kind, leaves = (np.uint8, 2**depth) if depth <= 3 else (np.uint64, 2**depth)
+    full, last = (1 << leaves) - 1, np.zeros(leaves)
+    open_: dict[int, np.ndarray] = {}
+    todo = [(0, 0, leaves)]
+    while todo:
+        node, at, wide = todo.pop()
+        if wide == 1 or feature[node] < 0:
+            last[at : at + wide] = value[node]
+            continue
+        masks = open_.setdefault(int(feature[node]), np.full(BINS, full, kind))
+        masks[bins[node] + 1 :] &= kind(full & ~(((1 << wide // 2) - 1) << at))
+        todo += [(2 * node + 1, at, wide // 2), (2 * node + 2, at + wide // 2, wide // 2)]
+    if not open_:
+        return np.full(codes.shape[1], value[0])
+    left = None
+    for j, masks in open_.items():
+        m = masks.take(codes[j])
+        left = m if left is None else np.bitwise_and(left, m, out=left)
+    if kind is np.uint8:
+        return last.take(_FIRST_BIT % leaves).take(left)
+    left &= ~left + np.uint64(1)
+    return last.take((left.astype(float).view(np.int64) >> 52) - 1023)  # a power of two's exponent
 
 
 def _forest_part(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, keys: np.ndarray, folds: np.ndarray, trees: int, turn: int, turns: int, seed: int) -> np.ndarray:
     """Sums over this turn's share of the trees, for the rows that a fold leaves out."""
-    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
     tried = max(1, math.ceil(len(codes) ** 0.5))
     out = np.zeros(len(y))
     for i, f in enumerate(folds):
-        out_rows = np.flatnonzero(fold == f)
-        held, train = codes[:, out_rows], (fold != f).astype(float)
-        for t in range(trees):
-            if (i * trees + t) % turns == turn:
-                n = i * trees + t
-                w = train * np.searchsorted(steps, _uniform(keys, n))  # Poisson of mean 1: as often as drawn with replacement
-                out[out_rows] += reach(held, grow(codes, y, w, FOREST_DEPTH, FOREST_LEAST, tried, np.random.default_rng([seed, n])), FOREST_DEPTH)
-    return out / trees
+        mine = [n for n in range(i * trees, (i + 1) * trees) if n % turns == turn]
+        if not mine:
+            continue
+        out_rows, rows = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        held, seen, target, own = codes.take(out_rows, axis=1), by_row(codes.take(rows, axis=1)), y.take(rows), keys.take(rows)
+        found = np.zeros(len(out_rows))
+        for n in mine:
+            w = _poisson(own, n)  # as often as drawn with replacement
+            found += reach(held, _grow(seen, len(codes), target, w, FOREST_DEPTH, FOREST_LEAST, tried, np.random.default_rng([seed, n])), FOREST_DEPTH)
+        out[out_rows] = found / trees
+    return out
 
 
 def _boost_part(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, keys: np.ndarray, folds: np.ndarray, rounds: int, turn: int, turns: int, seed: int) -> np.ndarray:
     """Predictions of this turn's folds for the rows that they leave out: from the mean, a small step towards the residuals a round."""
     out = np.zeros(len(y))
-    rnd = np.random.default_rng(seed)
+    rnd, share = np.random.default_rng(seed), np.uint64(int(BOOST_SHARE * (1 << 53)))
     for i, f in enumerate(folds):
         if i % turns != turn:
             continue
-        train = fold != f
-        now = np.full(len(y), y[train].mean() if train.any() else 0.0)
+        out_rows, rows = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        held, seen, rest, own = codes.take(out_rows, axis=1), codes.take(rows, axis=1), y.take(rows), keys.take(rows)
+        by = by_row(seen)
+        start = rest.mean() if len(rows) else 0.0
+        rest -= start
+        found = np.full(len(out_rows), start)
         for r in range(rounds):
-            w = (train & (_uniform(keys, i * rounds + r) < BOOST_SHARE)).astype(float)
-            now += BOOST_STEP * reach(codes, grow(codes, y - now, w, BOOST_DEPTH, 1, len(codes), rnd), BOOST_DEPTH)
-        out[~train] = now[~train]
+            made = _grow(by, len(codes), rest, _draws(own, i * rounds + r) < share, BOOST_DEPTH, 1, len(codes), rnd)
+            rest -= BOOST_STEP * reach(seen, made, BOOST_DEPTH)
+            found += BOOST_STEP * reach(held, made, BOOST_DEPTH)
+        out[out_rows] = found
     return out
 
 

@@ -566,6 +566,32 @@ def test_left_out_trees(spark):
     assert loss[feature[0], bins[0]] == pytest.approx(loss[j, c]) and value[1] == pytest.approx(mean(x[feature[0]] <= bins[0]))
 
 
+def test_trees_sum_only_what_they_draw(monkeypatch):
+    """At most the drawn features of each node's rows, once a level; of two children of a parent that is known, the smaller one. Splits are still the best ones."""
+    from quaymill.operators import trees
+
+    rnd = np.random.default_rng(5)
+    x, v, w = rnd.integers(0, 200, (6, 3000)).astype(np.uint8), rnd.normal(0, 1, 3000), rnd.integers(0, 4, 3000).astype(float)
+    v += np.where(x[2] > 90, 1.0, 0.0) + np.where(x[4] > 150, 0.5, 0.0)
+    seen, real = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda a, *r, **k: (seen.append(len(a)), real(a, *r, **k))[1])
+    for depth, tried, weight in ((6, 3, w), (2, 6, w > 0), (3, 6, w)):
+        seen.clear()
+        feature, bins, value = tree = trees.grow(x, v, weight, depth, 3, tried, np.random.default_rng(1))
+        assert sum(seen) / 2 / (w > 0).sum() <= (3 * depth if tried == 3 else 6 + 3 * (depth - 1))
+        at = np.zeros(3000, int)
+        for _ in range(depth):
+            for node in np.unique(at[feature[at] >= 0]):
+                on = at == node
+                loss = lambda j, c: sum((weight[s] * (v[s] - np.average(v[s], weights=weight[s])) ** 2).sum() for s in (on & (x[j] <= c), on & (x[j] > c)))  # noqa: B023, E731
+                if tried == 6:
+                    cuts = [(j, c) for j in range(6) for c in np.unique(x[j][on])[:-1] if min(weight[on & (x[j] <= c)].sum(), weight[on & (x[j] > c)].sum()) >= 3]
+                    assert loss(feature[node], bins[node]) == pytest.approx(min(loss(*c) for c in cuts))
+            at = np.where(feature[at] < 0, at, 2 * at + 1 + (x[feature[at], np.arange(3000)] > bins[at]))
+        assert all(value[node] == pytest.approx(np.average(v[at == node], weights=weight[at == node])) for node in np.unique(at[weight > 0]))
+        assert np.array_equal(trees.reach(x, tree, depth), value[at])
+
+
 def test_many_nets_are_those_of_one_at_a_time():
     rnd = np.random.default_rng(3)
     x = np.column_stack([np.ones(30), rnd.normal(0, 1, (30, 3)), np.full(30, 2.0), rnd.normal(0, 1, 30)])
