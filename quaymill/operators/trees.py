@@ -1,7 +1,7 @@
 """Forests and boosting on binned columns, all fits of a comparison in one pass over the rows.
 
 A library fit costs several jobs a tree level or boosting round. Here each task receives every row once, a byte a feature, and makes its share
-of all trees of all folds; what it holds is the binned table, some 25 bytes a row with six features. Draws go by the rows' keys and rows are
+of all trees of all folds; what it holds is the binned table, some 25 bytes a row with six features, and copies of it for the fold and tree at hand. Draws go by the rows' keys and rows are
 sorted by them, so that a fit doesn't depend on how rows are spread over tasks.
 """
 
